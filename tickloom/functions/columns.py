@@ -41,6 +41,19 @@ def per_deviation(a: Column | str, sd: Column) -> Column:
     return _c(a) / F.when(sd > 1e-12, sd)
 
 
+def pearson(x: Column | str, y: Column | str, w=None) -> Column:
+    """Correlation of the pairs where both are present; NULL where one side is constant."""
+    x, y = _c(x).cast("double"), _c(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+
+    def over(a):
+        return a if w is None else a.over(w)
+
+    sx = over(F.stddev_samp(F.when(both, x)))
+    sy = over(F.stddev_samp(F.when(both, y)))
+    return over(F.covar_samp(x, y)) / (F.when(sx > 1e-12, sx) * F.when(sy > 1e-12, sy))
+
+
 def clip(x: Column | str, lo: float, hi: float) -> Column:
     """Bounds on both sides; a NULL stays NULL."""
     c = _c(x)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import (
-    clean, clip, ist_tod, mid_or_close, per_deviation, ratio, session_label,
+    clean, clip, ist_tod, mid_or_close, pearson, per_deviation, ratio, session_label,
 )
 from tickloom.operators.frames import BLOCK_ROWS, span
 
@@ -121,7 +121,7 @@ def flow_features(feats: DataFrame, cross_day: bool = False, block_rows: int = B
         "ofi_cum_60": F.coalesce(s.full(F.sum, "ofi_l1", 60), F.lit(0.0)),
         "price_autocorr_60": F.when(
             (F.col("_pos0") >= 60) & (F.stddev_pop("_ret").over(s.before(60)) > 1e-10),
-            clean(F.corr("_ret", "_ret1").over(s.line.rowsBetween(-59, -1)), 0.0),
+            F.coalesce(pearson("_ret", "_ret1", s.line.rowsBetween(-59, -1)), F.lit(0.0)),
         ).otherwise(0.0),
         "vol_regime_ratio": F.coalesce(
             s.full(F.avg, "_v60", 60)

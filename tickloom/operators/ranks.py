@@ -51,7 +51,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     r = value_ranks(df, keys, value)
     aggs = []
     for name, p in probs.items():
-        pos = F.col("total").cast("double") * p - p
+        pos = (F.col("total") - 1).cast("double") * p
         lo, hi = F.floor(pos), F.ceil(pos)
 
         def at(k):
@@ -61,12 +61,25 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     return r.groupBy(*keys).agg(*aggs)
 
 
-def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Adds the average rank (ties share the mean) of ``value`` within ``keys``."""
-    r = value_ranks(df, keys, value).select(
-        *keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name)
-    )
-    return df.join(r, [*keys, value])
+def quantile_edges(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+    """The ``bins + 1`` equally spaced quantiles of every group as one array."""
+    r = value_ranks(df, keys, value).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bins))))
+    pos = (F.col("total") - 1).cast("double") * (F.col("_i") / bins)
+    r = r.withColumns({"_lo": F.floor(pos), "_hi": F.ceil(pos), "_f": pos - F.floor(pos)})
+
+    def has(k):
+        return (F.col("below") <= F.col(k)) & (F.col(k) < F.col("below") + F.col("n"))
+
+    at = r.where(has("_lo") | has("_hi")).groupBy(*keys, "_i", "_f").agg(
+        F.max(F.when(has("_lo"), F.col(value))).alias("_a"), F.max(F.when(has("_hi"), F.col(value))).alias("_b"))
+    edge = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
+    return at.groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Average rank (ties share the mean) of every distinct value."""
+    return value_ranks(df, keys, value).select(
+        *keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
 
 
 def trim(df: DataFrame, keys: list[str], value: str, upper: float = 0.99) -> DataFrame:
