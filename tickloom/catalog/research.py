@@ -226,7 +226,7 @@ tox AS (SELECT *, CASE WHEN estimated THEN 5e-1 + toxicity * 25e-1 ELSE 1 END AS
   CASE WHEN toxicity < 25e-2 THEN 'LOW' WHEN toxicity < 5e-1 THEN 'MEDIUM' WHEN toxicity < 75e-2 THEN 'HIGH' ELSE 'EXTREME' END AS regime FROM tox0)"""
 add("W19_kyle_lambda", lambda s, d: kyle.impact(bars(s, d)), "symbol ts_sec window_bars:l lambda_ols:6 r_squared:5 estimated:b",
     f"{_KY}\nSELECT * FROM lam")
-add("W20_theil_sen", lambda s, d: kyle.impact(bars(s, d)), "symbol ts_sec lambda_robust:4", f"{_KY}\nSELECT * FROM lam")
+add("W20_theil_sen", lambda s, d: kyle.impact(bars(s, d)), "symbol ts_sec lambda_robust:9", f"{_KY}\nSELECT * FROM lam")
 add("W21_toxicity", lambda s, d: kyle.toxicity(kyle.impact(bars(s, d))), "symbol ts_sec toxicity:5 multiplier:5 regime",
     f"{_KY}\nSELECT * FROM tox")
 _adv = "CASE dominant_regime " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kyle.ADVICE.items()) + " END"

@@ -119,3 +119,53 @@ def feats_cte(part: str = "symbol", src: str = "bars", name: str = "feats") -> s
 BARS = f"WITH {TICKS},\n{bars_cte()}"
 FEATS = f"{BARS},\n{feats_cte()}"
 FEATS_DAY = f"{BARS},\n{feats_cte('symbol, date')}"
+
+
+# ---- instruments from part, stored files from events -------------------------
+
+_MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
+_I1 = {
+    "p_partkey": "p_partkey", "p_size": "p_size", "p_brand": "p_brand", "p_retailprice": "p_retailprice",
+    "name": "upper(replace(p_name, ' ', ''))",
+    "mon": f"substr('{_MONTHS}', CAST(1 + 3 * (p_partkey % 12) AS INTEGER), 3)",
+    "yy": "CAST(25 + p_size % 2 AS VARCHAR(2))",
+    "strike_txt": "CAST(CAST(50 * floor(p_retailprice / 50) AS BIGINT) AS VARCHAR(20))",
+    "wk": "substr('123456789OND', CAST(1 + p_partkey % 12 AS INTEGER), 1)",
+    "lot_size": "CAST(25 * (1 + p_size % 4) AS INTEGER)",
+}
+_I2 = {
+    "p_partkey": "p_partkey", "p_size": "p_size", "p_brand": "p_brand", "p_retailprice": "p_retailprice",
+    "name": "name", "lot_size": "lot_size",
+    "symbol": "CASE p_size % 6 WHEN 0 THEN name || yy || mon || 'FUT' WHEN 1 THEN name || yy || mon || strike_txt || 'CE' "
+              "WHEN 2 THEN name || yy || mon || strike_txt || 'PE' "
+              "WHEN 3 THEN name || yy || wk || '0' || CAST(1 + p_size % 9 AS VARCHAR(2)) || strike_txt || 'CE' "
+              "WHEN 4 THEN name || '_SPOT' ELSE 'USDINR' || yy || mon || 'FUT' END",
+}
+
+
+def instruments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").selectExpr(*_sel(_I1)).selectExpr(*_sel(_I2))
+
+
+INSTRUMENTS = f"i1 AS (SELECT {', '.join(_sel(_I1))} FROM part), instruments AS (SELECT {', '.join(_sel(_I2))} FROM i1)"
+
+_FILE = {
+    "base": "upper(event_type)", "user_id": "user_id", "event_id": "event_id", "event_type": "event_type",
+    "date": "CAST(ts AS DATE)",
+    "contract": "upper(event_type) || '24' || CASE user_id % 3 WHEN 0 THEN 'MAR' WHEN 1 THEN 'JAN' ELSE 'FEB' END || 'FUT'",
+    "layout": "CASE WHEN user_id % 3 = 0 THEN 'new' ELSE 'flat' END",
+}
+
+
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").selectExpr(*_sel(_FILE))
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d).groupBy("base", "contract", "layout", "date").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+STORED = f"stored AS (SELECT {', '.join(_sel(_FILE))} FROM events)"
+FILES = f"{STORED}, files AS (SELECT base, contract, layout, date, count(*) AS n_files FROM stored GROUP BY ALL)"
+# expiry of a contract month m in SQL: listed dates of 2026, else the last Thursday
+LAST_THU = "(last_day({m}) - CAST((isodow(last_day({m})) + 3) % 7 AS INTEGER))"
