@@ -169,3 +169,78 @@ STORED = f"stored AS (SELECT {', '.join(_sel(_FILE))} FROM events)"
 FILES = f"{STORED}, files AS (SELECT base, contract, layout, date, count(*) AS n_files FROM stored GROUP BY ALL)"
 # expiry of a contract month m in SQL: listed dates of 2026, else the last Thursday
 LAST_THU = "(last_day({m}) - CAST((isodow(last_day({m})) + 3) % 7 AS INTEGER))"
+
+
+# ---- options, spot and futures from events ------------------------------------
+
+_STRIKE = "20 + 5 * (user_id % 5)"
+_UNDER = "upper(event_type)"
+_SPOT = "25 + value / 50"
+_O1 = {
+    **_STEP1,
+    "symbol": f"{_UNDER} || '24FEB' || CAST({_STRIKE} AS VARCHAR(9)) || CASE k % 2 WHEN 0 THEN 'CE' ELSE 'PE' END",
+    "last_price": f"greatest(0e0, CASE k % 2 WHEN 0 THEN {_SPOT} - ({_STRIKE}) ELSE ({_STRIKE}) - ({_SPOT}) END) + 3e-1 + 2e-2 * k",
+    "mid_price": "value + 1e-2 * (k % 7)",
+}
+_FEED = {
+    **_STEP1,
+    "symbol": f"{_UNDER} || CASE user_id % 3 WHEN 0 THEN '_SPOT' WHEN 1 THEN '24FEBFUT' ELSE '24MARFUT' END",
+    "last_price": _SPOT, "mid_price": _SPOT,
+}
+
+
+def _raw_events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(
+        "event_id", "event_type", "user_id", "value", "ts",
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_local_ns"))
+
+
+def _with_book(df: DataFrame) -> DataFrame:
+    return df.selectExpr("*", *_sel(_Q)).selectExpr("*", *_sel(_STEP3)).selectExpr("*", *_sel(_STEP4)).drop("k")
+
+
+def option_ticks(spark: SparkSession, d: str) -> DataFrame:
+    return _with_book(_raw_events(spark, d).selectExpr(*_sel(_O1)))
+
+
+def feed_bars(spark: SparkSession, d: str, width: int = BAR) -> tuple[DataFrame, DataFrame]:
+    """(spot bars, future bars); every fourth day has no spot."""
+    e = _raw_events(spark, d).where("NOT (user_id % 3 = 0 AND dayofmonth(ts) % 4 = 0)")
+    b = build_bars(_with_book(e.selectExpr(*_sel(_FEED))), width, ladder=False)
+    b = b.withColumn("underlying", F.regexp_extract("symbol", "^([A-Z]+)", 1))
+    fut = b.where("symbol LIKE '%FUT'").withColumn(
+        "expiry", F.when(F.col("symbol").like("%FEBFUT"), F.lit("2024-02-29")).otherwise(F.lit("2024-03-28")).cast("date"))
+    return b.where("symbol LIKE '%SPOT'"), fut
+
+
+OPTION_TICKS = TICKS.replace(", ".join(_sel(_STEP1)), ", ".join(_sel(_O1)))
+OBARS = f"WITH {OPTION_TICKS},\n{bars_cte(name='obars')}"
+FEED = f"""fe AS (SELECT *, {_UNDER} AS underlying, {_SPOT} AS px, (ts_us // 1000000) // {BAR} * {BAR} AS ts_sec FROM (
+  SELECT *, epoch_us(ts) AS ts_us FROM events) q WHERE NOT (user_id % 3 = 0 AND day(ts) % 4 = 0)),
+fb AS (SELECT underlying, user_id % 3 AS kind, ts_sec, last(px ORDER BY ts_us, event_id) AS close,
+  DATE '1970-01-01' + CAST((ts_sec + 19800) // 86400 AS INTEGER) AS date FROM fe GROUP BY ALL),
+near AS (SELECT underlying, date, min(kind) AS kind FROM fb WHERE kind > 0 GROUP BY 1, 2),
+spot AS (SELECT underlying, date, ts_sec, close AS spot_price, 'spot' AS source FROM fb WHERE kind = 0 UNION ALL
+  SELECT f.underlying, f.date, f.ts_sec, f.close, 'future' FROM fb f JOIN near USING (underlying, date, kind)
+  WHERE NOT EXISTS (SELECT 1 FROM fb s WHERE s.kind = 0 AND s.underlying = f.underlying AND s.date = f.date))"""
+
+
+# ---- fills from lineitem ----------------------------------------------------------
+# The price factor keeps results off exact rounding ties, where two engines may differ.
+
+_FILL = {
+    "symbol": "CAST(l_suppkey AS VARCHAR(20))", "date": "CAST(l_shipdate AS DATE)",
+    "side": "CASE l_linenumber % 2 WHEN 0 THEN 'SELL' ELSE 'BUY' END", "price": "l_extendedprice / l_quantity * 9876543210123e-13",
+    "quantity": "CAST(l_quantity AS INTEGER)", "lot_size": "5",
+    "instrument_type": "CASE l_returnflag WHEN 'A' THEN 'equity_options' WHEN 'R' THEN 'currency_options' "
+                       "ELSE CASE l_linestatus WHEN 'F' THEN 'equity_futures' ELSE 'currency_futures' END END",
+    "l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "l_partkey": "l_partkey",
+    "l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_tax": "l_tax", "l_discount": "l_discount",
+}
+FILL_ORDER = ["date", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount"]
+FILLS = f"fills AS (SELECT {', '.join(_sel(_FILL))} FROM lineitem)"
+
+
+def fills(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").selectExpr(*_sel(_FILL))
