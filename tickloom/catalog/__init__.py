@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tickloom.catalog.core import ORACLES, QUERIES
 
-AREAS = ["bars", "flow", "profile", "research", "data", "derivatives", "trades", "pairs"]
+AREAS = ["bars", "flow", "profile", "research", "data", "derivatives", "trades", "pairs", "intel", "params", "companies"]
 
 
 def load():

@@ -244,3 +244,74 @@ FILLS = f"fills AS (SELECT {', '.join(_sel(_FILL))} FROM lineitem)"
 
 def fills(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").selectExpr(*_sel(_FILL))
+
+
+# ---- news from documents, events from orders ---------------------------------------
+
+_DD = "lpad(CAST(1 + doc_id % 28 AS VARCHAR(2)), 2, '0')"
+_NEWS = {
+    "doc_id": "doc_id", "source": "CASE lang WHEN 'en' THEN 'NSE' WHEN 'fr' THEN 'BSE' ELSE source END", "headline": "text",
+    "published": f"CASE doc_id % 3 WHEN 0 THEN {_DD} || '-Jan-2024' WHEN 1 THEN '2024-01-' || {_DD} "
+                 f"ELSE 'Mon, ' || {_DD} || ' Jan 2024 10:00:00 +0530' END",
+    "uncertainty": "(n_chars % 130) / 1e2", "sentiment": "(n_chars % 50) / 2e1 - 12e-1",
+    "mm_action": "CASE n_chars % 4 WHEN 0 THEN 'PAUSE' WHEN 1 THEN 'WIDEN' WHEN 2 THEN 'NORMAL' ELSE 'HOLD' END",
+    "widen_factor": "(n_chars % 13) / 2e0", "pause_minutes": "n_chars % 300",
+    "informed_flow_risk": "CASE n_chars % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END",
+    "event_type": "CASE n_chars % 2 WHEN 0 THEN 'macro' ELSE 'sector' END",
+}
+_FRAGMENTS = ("THER", "ONDER", "EANER", "IONEN", "ESTEN", "ANERE", "NDTHE", "OUTHE", "ZZQQ", "ERBLES", "QXQ", "THOUR")
+_EVSYM = "CASE o_custkey % 12 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FRAGMENTS)) + " END"
+_PHRASES = ("Quarterly results Q1", "Interim Dividend", "Board Meeting called", "AGM notice", "Bonus issue", "Rights Issue",
+            "Merger approved", "General update")
+_EVENT = {
+    "symbol": _EVSYM, "event_date": "CAST(o_orderdate AS DATE)",
+    "description": "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PHRASES)) + " END",
+    "source": "CASE o_orderstatus WHEN 'O' THEN 'BSE' ELSE 'NSE' END",
+}
+
+
+def news(spark: SparkSession, d: str) -> DataFrame:
+    doc = table(spark, d, "documents")
+    scored = table(spark, d, "labels").select("doc_id").distinct().withColumn("scored", F.lit(True))
+    return doc.selectExpr(*_sel(_NEWS)).join(scored, "doc_id", "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
+
+
+def universe(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    words = words.where(F.length("w") >= 8).select(F.upper("w").alias("symbol"))
+    return words.unionByName(table(spark, d, "orders").selectExpr(f"{_EVSYM} AS symbol")).distinct()
+
+
+def contracts(spark: SparkSession, d: str) -> DataFrame:
+    return universe(spark, d).select(F.concat("symbol", F.lit("26MAYFUT")).alias("symbol"))
+
+
+def events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "orders").selectExpr(*_sel(_EVENT))
+    return e.where("source = 'NSE'"), e.where("source = 'BSE'")
+
+
+NEWS = f"""news0 AS (SELECT {', '.join(_sel(_NEWS))} FROM documents),
+news AS (SELECT *, doc_id IN (SELECT doc_id FROM labels) AS scored FROM news0)"""
+UNIVERSE = f"""universe AS (SELECT DISTINCT symbol FROM (SELECT upper(w) AS symbol FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) q
+  WHERE length(w) >= 8 UNION ALL SELECT {_EVSYM} FROM orders) z)"""
+EVENTS = f"events0 AS (SELECT {', '.join(_sel(_EVENT))} FROM orders)"
+
+
+# ---- result rows and parameters -----------------------------------------------------
+
+_RESULT = {
+    "symbol": "'S' || CAST(o_custkey % 40 AS VARCHAR(9))", "date": "CAST(o_orderdate AS DATE)",
+    "gamma": "CASE o_orderpriority WHEN '5-LOW' THEN 1e-2 WHEN '2-HIGH' THEN 2e-2 ELSE 5e-2 END",
+    "kappa": "CASE o_orderstatus WHEN 'O' THEN 1e0 WHEN 'F' THEN 15e-1 ELSE 3e0 END", "pnl": "o_totalprice * 987654321e-9 - 251237.731e0",
+}
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "orders").selectExpr(*_sel(_RESULT))
+    return r.groupBy("symbol", "date", "gamma", "kappa").agg(
+        F.sum("pnl").alias("net_pnl"), (F.avg("pnl") / 100000).alias("sharpe"))
+
+
+RESULTS = f"""r0 AS (SELECT {', '.join(_sel(_RESULT))} FROM orders),
+results AS (SELECT symbol, date, gamma, kappa, sum(pnl) AS net_pnl, avg(pnl) / 100000 AS sharpe FROM r0 GROUP BY ALL)"""
