@@ -4,7 +4,10 @@ from importlib import import_module
 
 from tickloom.catalog.core import ORACLES, QUERIES
 
-AREAS = ["bars", "flow", "profile", "research", "data", "derivatives", "trades", "pairs", "intel", "params", "companies"]
+AREAS = [
+    "bars", "flow", "profile", "research", "data", "derivatives", "trades", "pairs", "intel", "params", "companies",
+    "streams", "learn",
+]
 
 
 def load():

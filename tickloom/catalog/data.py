@@ -13,6 +13,7 @@ from tickloom.functions.columns import ist_date
 from tickloom.operators import catalogue as cat
 from tickloom.operators import quality as ql
 from tickloom.operators.bars import build_bars
+from tickloom.plans import reports as rp
 from tickloom.schema import ensure_columns
 from tickloom.session import scratch_path
 from tickloom.sources import storage as st
@@ -36,10 +37,10 @@ def _expiry(m):
 
 # ---- ticks -----------------------------------------------------------------
 
-def _nested(s, d):
+def _nested(s, d, t=None):
     """Ticks with a nested book of k % 7 levels per side (at most five are kept)."""
-    t = ticks(s, d)
-    n = (F.col("event_id") % 7).cast("int") if "event_id" in t.columns else (F.col("tick_id") % 7).cast("int")
+    t = ticks(s, d) if t is None else t
+    n = (F.col("tick_id") % 7).cast("int")
 
     def side(x):
         levels = F.array(*[F.struct(F.col(f"{x}_p{i}").alias("price"), F.col(f"{x}_q{i}").alias("quantity"),
@@ -279,7 +280,7 @@ add("A27_minute_coverage", lambda s, d: _cov(s, d).withColumn("missing", F.conca
     "symbol date:d rows:l expected_minutes:l n_missing:l missing max_gap:l coverage:6 low_coverage:b large_gap:b status",
     f"{_GAPS}\nSELECT * FROM gaps")
 add("W33_longest_missing_streak", _cov, "symbol date:d max_gap:l", f"{_GAPS}\nSELECT * FROM gaps")
-add("C29_health_report", lambda s, d: ql.health(_cov(s, d), 5),
+add("C29_health_report", lambda s, d: rp.coverage_report(bars(s, d, 60), 5)[1],
     "date:d found:l ok:l no_data:l low_coverage:l large_gaps:l minor_gaps:l overall",
     f"""{_GAPS}, h AS (SELECT date, count(*) AS found, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (contains(status, 'NO_DATA')) AS no_data,
   count(*) FILTER (low_coverage) AS low_coverage, count(*) FILTER (large_gap) AS large_gaps, count(*) FILTER (contains(status, 'MINOR_GAPS')) AS minor_gaps

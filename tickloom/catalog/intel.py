@@ -185,9 +185,9 @@ SELECT *, FALSE AS is_stale, CASE WHEN is_paused THEN 999 ELSE round(greatest(wi
   CASE asymmetry_risk WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 12e-1 ELSE 0 END) + 1e-9, 2) END AS effective_factor FROM z""")
 
 
-def _history(s, d):
+def _history(s, d, o=None):
     """Orders as a history of signals: an urgent order asks for a pause, its price sets the factor."""
-    o = table(s, d, "orders")
+    o = table(s, d, "orders") if o is None else o
     at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
     return o.selectExpr("*", "concat('C', cast(o_custkey as string)) AS symbol").select(
         "symbol", at.alias("generated_at"), (at + F.make_dt_interval(days=F.lit(30))).alias("expires_at"),

@@ -8,6 +8,7 @@ from tickloom.catalog.core import add
 from tickloom.catalog.data import _contract_bars, _expiry, _mstart, _sfx
 from tickloom.catalog.standin import BAR, INSTRUMENTS, RESULTS, STORED, TICKS, instruments, results, table
 from tickloom.operators import params as pm
+from tickloom.plans import reports as rp
 from tickloom.session import stage
 
 _PAR = ["gamma", "kappa"]
@@ -45,14 +46,7 @@ add("A36_best_consistent", lambda s, d: pm.best_consistent(results(s, d), _PAR,
     "symbol gamma:4 kappa:4 mean_pnl:3 sharpe:6 pct_profit:6", f"{_BC}\nSELECT * FROM bc")
 
 
-def _grid(s, d):
-    r = stage(results(s, d), "results")
-    b = pm.best_params(pm.walk_forward(r, _PAR), _PAR).select("symbol", *_PAR, "rank_score", "fallback")
-    c = pm.best_consistent(r, _PAR, 45.0).select("symbol", F.col("gamma").alias("steady_gamma"), F.col("kappa").alias("steady_kappa"))
-    return b.join(c, "symbol")
-
-
-add("C22_best_of_grid", _grid, "symbol gamma:4 kappa:4 rank_score:5 fallback:b steady_gamma:4 steady_kappa:4",
+add("C22_best_of_grid", lambda s, d: rp.best_of_grid(stage(results(s, d), "results"), _PAR, 45.0), "symbol gamma:4 kappa:4 rank_score:5 fallback:b steady_gamma:4 steady_kappa:4",
     f"{_BP}, g2 AS (SELECT symbol, gamma, kappa, avg(net_pnl) AS mean_pnl, stddev(net_pnl) AS std_pnl, avg(CAST(net_pnl > 0 AS INTEGER)) * 100 AS pct_profit FROM results GROUP BY 1, 2, 3), "
     "s2 AS (SELECT *, mean_pnl / greatest(std_pnl, 1) AS sharpe FROM g2), "
     "bc AS (SELECT symbol, gamma AS steady_gamma, kappa AS steady_kappa FROM s2 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY pct_profit >= 45 DESC, sharpe DESC NULLS LAST, gamma, kappa) = 1)"
@@ -141,18 +135,10 @@ add("J12_param_blend", lambda s, d: pm.blend(_rows(s, d).where("symbol NOT LIKE
     f"WITH {_BL.replace('FROM prow o FULL', 'FROM (SELECT * FROM prow WHERE symbol NOT LIKE ' + chr(39) + 'RED%' + chr(39) + ') o FULL')}\nSELECT * FROM bl")
 
 
-def _resolved(s, d):
-    rows = pm.blend(_rows(s, d), _newer(s, d))
-    bad = pm.health_issues(rows).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_issues"))
-    out = pm.resolve(_wanted(s, d), pm.as_maps(rows), _DEF)
-    src = F.coalesce("base_symbol", "symbol")
-    return out.withColumn("_s", src).join(bad.withColumnRenamed("symbol", "_s"), "_s", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
-
-
 _C21 = f"""{_BL}, prow2 AS (SELECT * FROM bl), {_RES.replace(_ROWS + ', ', '').replace('FROM prow GROUP', 'FROM prow2 GROUP')},
 bd AS (SELECT * FROM (VALUES {_bnd}) AS v(key, lo, hi)), is0 AS (SELECT symbol FROM prow2 JOIN bd USING (key) WHERE value < lo OR value > hi UNION ALL
   SELECT symbol FROM prow2 GROUP BY symbol HAVING count(*) FILTER (key = 'min_spread') = 0), isn AS (SELECT symbol AS src, count(*) AS n FROM is0 GROUP BY 1)"""
-add("C21_param_resolution", _resolved, _RC.replace(":6", ":5") + " n_issues:l",
+add("C21_param_resolution", lambda s, d: rp.resolved_params(_wanted(s, d), _rows(s, d), _newer(s, d), _DEF), _RC.replace(":6", ":5") + " n_issues:l",
     f"WITH {_C21}\nSELECT rs.*, coalesce(n, 0) AS n_issues FROM rs LEFT JOIN isn ON src = coalesce(base_symbol, symbol)")
 
 

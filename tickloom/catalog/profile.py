@@ -10,6 +10,7 @@ from tickloom.catalog.standin import BARS, FEATS, TICKS, bars, bars_cte, feats
 from tickloom.operators import features as ft
 from tickloom.operators import profile as pf
 from tickloom.operators import ranks as rk
+from tickloom.plans import reports as rp
 from tickloom.session import stage
 
 _LINE = "(PARTITION BY symbol ORDER BY ts_sec)"
@@ -194,13 +195,7 @@ add("O2_top_days",
     f"{BARS}\nSELECT symbol, date, sum(volume_delta) AS vol FROM bars GROUP BY 1, 2 ORDER BY vol DESC, symbol, date LIMIT 20")
 
 
-def _vol_report(s, d):
-    f = stage(feats(s, d), "feats")
-    return pf.distribution(f, ["symbol"], "realized_vol_60s").join(
-        pf.regime_spreads(pf.tertile_means(f, "realized_vol_60s"), 0.01, 1.5), "symbol")
-
-
-add("C25_volatility_report", _vol_report,
+add("C25_volatility_report", lambda s, d: rp.volatility_report(stage(feats(s, d), "feats")),
     "symbol mean:5 std:5 p25:5 p75:5 cv:5 mean_low:5 mean_high:5 spread_mult:4 spread_low:4 spread_high:4",
     _DIST + ", " + _TERT[len(FEATS):].lstrip(", ").replace("v AS (SELECT symbol, realized_vol_60s AS v FROM feats WHERE realized_vol_60s > 0),\n", "", 1)
     + "\nSELECT * FROM dist JOIN tert USING (symbol)")
@@ -214,15 +209,7 @@ hits AS (SELECT symbol, signal, avg(CAST(side * fwd > 0 AS INTEGER)) FILTER (sid
   FROM hs GROUP BY 1, 2 HAVING count(*) FILTER (side <> 0 AND fwd IS NOT NULL) >= 50)"""
 
 
-def _liquidity(s, d):
-    f = stage(feats(s, d), "feats")
-    h = pf.imbalance_hits(f, _SIGS)
-    best = h.groupBy("symbol").agg(F.max_by("signal", F.struct("hit_pct", "signal")).alias("best_signal"),
-                                   F.max("hit_pct").alias("best_hit"))
-    return (pf.queue_depth(f).join(pf.tick_size(f), "symbol").join(pf.run_lengths(f), "symbol").join(best, "symbol", "left"))
-
-
-add("C26_liquidity_report", _liquidity,
+add("C26_liquidity_report", lambda s, d: rp.liquidity_report(stage(feats(s, d), "feats")),
     "symbol bid_median:6 tick:4 pct_1tick:6 tick_bps:5 pct_burst:6 median_burst:6 best_signal best_hit:6",
     f"{_TICK}, {_RUN[len(BARS):].lstrip(', ').replace('c AS', 'c AS')}, {FEATS[len(BARS):].lstrip(', ')}, {_HIT}, "
     "bh AS (SELECT symbol, arg_max(signal, (hit_pct, signal)) AS best_signal, max(hit_pct) AS best_hit FROM hits GROUP BY 1), "
@@ -232,12 +219,7 @@ add("C26_imbalance_hit_rate", lambda s, d: pf.imbalance_hits(feats(s, d), _SIGS)
     "symbol signal hit_pct:6 corr:5 n_active:l pct_active:6", f"{FEATS}, {_HIT}\nSELECT * FROM hits")
 
 
-def _arrival(s, d):
-    b = stage(bars(s, d, 600), "bars")
-    return pf.interarrival(b, 7200).join(pf.arrival_decay(b), "symbol", "left").join(pf.spread_summary(b), "symbol", "left")
-
-
-add("C27_arrival_report", _arrival,
+add("C27_arrival_report", lambda s, d: rp.arrival_report(stage(bars(s, d, 600), "bars"), 7200),
     "symbol n_bars:l mean_gap:4 ks_stat:6 kappa:4 r2:4 spread_median:6 spread_p75:6 bps_median:4 min_spread_safe:b",
     _GAP.replace(" c AS", " c9 AS") + ", " + _KAP[len(BARS):].lstrip(", ").replace("s AS (SELECT symbol, count(*) AS n_bins", "sk AS (SELECT symbol, count(*) AS n_bins")
     .replace("FROM s)", "FROM sk)").replace("e AS (SELECT symbol, min(d)", "ek AS (SELECT symbol, min(d)").replace("JOIN e USING", "JOIN ek USING")

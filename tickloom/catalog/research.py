@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog.core import add
-from tickloom.catalog.flow import IMB_SQL, imb
+from tickloom.catalog.flow import IMB_SQL
 from tickloom.catalog.standin import BARS, FEATS, bars, feats
-from tickloom.operators import features as ft
 from tickloom.operators import ic, kyle, regime
+from tickloom.plans import reports as rp
 from tickloom.session import stage
 
 _LINE = "(PARTITION BY symbol ORDER BY ts_sec)"
@@ -17,7 +17,7 @@ _HS = [1, 5, 10]
 
 
 def _measured(s, d):
-    return ft.forward_returns(imb(s, d), _HS, "log", "mid", cross_day=True)
+    return rp.measured_signals(feats(s, d), _HS)
 
 
 _fw = ", ".join(f"ln(lead(mid, {h}) OVER {_LINE} / mid) AS fwd_{h}" for h in _HS)
@@ -87,7 +87,7 @@ add("A18_signal_ranking", lambda s, d: ic.rank_signals(_table(s, d)),
 SELECT signal, horizon, avg(ic) AS avg_ic, stddev(ic) AS std_ic, avg(hit_rate) AS avg_hit, avg(sharpe) AS avg_sharpe,
   count(DISTINCT symbol) AS n_symbols, count(*) FILTER (abs(ic) > 2e-2 OR hit_rate > 52e-2) AS n_useful,
   count(*) FILTER (abs(ic) > 5e-2 OR hit_rate > 55e-2) AS n_strong FROM icx GROUP BY 1, 2""")
-add("C28_ic_report", lambda s, d: ic.ic_decay(_table(s, d)), "symbol signal decay_rate:4 peak_ic:5",
+add("C28_ic_report", lambda s, d: rp.ic_report(_pairs_df(s, d)), "symbol signal decay_rate:4 peak_ic:5",
     f"""{_IC}, z AS (SELECT symbol, signal, count(*) AS n, sum(ic*ic) AS sw, sum(ic*ic*horizon) AS sx, sum(ic*ic*ln(abs(ic))) AS sy,
   sum(ic*ic*horizon*horizon) AS sxx, sum(ic*ic*horizon*ln(abs(ic))) AS sxy, max(ic) AS peak_ic FROM icx WHERE ic <> 0 GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT *, -(sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS decay_rate FROM z""")
@@ -179,10 +179,7 @@ add("A22_momentum_threshold", lambda s, d: regime.momentum_threshold(_labels(s,
 
 
 def _regime_report(s, d):
-    b = stage(bars(s, d), "bars")
-    return (regime.regime_shares(_labels(s, d), ["symbol"])
-            .join(regime.variance_ratio(b, _QS).drop("character"), "symbol")
-            .join(regime.hurst(b), "symbol", "left"))
+    return rp.regime_report(stage(bars(s, d), "bars"), stage(_labels(s, d), "labels"), _QS)
 
 
 add("C24_regime_report", _regime_report, f"symbol {_PCT} vr_5:6 vr_10:6 hurst:6",
@@ -230,7 +227,7 @@ add("W20_theil_sen", lambda s, d: kyle.impact(bars(s, d)), "symbol ts_sec lambda
 add("W21_toxicity", lambda s, d: kyle.toxicity(kyle.impact(bars(s, d))), "symbol ts_sec toxicity:5 multiplier:5 regime",
     f"{_KY}\nSELECT * FROM tox")
 _adv = "CASE dominant_regime " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kyle.ADVICE.items()) + " END"
-add("C23_kyle_report", lambda s, d: kyle.daily_summary(kyle.toxicity(kyle.impact(bars(s, d)))),
+add("C23_kyle_report", lambda s, d: rp.kyle_report(bars(s, d))[1],
     "symbol date:d bars_analysed:l lambda_mean:5 lambda_median:5 lambda_p75:5 lambda_p95:5 avg_toxicity:5 max_toxicity:5 avg_multiplier:5 "
     "n_low:l n_medium:l n_high:l n_extreme:l dominant_regime recommendation",
     f"""{_KY}, g AS (SELECT symbol, date, count(*) AS bars_analysed, avg(lambda_robust) AS lambda_mean, quantile_cont(lambda_robust, 0.5) AS lambda_median,

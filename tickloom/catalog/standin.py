@@ -43,9 +43,9 @@ def _sel(m: dict[str, str]) -> list[str]:
     return [f"{e} AS {n}" for n, e in m.items()]
 
 
-def ticks(spark: SparkSession, d: str) -> DataFrame:
-    """events as ticks: event_type is the symbol, value the price, props.k the book."""
-    e = table(spark, d, "events").select(
+def ticks_of(events: DataFrame) -> DataFrame:
+    """events (batch or stream) as ticks: event_type is the symbol, value the price, props.k the book."""
+    e = events.select(
         "event_id", "event_type", "user_id", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_local_ns"))
@@ -55,6 +55,10 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def ticks(spark: SparkSession, d: str) -> DataFrame:
+    return ticks_of(table(spark, d, "events"))
+
+
 def bars(spark: SparkSession, d: str, width: int = BAR) -> DataFrame:
     return build_bars(ticks(spark, d), width)
 

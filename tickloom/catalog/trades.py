@@ -9,6 +9,7 @@ from tickloom.catalog.derivatives import _JOIN, _priced
 from tickloom.catalog.standin import FILL_ORDER, FILLS, OPTION_TICKS, fills, option_ticks
 from tickloom.functions.columns import ist_date
 from tickloom.operators import ledger as lg
+from tickloom.plans import reports as rp
 from tickloom.session import stage
 
 _r = {k: "CASE instrument_type " + " ".join(f"WHEN '{n}' THEN {r[k]!r}::DOUBLE" for n, r in lg.RATES.items()) + " END"
@@ -85,14 +86,7 @@ add("W32_inventory_path", lambda s, d: lg.inventory_path(fills(s, d), FILL_ORDER
 SELECT *, max(abs(inventory)) OVER (PARTITION BY symbol ORDER BY {_ORD} ROWS UNBOUNDED PRECEDING) AS max_inventory FROM p""")
 
 
-def _post(s, d):
-    m = lg.session_metrics(_sessions(s, d), _SORD)
-    c = lg.with_costs(_sessions(s, d)).groupBy("symbol", "date").agg(
-        F.sum("stt").alias("stt"), F.sum("gst").alias("gst"), F.sum(F.col("price") * F.col("quantity") * 5).alias("turnover"))
-    return m.join(c, ["symbol", "date"])
-
-
-add("C30_post_trade_report", _post, f"{_MET} stt:6 gst:6 turnover:3",
+add("C30_post_trade_report", lambda s, d: rp.post_trade_report(_sessions(s, d), _SORD), f"{_MET} stt:6 gst:6 turnover:3",
     f"""{_A31}, cc AS (SELECT symbol, yr AS date, sum(stt) AS stt, sum(gst) AS gst, sum(val) AS turnover FROM sq GROUP BY 1, 2)
 SELECT * FROM met JOIN cc USING (symbol, date)""")
 
