@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import (
-    clean, clip, ist_tod, mid_or_close, pearson, per_deviation, ratio, session_label,
+    clean, clip, ist_tod, mid_or_close, per_deviation, ratio, session_label,
 )
 from tickloom.operators.frames import BLOCK_ROWS, span
+from tickloom.operators.rolling import Frame, rolling, rolling_corr
 
 # Weights of the five book levels.
 LEVEL_WEIGHTS = (0.40, 0.25, 0.15, 0.12, 0.08)
@@ -33,34 +34,32 @@ def bar_features(bars: DataFrame, mode: str = "price", cross_day: bool = False,
     ``price``: deviation of the price, frames may be partial at the start.
     ``returns``: deviation of returns times sqrt(n), full frames only.
     """
-    s = span(bars, cross_day, back=300, block_rows=block_rows)
+    s = span(bars, cross_day, back=301, block_rows=block_rows, blocks=True)
     if mode == "returns":
         return _return_features(s)
-    cols = {}
-    for n in (10, 30, 60, 300):
-        cols[f"realized_vol_{n}s"] = F.stddev_samp("close").over(s.last(n))
-    for n in (10, 30, 60):
-        cols[f"imbalance_ma_{n}s"] = F.avg("imbalance_last").over(s.last(n))
-        cols[f"price_mom_{n}s"] = ratio(F.col("close") - s.lag("close", n), s.lag("close", n))
-    w = s.last(300)
-    cols["spread_zscore"] = per_deviation(
-        F.col("spread_mean") - F.avg("spread_mean").over(w), F.stddev_samp("spread_mean").over(w))
-    cols["volume_ratio"] = ratio("tick_count", F.avg("tick_count").over(s.last(60)))
-    return s.close(s.df.withColumns(cols))
+    frames = {f"realized_vol_{n}s": Frame("std", "close", n) for n in (10, 30, 60, 300)}
+    frames |= {f"imbalance_ma_{n}s": Frame("mean", "imbalance_last", n) for n in (10, 30, 60)}
+    frames |= {"_sm": Frame("mean", "spread_mean", 300), "_ss": Frame("std", "spread_mean", 300),
+               "_tc": Frame("mean", "tick_count", 60)}
+    d = rolling(s, s.df, frames)
+    cols = {f"price_mom_{n}s": ratio(F.col("close") - s.lag("close", n), s.lag("close", n)) for n in (10, 30, 60)}
+    cols["spread_zscore"] = per_deviation(F.col("spread_mean") - F.col("_sm"), F.col("_ss"))
+    cols["volume_ratio"] = ratio("tick_count", F.col("_tc"))
+    return s.close(d.withColumns(cols).drop("_sm", "_ss", "_tc"))
 
 
 def _return_features(s) -> DataFrame:
     d = s.df.withColumn("_ret", F.col("close") / s.lag("close") - 1)
-    cols = {f"realized_vol_{n}s": s.full(F.stddev_samp, "_ret", n) * math.sqrt(n)
-            for n in (10, 30, 60, 300)}
-    for n in (10, 30, 60):
-        cols[f"imbalance_ma_{n}s"] = s.full(F.avg, "imbalance_last", n)
-        cols[f"price_mom_{n}s"] = F.col("close") / s.lag("close", n) - 1
-    z = per_deviation(F.col("spread_mean") - s.full(F.avg, "spread_mean", 300),
-                      s.full(F.stddev_samp, "spread_mean", 300))
-    cols["spread_zscore"] = F.coalesce(z, F.lit(0.0))
-    cols["volume_ratio"] = F.coalesce(ratio("tick_count", s.full(F.avg, "tick_count", 60)), F.lit(1.0))
-    return s.close(d.withColumns(cols).drop("_ret"))
+    frames = {f"_v{n}": Frame("std", "_ret", n, full=True) for n in (10, 30, 60, 300)}
+    frames |= {f"imbalance_ma_{n}s": Frame("mean", "imbalance_last", n, full=True) for n in (10, 30, 60)}
+    frames |= {"_sm": Frame("mean", "spread_mean", 300, full=True), "_ss": Frame("std", "spread_mean", 300, full=True),
+               "_tc": Frame("mean", "tick_count", 60, full=True)}
+    d = rolling(s, d, frames)
+    cols = {f"realized_vol_{n}s": F.col(f"_v{n}") * math.sqrt(n) for n in (10, 30, 60, 300)}
+    cols |= {f"price_mom_{n}s": F.col("close") / s.lag("close", n) - 1 for n in (10, 30, 60)}
+    cols["spread_zscore"] = F.coalesce(per_deviation(F.col("spread_mean") - F.col("_sm"), F.col("_ss")), F.lit(0.0))
+    cols["volume_ratio"] = F.coalesce(ratio("tick_count", F.col("_tc")), F.lit(1.0))
+    return s.close(d.withColumns(cols).drop("_ret", "_sm", "_ss", "_tc", *[f"_v{n}" for n in (10, 30, 60, 300)]))
 
 
 def _positive(x, default: float):
@@ -70,7 +69,7 @@ def _positive(x, default: float):
 
 def flow_features(feats: DataFrame, cross_day: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Order-flow imbalance, autocorrelation, regime ratio, tick direction and model inputs."""
-    s = span(feats, cross_day, back=361, block_rows=block_rows)
+    s = span(feats, cross_day, back=362, block_rows=block_rows, blocks=True)
 
     def diff(c, n=1):
         return F.coalesce(F.col(c) - s.lag(c, n), F.lit(0.0))
@@ -116,31 +115,32 @@ def flow_features(feats: DataFrame, cross_day: bool = False, block_rows: int = B
         "vol_ratio_10_60": v10 / F.when(v60 == 0, F.lit(2.0)).otherwise(v60),
     })
     # frames over the differences
-    d = d.withColumn("_ret1", s.lag("_ret")).withColumns({
-        "ofi_zscore": F.col("ofi_l1") / _positive(s.full(F.stddev_samp, "ofi_l1", 300), 1),
-        "ofi_cum_60": F.coalesce(s.full(F.sum, "ofi_l1", 60), F.lit(0.0)),
+    d = rolling(s, d.withColumn("_ret1", s.lag("_ret")), {
+        "_so": Frame("std", "ofi_l1", 300, full=True), "_co": Frame("sum", "ofi_l1", 60, full=True),
+        "_sr": Frame("stdp", "_ret", 60, 1), "_m60": Frame("mean", "_v60", 60, full=True),
+        "_m300": Frame("mean", "_v300", 300, full=True), "_st": Frame("std", "spread_trend", 300, full=True),
+        "_td": Frame("mean", "_up", 60, full=True), "_soi": Frame("std", "oi_change", 300, full=True)})
+    d = rolling_corr(s, d, "_ac", "_ret", "_ret1", 59, 1)
+    d = d.withColumns({
+        "ofi_zscore": F.col("ofi_l1") / _positive(F.col("_so"), 1),
+        "ofi_cum_60": F.coalesce("_co", F.lit(0.0)),
         "price_autocorr_60": F.when(
-            (F.col("_pos0") >= 60) & (F.stddev_pop("_ret").over(s.before(60)) > 1e-10),
-            F.coalesce(pearson("_ret", "_ret1", s.line.rowsBetween(-59, -1)), F.lit(0.0)),
-        ).otherwise(0.0),
+            (F.col("_pos0") >= 60) & (F.col("_sr") > 1e-10), F.coalesce("_ac", F.lit(0.0))).otherwise(0.0),
         "vol_regime_ratio": F.coalesce(
-            s.full(F.avg, "_v60", 60)
-            / F.when(s.full(F.avg, "_v300", 300) == 0, F.lit(2.0)).otherwise(s.full(F.avg, "_v300", 300)),
-            F.lit(1.0)),
-        "spread_trend_z": F.col("spread_trend") / _positive(s.full(F.stddev_samp, "spread_trend", 300), 1),
-        "tick_direction_60": F.coalesce(s.full(F.avg, "_up", 60), F.lit(0.5)),
-        "oi_change_z": F.col("oi_change") / _positive(s.full(F.stddev_samp, "oi_change", 300), 1),
+            F.col("_m60") / F.when(F.col("_m300") == 0, F.lit(2.0)).otherwise(F.col("_m300")), F.lit(1.0)),
+        "spread_trend_z": F.col("spread_trend") / _positive(F.col("_st"), 1),
+        "tick_direction_60": F.coalesce("_td", F.lit(0.5)),
+        "oi_change_z": F.col("oi_change") / _positive(F.col("_soi"), 1),
     })
-    d = d.withColumn(
-        "tick_direction_z",
-        (F.col("tick_direction_60") - 0.5)
-        / _positive(s.full(F.stddev_samp, "tick_direction_60", 300), 0.1))
-    return s.close(d.drop("_mid", "_ret", "_ret1", "_up", "_v60", "_v300", "_pos0"))
+    d = rolling(s, d, {"_std": Frame("std", "tick_direction_60", 300, full=True)})
+    d = d.withColumn("tick_direction_z", (F.col("tick_direction_60") - 0.5) / _positive(F.col("_std"), 0.1))
+    return s.close(d.drop("_mid", "_ret", "_ret1", "_up", "_v60", "_v300", "_pos0", "_so", "_co", "_sr", "_m60", "_m300",
+                          "_st", "_td", "_soi", "_ac", "_std"))
 
 
 def imbalance_measures(feats: DataFrame, cross_day: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Deviation, change, extreme flag, flow proxy, micro-price and the weighted composite."""
-    s = span(feats, cross_day, back=301, block_rows=block_rows)
+    s = span(feats, cross_day, back=302, block_rows=block_rows, blocks=True)
     imb = F.coalesce(F.col("imbalance_last"), F.lit(0.0))
     mid = mid_or_close()
     d = s.df.withColumns({
@@ -155,25 +155,25 @@ def imbalance_measures(feats: DataFrame, cross_day: bool = False, block_rows: in
             F.lit(0.5)),
         "session": session_label(ist_tod()),
     })
+    d = rolling(s, d, {"_si": Frame("std", "imb_simple", 300, full=True), "_so": Frame("std", "ofi_proxy", 300, full=True)})
     d = d.withColumns({
         "imb_delta": F.coalesce(F.col("imb_simple") - s.lag("imb_simple"), F.lit(0.0)),
-        "imb_extreme": (F.abs("imb_simple") > 2 * F.coalesce(s.full(F.stddev_samp, "imb_simple", 300), F.lit(0.1)))
+        "imb_extreme": (F.abs("imb_simple") > 2 * F.coalesce("_si", F.lit(0.1)))
         .cast("double"),
-        "ofi_norm": clip(F.col("ofi_proxy") / _positive(s.full(F.stddev_samp, "ofi_proxy", 300), 1), -3.0, 3.0),
+        "ofi_norm": clip(F.col("ofi_proxy") / _positive(F.col("_so"), 1), -3.0, 3.0),
         "micro_vs_mid": F.col("micro_price") - mid,
     })
     d = d.withColumn(
         "imb_combined",
         0.40 * F.col("imb_simple") + 0.30 * clip("ofi_norm", -1.0, 1.0)
         + 0.20 * clip("imb_dev_30s", -1.0, 1.0) + 0.10 * clip("imb_delta", -1.0, 1.0))
-    return s.close(d)
+    return s.close(d.drop("_si", "_so"))
 
 
 def influence(feats: DataFrame, window: int = 60, rho: float = 0.5, cross_day: bool = False,
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Influence score from z-scores against the rows before a bar, and the alpha composite."""
-    s = span(feats, cross_day, back=window, block_rows=block_rows)
-    prev = s.before(window)
+    s = span(feats, cross_day, back=window + 1, block_rows=block_rows, blocks=True)
     base = s.df.withColumns({
         "_impact": F.abs(clean("price_impact", 0)),
         "_vr": clean("volume_ratio", 1),
@@ -185,13 +185,20 @@ def influence(feats: DataFrame, window: int = 60, rho: float = 0.5, cross_day: b
     }).withColumn("_flow", clean("volume_delta", 0) / F.col("_tc"))
     ready = F.col("_pos0") >= window
 
+    frames = {}
+    for c in ("_impact", "_vr", "_tc"):
+        frames |= {f"{c}_m": Frame("mean", c, window, 1), f"{c}_s": Frame("stdp", c, window, 1)}
+    for c in ("_flow", "_mom", "_imb"):
+        frames |= {f"{c}_lo": Frame("min", c, window, 1), f"{c}_hi": Frame("max", c, window, 1)}
+    base = rolling(s, base, frames)
+
     def z(c):
-        sd = F.stddev_pop(c).over(prev)
-        return F.when(ready & (sd > 1e-8), (F.col(c) - F.avg(c).over(prev)) / sd).otherwise(0.0)
+        sd = F.col(f"{c}_s")
+        return F.when(ready & (sd > 1e-8), (F.col(c) - F.col(f"{c}_m")) / F.when(sd > 1e-8, sd)).otherwise(0.0)
 
     def scaled(c):
-        lo, hi = F.min(c).over(prev), F.max(c).over(prev)
-        return F.when(ready & (hi - lo > 1e-10), 2 * (F.col(c) - lo) / (hi - lo) - 1).otherwise(0.0)
+        lo, width = F.col(f"{c}_lo"), F.col(f"{c}_hi") - F.col(f"{c}_lo")
+        return F.when(ready & (width > 1e-10), 2 * (F.col(c) - lo) / F.when(width > 1e-10, width) - 1).otherwise(0.0)
 
     d = base.withColumns({
         "impact_z": z("_impact"), "volume_z": z("_vr"), "tick_z": z("_tc"),
@@ -207,19 +214,19 @@ def influence(feats: DataFrame, window: int = 60, rho: float = 0.5, cross_day: b
         "is_influential": F.col("influence_score") >= rho,
         "p_influential": clip(F.lit(rho) * (1 + 2 * (F.col("influence_score") - 0.5)), 0.0, 1.0),
     })
-    return s.close(d.drop("_impact", "_vr", "_tc", "_mom", "_imb", "_sz", "_flow", "_pos0"))
+    return s.close(d.drop("_impact", "_vr", "_tc", "_mom", "_imb", "_sz", "_flow", "_pos0", *frames))
 
 
 def dynamic_sigma(feats: DataFrame, window: int = 300, floor: float = 2.0, cross_day: bool = False,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean of the 60-row volatility; the raw value for the first ``window`` rows."""
-    s = span(feats, cross_day, back=window, block_rows=block_rows)
+    s = span(feats, cross_day, back=window + 1, block_rows=block_rows, blocks=True)
     raw = F.coalesce(F.when(F.col("realized_vol_60s") > 0, F.col("realized_vol_60s")), F.lit(floor))
     d = s.df.withColumns({"_raw": raw, "_pos0": s.pos})
-    mean = F.avg("_raw").over(s.last(window))
-    d = d.withColumn("sigma", F.when(F.col("_pos0") < window, F.col("_raw")).otherwise(mean))
+    d = rolling(s, d, {"_mean": Frame("mean", "_raw", window)})
+    d = d.withColumn("sigma", F.when(F.col("_pos0") < window, F.col("_raw")).otherwise(F.col("_mean")))
     d = d.withColumn("sigma", F.when(F.col("sigma") <= 0, F.lit(floor)).otherwise(F.col("sigma")))
-    return s.close(d.drop("_raw", "_pos0"))
+    return s.close(d.drop("_raw", "_pos0", "_mean"))
 
 
 def imbalance_spike(feats: DataFrame) -> DataFrame:
@@ -254,16 +261,12 @@ def detrended_returns(bars: DataFrame, horizons=(30, 60, 300), window: int = 300
     takes the mean up to the bar itself, which looks h rows ahead.
     """
     far = max(horizons)
-    s = span(bars, cross_day, back=window + far, ahead=far, block_rows=block_rows)
+    s = span(bars, cross_day, back=window + far + 1, ahead=far, block_rows=block_rows, blocks=True)
     d = s.df.withColumns({f"fwd_{h}": s.lead("close", h) - F.col("close") for h in horizons})
-    cols = {}
-    for h in horizons:
-        shift = h if detrend == "lagged" else 0
-        w = s.line.rowsBetween(-(window - 1) - shift, -shift)
-        c = f"fwd_{h}"
-        mean = F.when(F.count(c).over(w) == window, F.avg(c).over(w))
-        cols[f"fwd_{h}_dt"] = F.col(c) - mean
-    return s.close(d.withColumns(cols))
+    d = rolling(s, d, {
+        f"_m{h}": Frame("mean", f"fwd_{h}", window, h if detrend == "lagged" else 0, full=True) for h in horizons})
+    d = d.withColumns({f"fwd_{h}_dt": F.col(f"fwd_{h}") - F.col(f"_m{h}") for h in horizons})
+    return s.close(d.drop(*[f"_m{h}" for h in horizons]))
 
 
 def direction_labels(bars: DataFrame, horizon: int = 30, threshold: float = 0.0005,

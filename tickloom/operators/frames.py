@@ -4,7 +4,8 @@ Bars hold at most 86,400 rows per symbol and day, so a frame that is partitioned
 by (symbol, date) has a fixed upper size whatever the symbol's share of the data.
 A frame that may cross days has no such limit. For it the rows of a symbol get a
 running position, are cut into blocks, and the rows a frame can reach into a
-neighbouring block are copied there. Every task then sees one block.
+neighbouring block are copied there. Every task then sees whole blocks. Frames of
+one day may be cut the same way, without another shuffle, for ``rolling``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 100_000
+# with the halo of the longest frame a block stays below the 4,096 rows that Spark's
+# window operator keeps in memory before it turns to its spillable buffer
+BLOCK_ROWS = 3600
 
 
 def with_position(df: DataFrame, keys: list[str], chunk: str, order: list[str],
@@ -73,18 +76,22 @@ class Span:
 
 
 def span(df: DataFrame, cross_day: bool = False, back: int = 0, ahead: int = 0,
-         block_rows: int = BLOCK_ROWS) -> Span:
+         block_rows: int = BLOCK_ROWS, blocks: bool = False) -> Span:
     """Frames by (symbol, date), or across days with frames up to ``back``/``ahead`` rows.
 
     ``back`` must cover the whole reach of nested frames, e.g. 361 for a 300-row
-    deviation of a 60-row mean of a difference.
+    deviation of a 60-row mean of a difference. ``blocks`` cuts single days as well.
     """
-    if not cross_day:
+    if not cross_day and not blocks:
         return Span(df, ("symbol", "date"), "ts_sec", False)
-    d = with_position(df, ["symbol"], "date", ["ts_sec"])
+    if cross_day:
+        keys, d = ("symbol",), with_position(df, ["symbol"], "date", ["ts_sec"])
+    else:
+        keys = ("symbol", "date")
+        d = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy("ts_sec")) - 1)
     b = F.lit(block_rows)
     first = F.greatest(F.lit(0), F.floor((F.col("_pos") - ahead) / b)).cast("long")
     final = F.floor((F.col("_pos") + back) / b).cast("long")
     d = d.withColumn("_blk", F.explode(F.sequence(first, final)))
     d = d.withColumn("_own", F.col("_blk") == F.floor(F.col("_pos") / b))
-    return Span(d, ("symbol", "_blk"), "_pos", True)
+    return Span(d, (*keys, "_blk"), "_pos", True)

@@ -9,7 +9,8 @@ from tickloom.functions.columns import in_session, ist_date, per_deviation, rati
 from tickloom.functions.pricing import RISK_FREE, iv_greeks
 from tickloom.functions.symbols import parse_options
 from tickloom.operators.bars import build_bars
-from tickloom.operators.frames import Span
+from tickloom.operators.frames import span
+from tickloom.operators.rolling import Frame, rolling
 
 
 def option_bars(ticks: DataFrame, width: int = 1, tiebreak: str = "tick_id") -> DataFrame:
@@ -59,9 +60,11 @@ def moneyness(spot: Column, strike: Column) -> Column:
 
 def iv_windows(df: DataFrame, mean_rows: int = 60, z_rows: int = 300) -> DataFrame:
     """Full-frame mean and z-score of implied volatility by option and day."""
-    s = Span(df, ("symbol", "date"), "ts_sec", False)
-    z = per_deviation(F.col("iv") - s.full(F.avg, "iv", z_rows), s.full(F.stddev_samp, "iv", z_rows))
-    return df.withColumns({"iv_ma_60s": s.full(F.avg, "iv", mean_rows), "iv_zscore": z})
+    s = span(df, back=z_rows + 1, blocks=True)
+    d = rolling(s, s.df, {
+        "iv_ma_60s": Frame("mean", "iv", mean_rows, full=True), "_m": Frame("mean", "iv", z_rows, full=True),
+        "_s": Frame("std", "iv", z_rows, full=True)})
+    return s.close(d.withColumn("iv_zscore", per_deviation(F.col("iv") - F.col("_m"), F.col("_s"))).drop("_m", "_s"))
 
 
 def enrich_chain(bars: DataFrame, spot: DataFrame, rate: float = RISK_FREE,

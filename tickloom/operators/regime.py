@@ -11,6 +11,7 @@ from tickloom.functions.columns import finite, pearson, ratio
 from tickloom.operators.frames import BLOCK_ROWS, span, with_position
 from tickloom.operators.profile import unpivot
 from tickloom.operators.ranks import quantiles, trim
+from tickloom.operators.rolling import Frame, rolling
 
 LABELS = ("MEAN_REVERTING", "CHOPPY", "TRENDING", "VOLATILE")
 
@@ -122,13 +123,14 @@ def regime_labels(feats: DataFrame, window: int = 300, q: int = 10, cross_day: b
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Label of each bar from the ``window`` rows before it: volatility gate, then variance ratio."""
     p75 = quantiles(feats, ["symbol"], "realized_vol_60s", {"_p75": 0.75})
-    s = span(feats, cross_day, back=window + q, block_rows=block_rows)
+    s = span(feats, cross_day, back=window + q + 1, block_rows=block_rows, blocks=True)
     d = s.df.withColumns({
         "_r1": F.col("close") / s.lag("close") - 1, "_rq": F.col("close") / s.lag("close", q) - 1, "_i": s.pos})
-    v1 = F.var_samp("_r1").over(s.line.rowsBetween(-(window - 1), -1))
-    vq = F.var_samp("_rq").over(s.line.rowsBetween(-(window - q), -1))
-    d = s.close(d.withColumns({
-        "vol_before": F.avg("realized_vol_60s").over(s.before(window)), "vr": ratio(vq, v1 * q)}))
+    d = rolling(s, d, {
+        "_s1": Frame("std", "_r1", window - 1, 1), "_sq": Frame("std", "_rq", window - q, 1),
+        "vol_before": Frame("mean", "realized_vol_60s", window, 1)})
+    d = s.close(d.withColumn("vr", ratio(F.col("_sq") * F.col("_sq"), F.col("_s1") * F.col("_s1") * q)))
+    d = d.drop("_s1", "_sq")
     return d.join(p75, "symbol").withColumn(
         "regime",
         F.when(F.col("_i") < window, "CHOPPY")
@@ -200,13 +202,13 @@ def sigma_estimators(feats: DataFrame, horizon: int = 60, min_rows: int = 50, ro
                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Four volatility estimators against the volatility ``horizon`` rows later."""
     s = span(feats.select("symbol", "date", "ts_sec", "close", "realized_vol_60s", "realized_vol_300s"),
-             True, back=roll, ahead=horizon, block_rows=block_rows)
-    w = s.last(roll)
+             True, back=roll + 1, ahead=horizon, block_rows=block_rows)
     vol = F.col("realized_vol_60s")
-    d = s.close(s.df.withColumns({
+    d = s.df.withColumns({
         "target": s.lead("realized_vol_60s", horizon), "est_60s": vol, "est_300s": F.col("realized_vol_300s"),
-        "ret": F.col("close") / s.lag("close") - 1,
-        "est_roll": F.when(F.count(vol).over(w) >= 30, F.avg(vol).over(w))}))
+        "ret": F.col("close") / s.lag("close") - 1, "_one": F.when(vol.isNotNull(), 1.0)})
+    d = rolling(s, d, {"_k": Frame("sum", "_one", roll), "_m": Frame("mean", "realized_vol_60s", roll)})
+    d = s.close(d.withColumn("est_roll", F.when(F.col("_k") >= 30, F.col("_m"))).drop("_one", "_k", "_m"))
     d = ewm_std(d, "ret", "est_ewm")
     long = unpivot(d, ["symbol", "target"], ["est_60s", "est_300s", "est_ewm", "est_roll"], "estimator", "x")
     long = long.where((F.col("x") > 0) & (F.col("target") > 0) & finite("x"))
