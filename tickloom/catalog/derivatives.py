@@ -130,7 +130,7 @@ add("J10_future_lookup", lambda s, d: op.with_future(_terms(s, d), feed_bars(s,
     "symbol ts_sec close:6 future_price:6",
     f"{_TERMS}\nSELECT ob.symbol, ob.ts_sec, ob.close, fb.close AS future_price FROM ob LEFT JOIN fb ON fb.kind = 1 AND fb.underlying = ob.underlying AND fb.ts_sec = ob.ts_sec")
 add("A29_option_quality", lambda s, d: op.quality(_chain(s, d)),
-    "underlying date:d n_bars:l n_symbols:l good_bars:l avg_premium:6 avg_iv:4 avg_abs_delta:5 first_ts:l last_ts:l",
+    "underlying date:d n_bars:l n_symbols:l good_bars:l avg_premium:9 avg_iv:4 avg_abs_delta:5 first_ts:l last_ts:l",
     f"""{_IV}
 SELECT underlying, date, count(*) AS n_bars, count(DISTINCT symbol) AS n_symbols, count(*) FILTER (close > 1 AND iv > 0) AS good_bars,
   avg(close) FILTER (close > 1) AS avg_premium, avg(iv) FILTER (iv > 0) AS avg_iv, avg(abs(delta)) AS avg_abs_delta,

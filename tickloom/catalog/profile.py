@@ -129,7 +129,7 @@ SELECT symbol, signal, corr(x, y) AS corr, count(*) AS n FROM l WHERE x IS NOT N
 _w300 = "(PARTITION BY symbol ORDER BY ts_sec ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)"
 add("A19_setup_test",
     lambda s, d: pf.setup_test(ft.reversion_setup(ft.detrended_returns(feats(s, d), (30, 60), detrend="reference", cross_day=True)), [30, 60]),
-    "symbol horizon n_long:l n_short:l long_pnl:5 short_pnl:5 all_pnl:5 win_rate:6 t_stat:5 n:l",
+    "symbol horizon n_long:l n_short:l long_pnl:7 short_pnl:7 all_pnl:7 win_rate:6 t_stat:5 n:l",
     f"""{FEATS}, f AS (SELECT *, {', '.join(f'lead(close, {h}) OVER {_LINE} - close AS f{h}' for h in (30, 60))} FROM feats),
 g AS (SELECT *, {', '.join(f'CASE WHEN count(f{h}) OVER {_w300} = 300 THEN f{h} - avg(f{h}) OVER {_w300} END AS d{h}' for h in (30, 60))} FROM f),
 l AS ({' UNION ALL '.join(f"SELECT symbol, 'fwd_{h}_dt' AS horizon, sign(imbalance_last) AS side, sign(imbalance_last) * d{h} AS pnl FROM g WHERE abs(imbalance_last) > 2e-1 AND sign(imbalance_last) <> sign(price_mom_30s) AND d{h} IS NOT NULL" for h in (30, 60))})

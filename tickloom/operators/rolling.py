@@ -79,7 +79,7 @@ def _moment(s: Span, f: Frame) -> Column:
     if f.op == "sum":
         value = total + n * first
     elif f.op == "mean":
-        value = first + total / F.when(n > 0, n)
+        value = (total + n * first) / F.when(n > 0, n)  # whole numbers stay exact
     else:
         moved = upto("d", f.shift) - upto("d", f.shift + f.n - 1)
         k = F.when(n > 1, n - 1) if f.op == "std" else F.when(n > 0, n)
