@@ -13,7 +13,7 @@ from tickloom.session import stage
 
 
 def _direction(s, d):
-    t = stage(md.enough_moves(md.training_table(bars(s, d), horizon=5)), "training")
+    t = stage(md.enough_moves(md.training_table(bars(s, d), horizon=5, cross_day=True), 100), "training")
     split = F.lit("2024-01-22").cast("date")
     up, down = md.train(t.where(F.col("date") < split), max_iter=8, max_depth=4)
     scored = stage(md.predict(t.where(F.col("date") >= split), up, down).select("symbol", "label", "p_up", "p_down"), "scored")
