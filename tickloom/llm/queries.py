@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, neardup, sharding, substrings, tokenfile, topk
+from tickloom.llm import bpe, language, neardup, sharding, substrings, tokenfile, topk
 from tickloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_substrings(spark, sf_dir):
     return substrings.deduplicated_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark, sf_dir):
+    return language.predicted_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark, sf_dir):
     return neardup.classed_documents(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_top_k(spark, sf_dir):
     return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_token_files, op5_substrings, op7_near_duplicates, op9_sharding, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates, op9_sharding, op10_top_k)}
 SQL: dict[str, str] = {}
