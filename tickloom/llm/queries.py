@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, language, neardup, sharding, substrings, tokenfile, topk
+from tickloom.llm import bpe, decontamination, language, neardup, sharding, substrings, tokenfile, topk
 from tickloom.llm.common import table
 
 
+def op1_decontamination(spark, sf_dir):
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("node")
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.encoded_documents(table(spark, sf_dir, "documents"))
 
@@ -34,5 +39,5 @@ def op10_top_k(spark, sf_dir):
     return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates, op9_sharding, op10_top_k)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates, op9_sharding, op10_top_k)}
+SQL = {"op1_decontamination": decontamination.SQL}
