@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, decontamination, language, neardup, sharding, substrings, tokenfile, topk
+from tickloom.llm import bpe, decontamination, language, neardup, secrets, sharding, substrings, tokenfile, topk
 from tickloom.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_near_duplicates(spark, sf_dir):
     return neardup.classed_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark, sf_dir):
+    return secrets.scanned_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_top_k(spark, sf_dir):
     return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates, op9_sharding, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates, op8_secrets, op9_sharding, op10_top_k)}
 SQL = {"op1_decontamination": decontamination.SQL}
