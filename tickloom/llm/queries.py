@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, decontamination, language, neardup, secrets, sharding, substrings, tokenfile, topk
+from tickloom.llm import bpe, decontamination, language, lines, neardup, secrets, sharding, substrings, tokenfile, topk
 from tickloom.llm.common import table
 
 
@@ -11,6 +11,10 @@ def op1_decontamination(spark, sf_dir):
     return found.drop("node")
 
 
+def op2_lines(spark, sf_dir):
+    return lines.deduplicated_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.encoded_documents(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_top_k(spark, sf_dir):
     return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates, op8_secrets, op9_sharding, op10_top_k)}
-SQL = {"op1_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lines, op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates, op8_secrets, op9_sharding, op10_top_k)}
+SQL = {"op1_decontamination": decontamination.SQL, "op2_lines": lines.SQL}

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +22,13 @@ END_ID = 2
 
 BLOCK = ("part int, first long, doc_ids array<long>, lengths array<int>, n_ids int, "
          "checkpoints array<int>, payload binary")
-# a text whose only white space is a single space or line feed between other characters
-SIMPLE = regex.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
-
 
 class Cached:
     """The tokenizers library behind a table of pieces that it has already encoded.
 
-    The file's pattern starts a new piece at every single space and line feed, so between them the library's answer
-    does not depend on the context. Texts with other white space go to the library whole.
+    The file's pattern starts a new piece at every single space and line feed and between letters and a full stop or
+    comma, so there the library's answer does not depend on the context. Texts with other white space go to the library
+    whole.
     """
 
     def __init__(self, spec: str):
@@ -38,33 +36,47 @@ class Cached:
 
         self.library = Tokenizer.from_str(spec)
         self.known: dict[str, bytes] = {}
-        self.newline = self._encode("\n")
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out += ["\n", first]
-            out += [" " + w for w in rest]
-        return out[1:]
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Adds the ids of pieces: "\nword" begins a line, "word" follows a space, "." and "," follow a letter."""
+        known, ends = self.known, []
+        for p in list(pieces):
+            if p[-1:] in (".", ",") and p[:-1].removeprefix("\n").isalpha():
+                pieces.discard(p)
+                ends.append(p)
+        pieces |= {p[:-1] for p in ends}
+        fresh = [p for p in pieces if p not in known]
+        for start in range(0, len(fresh), 5_000):
+            part = fresh[start:start + 5_000]
+            known.update(zip(part, self._encoded([p if p[:1] == "\n" else " " + p for p in part])))
+        stops = dict(zip(".,", self._encoded([".", ","])))
+        known.update((p, known[p[:-1]] + stops[p[-1]]) for p in ends)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        known, cut = self.known, [None if SIMPLE.search(t) else self._pieces(t) if t else [] for t in texts]
-        fresh = list({p for c in cut if c for p in c if p not in known})
-        for start in range(0, len(fresh), 10_000):
-            part = fresh[start:start + 10_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(self._encode(t) if c is None else b"".join([known[p] for p in c]), dtype="<u4")
-                for t, c in zip(texts, cut)]
+        known, cut, fresh = self.known, [], set()
+        for t in texts:
+            plain = t.replace("\n", " ").split(" ") == t.split()
+            cut.append(t.replace("\n", " \n").split(" ") if plain else None)
+            if plain:
+                cut[-1][0] = "\n" + cut[-1][0]
+                fresh.update(cut[-1])
+        self._learn(fresh - known.keys())
+        out = []
+        for t, c in zip(texts, cut):
+            if c is None:
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4"))
+            else:  # less the line feed that stands before the text
+                out.append(np.frombuffer(b"".join([known[p] for p in c]), dtype="<u4")[1:])
+        return out
 
 
-def slices(texts: pd.Series, chars: int = 4_000_000):
+def slices(texts: pd.Series, chars: int = 2_000_000):
     """Whole texts, a few MB at a time."""
     out, size = [], 0
     for t in texts:
