@@ -1,13 +1,57 @@
-"""The corpus pipeline: its stages are added below as their operators come in."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, benchmark decontamination, BPE round trip."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import bpe, decontamination, language, lines, neardup
+from tickloom.llm.common import staged, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays undecided, go."""
+    return language.with_language(docs)
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the lines whose template recurs, except where it comes first; all documents stay."""
+    out = lines.without_recurring_lines(docs).drop("n_lines", "n_dropped")
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal or similar texts stays."""
+    return neardup.without_copies(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go if benchmark windows cover a twentieth of their words or more."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, with the number of its tokens and digests of their ids and of the decoded text."""
+    return bpe.round_trip(docs).drop("text")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_recurring_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode_and_decode),
+]
+
+# language models, weighted signatures and merges have no SQL; tests/llm compares the stages with plain Python
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result is written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
