@@ -40,7 +40,7 @@ class Merger:
 
     @staticmethod
     def _plain(d: dict):
-        """The file's own split pattern for ASCII chunks, whose bytes are their symbols; None if it says anything else."""
+        """The file's own split pattern for printable ASCII chunks, whose bytes are their symbols; None if it says anything else."""
         steps = (d["pre_tokenizer"] or {}).get("pretokenizers") or []
         norms = [n["type"] for n in (d["normalizer"] or {}).get("normalizers", [])]
         if norms == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and \
@@ -50,7 +50,7 @@ class Merger:
 
     def pieces(self, chunk: str) -> list[str]:
         """The units that merges never cross, as strings of byte symbols."""
-        if self.plain and chunk.isascii():
+        if self.plain and chunk.isascii() and chunk.isprintable():
             return self.plain.findall(chunk.lower())
         lib = self.library
         text = lib.normalizer.normalize_str(chunk) if lib.normalizer else chunk
