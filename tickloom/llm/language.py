@@ -25,6 +25,12 @@ def letter_runs(text: str) -> list[str]:
     return RUNS.findall(text.lower())
 
 
+def grams_of(word: str, k: int) -> list[str]:
+    """Character n-grams of a word; those of two or more may hold the blank before or after it."""
+    padded = f" {word} " if k > 1 else word
+    return [padded[i:i + k] for i in range(len(padded) - k + 1)]
+
+
 def sample(labelled: DataFrame, rows: int) -> DataFrame:
     """(lang, text) of at most ``rows`` rows per language, those with the smallest hashes of their doc_id.
 
@@ -54,10 +60,9 @@ def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, entries: int = ENT
                 found = Counter()
                 for w, n in words.items():
                     found[0, w] += n
-                    padded = f" {w} "
                     for k in range(1, LONGEST_GRAM + 1):
-                        for i in range(len(padded) - k + 1):
-                            found[k, padded[i:i + k]] += n
+                        for g in grams_of(w, k):
+                            found[k, g] += n
                 yield pd.DataFrame({"lang": lang, "kind": [k for k, _ in found], "gram": [g for _, g in found],
                                     "n": list(found.values())})
 
@@ -94,10 +99,9 @@ class Scorer:
             return None
         if (found := self.rows[0].get(word)) is not None:
             return found
-        padded = f" {word} "
         for k in range(LONGEST_GRAM, 0, -1):
             table = self.rows[k]
-            found = [r for i in range(len(padded) - k + 1) if (r := table.get(padded[i:i + k])) is not None]
+            found = [r for g in grams_of(word, k) if (r := table.get(g)) is not None]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs))
