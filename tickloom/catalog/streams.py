@@ -60,15 +60,17 @@ def _bars(s, d):
     return _run(s, sj.bar_stream(_stream(s, d), 1800), "bars")
 
 
-add("T2_bar_stream", _bars, f"{KEY} open:6 high:6 low:6 close:6 volume_delta:l tick_count:l spread_mean:7 imbalance_std:6 weighted_mid:6 bid_q5:l",
-    f"{_CLOSED}\nSELECT * FROM closed")
+def _all_bars(s, d):
+    emitted = _bars(s, d)
+    return emitted.unionByName(sj.closing_bars(ticks_of(table(s, d, "events")), emitted, 1800))
+
+
+add("T2_bar_stream", _all_bars, f"{KEY} open:6 high:6 low:6 close:6 volume_delta:l tick_count:l spread_mean:7 imbalance_std:6 weighted_mid:6 bid_q5:l",
+    f"{BARS}\nSELECT * FROM bars")
 
 
 def _features(s, d):
-    b = _bars(s, d)
-    path = scratch_path(s, "bar-table")
-    b.repartition(1).write.parquet(path)
-    return _run(s, ss.rolling_features(sj.file_stream(s, path, b.schema)), "features")
+    return _run(s, ss.rolling_features(sj.bar_stream(_stream(s, d), 1800)), "features")
 
 
 _FS = FEATS_DAY.replace("FROM bars)", "FROM closed)").replace(",\nfeats AS", ", closed AS (SELECT bars.* FROM bars WHERE ts_sec + 1800 <= (SELECT max(ts_local_ns) / 1e9 - 5 FROM ticks)),\nfeats AS")
@@ -87,11 +89,11 @@ def _late(s, d):
     src, out = scratch_path(s, "feed"), scratch_path(s, "split")
     e = table(s, d, "events")
     second = "event_type IN ('purchase', 'error')"
-    e.where(f"NOT {second}").coalesce(1).write.parquet(src)
+    e.where(f"NOT {second}").write.parquet(src)
     q = lambda: sj.drain(sj.split_late(ticks_of(sj.file_stream(s, src, e.schema)), out, checkpoint, 86400.0))
     checkpoint = sj.checkpoint_for(s, "late")
     q()
-    e.where(second).coalesce(1).write.mode("append").parquet(src)
+    e.where(second).write.mode("append").parquet(src)
     q()
     return s.read.parquet(f"{out}/ticks").groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_ticks"), F.sum(F.col("is_late").cast("int")).alias("n_late"))
@@ -113,7 +115,7 @@ def _strikes(s, d):
 
 add("T6_strike_stream", _strikes, "underlying slot:l atm:2 to_add to_remove",
     """WITH RECURSIVE e AS (SELECT upper(event_type) AS underlying, epoch_us(ts) AS us, 25 + value / 50 AS px FROM events),
-sl0 AS (SELECT underlying, us // 1800000000 * 1800 AS slot, last(px ORDER BY us) AS price FROM e GROUP BY 1, 2),
+sl0 AS (SELECT underlying, us // 1800000000 * 1800 AS slot, last(px ORDER BY us, px) AS price FROM e GROUP BY 1, 2),
 sl AS (SELECT underlying, slot, round_even(price, 0) AS atm, DATE '1970-01-01' + CAST((slot + 19800) // 86400 AS INTEGER) AS date,
   row_number() OVER (PARTITION BY underlying, (slot + 19800) // 86400 ORDER BY slot) AS i FROM sl0 WHERE slot + 1800 <= (SELECT max(us) / 1e6 - 5 FROM e)),
 fo AS (SELECT underlying, date, slot, atm, i, atm AS cur, TRUE AS chg FROM sl WHERE i = 1 UNION ALL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tickloom.functions.columns import ist_date, ist_text, ist_tod
 from tickloom.functions.symbols import instrument_class
-from tickloom.operators.bars import bar_aggregates, bar_columns, tick_columns
+from tickloom.operators.bars import bar_aggregates, bar_columns, build_bars, tick_columns
 from tickloom.operators.options import strike_sets
 from tickloom.session import scratch_path
 
@@ -20,14 +22,34 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str |
     return (r.option("pathGlobFilter", glob) if glob else r).parquet(path)
 
 
-def drain(query: StreamingQuery, seconds: int = 600) -> StreamingQuery:
-    """Waits for an available-now query and raises what made it fail."""
-    if not query.awaitTermination(seconds):
+def drain(query: StreamingQuery, seconds: float | None = None) -> StreamingQuery:
+    """Waits for an available-now query, as long as it takes or ``seconds``, and raises what made it fail."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream {query.name or query.id} still runs after {seconds} s")
     return query
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """A stream started inside keeps its state in RocksDB, which keyed state needs; the session's own choice comes back.
+
+    A query copies the session's settings when it starts.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, own)
+
+
 def _writer(df: DataFrame, checkpoint: str, every: str | None, mode: str = "append"):
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     return w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
@@ -53,7 +75,16 @@ def bar_stream(ticks: DataFrame, width: int = 1, late: str = "5 seconds", tiebre
 
 
 def store(df: DataFrame, path: str, checkpoint: str, every: str | None = None, mode: str = "append") -> StreamingQuery:
-    return _writer(df, checkpoint, every, mode).format("parquet").start(path)
+    with keyed_state(df.sparkSession):
+        return _writer(df, checkpoint, every, mode).format("parquet").start(path)
+
+
+def closing_bars(ticks: DataFrame, stored: DataFrame, width: int = 1) -> DataFrame:
+    """The bars of a finished session that the stream still held: nothing passes the watermark after the last tick.
+
+    ``ticks``: the session's stored ticks; ``stored``: the bars that the stream emitted.
+    """
+    return build_bars(ticks, width).join(stored.select("symbol", "ts_sec"), ["symbol", "ts_sec"], "left_anti")
 
 
 def split_late(ticks: DataFrame, path: str, checkpoint: str, late_seconds: float = 5.0, every: str | None = None) -> StreamingQuery:
@@ -83,9 +114,10 @@ def strike_stream(spot: DataFrame, master: DataFrame, path: str, checkpoint: str
 
     Closed slots are stored by day; the changes of the days a batch touches are
     computed again from the stored slots, so a repeated batch gives the same table.
+    Of ticks at the same time the highest price counts.
     """
     w = F.window("ts", f"{slot_seconds} seconds")
-    slots = spot.withWatermark("ts", late).groupBy(w, "underlying").agg(F.max_by("spot_price", "ts").alias("spot_price"))
+    slots = spot.withWatermark("ts", late).groupBy(w, "underlying").agg(F.max_by("spot_price", F.struct("ts", "spot_price")).alias("spot_price"))
     slots = slots.select("underlying", F.unix_timestamp("window.start").alias("ts_sec"), "spot_price").withColumn("date", ist_date())
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import warnings
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,54 +25,88 @@ FEATURES = (
     + ", ".join(f"price_mom_{n}s double" for n in MEANS) + ", spread_zscore double, volume_ratio double, sigma double")
 
 
-def _deviation(x: np.ndarray) -> float | None:
-    return float(x.std(ddof=1)) if len(x) > 1 else None
+SPAN = 4096
 
 
-def _line(close, imb, spread, ticks):
-    """Features of the last bar of the given history, by the definitions of the batch job."""
-    out = [_deviation(close[-n:]) for n in WINDOWS]
-    out += [float(imb[-n:].mean()) for n in MEANS]
-    out += [float((close[-1] - close[-1 - n]) / close[-1 - n]) if len(close) > n and close[-1 - n] else None for n in MEANS]
-    sd = _deviation(spread[-300:])
-    out.append(float((spread[-1] - spread[-300:].mean()) / sd) if sd and sd > 1e-12 else None)
-    out.append(float(ticks[-1] / ticks[-60:].mean()))
+def _spans(x: np.ndarray, n: int, first: int):
+    """The last ``n`` values up to each row from ``first`` on, NaN where there are fewer; some thousand rows at a time."""
+    padded = np.concatenate([np.full(n - 1, np.nan), x])
+    view = np.lib.stride_tricks.sliding_window_view(padded, n)[first:]
+    for start in range(0, len(view), SPAN):
+        yield view[start:start + SPAN]
+
+
+def _rolled(x: np.ndarray, n: int, first: int, apply) -> np.ndarray:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # spans of one value have no deviation
+        return np.concatenate([apply(v) for v in _spans(x, n, first)])
+
+
+def _deviations(v: np.ndarray) -> np.ndarray:
+    return np.nanstd(v, axis=1, ddof=1)
+
+
+def _means(v: np.ndarray) -> np.ndarray:
+    return np.nanmean(v, axis=1)
+
+
+def _features(day: pd.DataFrame, first: int) -> dict[str, np.ndarray]:
+    """Features of the rows from ``first`` on, by the definitions of the batch job. NaN stands for no value."""
+    close, imb, spread, ticks = (day[c].to_numpy(dtype=float) for c in ("close", "imbalance_last", "spread_mean", "tick_count"))
+    out = {f"realized_vol_{n}s": _rolled(close, n, first, _deviations) for n in WINDOWS}
+    out |= {f"imbalance_ma_{n}s": _rolled(imb, n, first, _means) for n in MEANS}
+    for n in MEANS:
+        before = np.concatenate([np.full(n, np.nan), close])[: len(close)]
+        before = np.where(before == 0, np.nan, before)
+        out[f"price_mom_{n}s"] = ((close - before) / before)[first:]
+    sd = _rolled(spread, 300, first, _deviations)
+    out["spread_zscore"] = (spread[first:] - _rolled(spread, 300, first, _means)) / np.where(sd > 1e-12, sd, np.nan)
+    out["volume_ratio"] = ticks[first:] / _rolled(ticks, 60, first, _means)
     return out
 
 
 class RollingFeatures(StatefulProcessor):
-    """Keeps the last 310 bars of a symbol's day and the last 300 positive volatilities."""
+    """Keeps the last 310 bars of a symbol's day and the last 300 positive volatilities.
+
+    A bar that is not newer than the last one kept came late; it is dropped, as its place in the history is gone.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.bars = handle.getListState("bars", _BAR)
         self.vols = handle.getListState("vols", "vol double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("ts_sec")
-        hist = list(self.bars.get())
-        vols = [v[0] for v in self.vols.get()]
-        out = []
-        for r in new.itertuples(index=False):
-            if hist and hist[-1][1] != r.date:
-                hist = []
-            hist = (hist + [(int(r.ts_sec), r.date, float(r.close), float(r.imbalance_last), float(r.spread_mean), int(r.tick_count))])[-KEEP:]
-            feats = _line(*(np.array([h[i] for h in hist], dtype=float) for i in (2, 3, 4, 5)))
-            vol = feats[2]
-            if vol is not None and vol > 0:
-                vols = (vols + [vol])[-300:]
-            sigma = math.fsum(vols) / len(vols) if len(vols) >= 30 else (vols[-1] if vols else 2.0)
-            out.append((key[0], int(r.ts_sec), r.date, float(r.close), *feats, sigma))
-        self.bars.put(hist)
+        names = [c.split()[0] for c in _BAR.split(", ")]
+        hist = pd.DataFrame(list(self.bars.get()), columns=names)
+        new = pd.concat([r[names] for r in rows]).sort_values("ts_sec").drop_duplicates("ts_sec")
+        if len(hist):
+            new = new[new.ts_sec > hist.ts_sec.iloc[-1]]
+        vols = deque((v[0] for v in self.vols.get()), maxlen=300)
+        for date, day in new.groupby("date", sort=True):
+            old = hist[hist.date == date] if len(hist) else hist
+            whole = pd.concat([old, day]) if len(old) else day
+            feats = _features(whole, len(old))
+            sigma = []
+            for vol in feats["realized_vol_60s"]:
+                if vol > 0:
+                    vols.append(float(vol))
+                sigma.append(math.fsum(vols) / len(vols) if len(vols) >= 30 else (vols[-1] if vols else 2.0))
+            hist = whole.iloc[-KEEP:]
+            out = pd.DataFrame({"symbol": key[0], "ts_sec": day.ts_sec.astype("int64"), "date": day.date, "close": day.close.astype(float)})
+            for c, values in {**feats, "sigma": sigma}.items():
+                values = np.asarray(values, dtype=float)
+                out[c] = pd.Series(np.where(np.isnan(values), None, values), index=out.index, dtype=object)
+            yield out
+        self.bars.put([tuple(r) for r in hist.itertuples(index=False)])
         if vols:
             self.vols.put([(v,) for v in vols])
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
     def close(self) -> None:
         pass
 
 
 def rolling_features(bars: DataFrame) -> DataFrame:
-    """Rolling features of a bar stream. A symbol's bars must arrive in time order across batches."""
+    """Rolling features of a bar stream, such as ``bar_stream`` gives. Late bars of a symbol are dropped."""
     d = bars.select("symbol", "ts_sec", "date", "close", "imbalance_last", "spread_mean", "tick_count")
     return d.groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=RollingFeatures(), outputStructType=FEATURES, outputMode="Append", timeMode="None")
@@ -80,23 +116,33 @@ SIGNAL = "symbol string, generated_at timestamp, expires_at timestamp, mm_action
 
 
 class LivingSignal(StatefulProcessor):
-    """Newest signal of a symbol; a timer replaces it by the neutral default when it expires."""
+    """Every change of a symbol's signal, in time order: a newer one, or the neutral default when the last one expires.
+
+    All signals of a batch are gone through, so the changes do not depend on how files fall into batches, as long as
+    older signals do not arrive in later batches; those are passed over.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "generated_ms long, expires_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("generated_at").iloc[-1]
-        born, dies = (int(new[c].timestamp() * 1000) for c in ("generated_at", "expires_at"))
-        old = self.last.get() if self.last.exists() else None
-        if old is None or born >= old[0]:
-            if old is not None:
-                self.handle.deleteTimer(old[1])
-            self.last.update((born, dies))
+        cols = ["generated_at", "expires_at", "mm_action", "widen_factor"]
+        last, out = self.last.get() if self.last.exists() else None, []
+        for r in pd.concat([r[cols] for r in rows]).sort_values(cols).itertuples(index=False):
+            born, dies = (int(t.timestamp() * 1000) for t in (r.generated_at, r.expires_at))
+            if last is not None and born < last[0]:
+                continue  # older than the signal that lives
+            if last is not None and born > last[1]:  # it had expired before; the timer would say so later
+                out.append((key[0], pd.Timestamp(last[1], unit="ms"), None, "NORMAL", 1.0, True))
+            if last is not None:
+                self.handle.deleteTimer(last[1])
             self.handle.registerTimer(dies)
-            yield pd.DataFrame([(key[0], new["generated_at"], new["expires_at"], new["mm_action"], float(new["widen_factor"]), False)],
-                               columns=[c.split()[0] for c in SIGNAL.split(", ")])
+            last = born, dies
+            out.append((key[0], r.generated_at, r.expires_at, r.mm_action, float(r.widen_factor), False))
+        if out:
+            self.last.update(last)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SIGNAL.split(", ")]).astype({"expires_at": "datetime64[ns]"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
