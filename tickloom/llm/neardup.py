@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import Shared, row_key, staged
-from tickloom.llm.components import components
+from tickloom.llm.components import components, labels
 from tickloom.llm.hashing import Words, grams, mix, unit
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-ROUNDS = 3
-BROADCAST_ROWS = 1_000_000
+BLOCK_NODES = 256
+BROADCAST_ROWS = 2_000_000
 
 # Poisson(1): probability of at most 0, 1, 2, ... darts in a region of area one
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -96,12 +96,12 @@ def _groups(texts, most: int = 100_000):
         yield out
 
 
-def sketched(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """Adds ``signature`` (bands * rows ints) and ``bands`` (one long each); both empty for a null text or one without words."""
+def banded(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """Adds ``bands``, a long for each run of ``rows`` coordinates; empty for a null text or one without words."""
     words = Shared(df.sparkSession, "words", None, lambda _: Words())
 
-    @F.pandas_udf("signature array<int>, bands array<long>")
-    def sketch(column: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<long>")
+    def sketch(column: pd.Series) -> pd.Series:
         out = []
         for group in _groups(column.fillna("")):
             sets = [shingles(t, words.get(), counted) for t in group]
@@ -111,13 +111,31 @@ def sketched(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
                 for r in range(rows):
                     keys = mix(keys + names[:, r::rows])
                 keys = mix(keys + np.arange(bands, dtype=np.uint64))
-            short = names.astype(np.uint32).view(np.int32)
-            out += [(s.tolist(), b.tolist()) if len(e[0]) else ([], [])
-                    for e, s, b in zip(sets, short, keys.view(np.int64))]
-        return pd.DataFrame(out, columns=["signature", "bands"])
+            out += [b.tolist() if len(e[0]) else [] for e, b in zip(sets, keys.view(np.int64))]
+        return pd.Series(out)
 
-    return df.withColumn("_s", sketch(F.col(f"`{text}`"))).select(
-        *[F.col(f"`{c}`") for c in df.columns], "_s.signature", "_s.bands")
+    return df.withColumn("bands", sketch(F.col(f"`{text}`")))
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], least: float, columns: int = 20_000) -> np.ndarray:
+    """Which sets of two lists (of distinct elements) have a Jaccard similarity of ``least`` or more, as a matrix."""
+    whole = [np.concatenate(side) if side else np.empty(0, dtype=np.uint64) for side in (left, right)]
+    shared = np.intersect1d(*whole)
+    both = np.zeros((len(left), len(right)))
+
+    def incidence(side, all_of, part):
+        row = np.repeat(np.arange(len(side)), [len(s) for s in side])
+        at = np.searchsorted(part, all_of)
+        here = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == all_of)
+        out = np.zeros((len(side), len(part)), dtype=np.float32)
+        out[row[here], at[here]] = 1
+        return out
+
+    for start in range(0, len(shared), columns):
+        part = shared[start:start + columns]
+        both += incidence(left, whole[0], part) @ incidence(right, whole[1], part).T
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    return both >= least * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -137,38 +155,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return with_y.where(jaccard("sx", "sy") >= least).select("x", "y")
 
 
+def _between(mixed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (x, y) between nodes of ``mixed`` (band, node, root) with a common band and different roots.
+
+    Nodes are dealt into blocks of about BLOCK_NODES: by their largest bucket, and within it by hash. Blocks that share
+    a band are compared with each other in one task, on the exact sets; only links come out.
+    """
+    sized = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    home = mixed.join(sized, "band").groupBy("node").agg(
+        F.max(F.struct("n", "band")).alias("home"), F.first("root").alias("root"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.n") / BLOCK_NODES))
+    placed = staged(home.select("node", "root", F.xxhash64("home.band", part).alias("block")), "placed")
+    blocks = mixed.join(placed.select("node", "block"), "node").groupBy("band", "block").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"))
+    left = blocks.select("band", *[F.col(c).alias(f"{c}_x") for c in ("block", "a", "b")])
+    right = blocks.select("band", *[F.col(c).alias(f"{c}_y") for c in ("block", "a", "b")])
+    several = F.least("a_x", "a_y") < F.greatest("b_x", "b_y")
+    pairs = staged(
+        left.join(right, "band").where((F.col("block_x") <= F.col("block_y")) & several)
+        .select("block_x", "block_y").distinct(), "pairs")
+    full = staged(placed.join(sets, "node"), "full")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = ([np.frombuffer(s, dtype=np.uint64) for s in sets_of.shingles] for sets_of in (a, b))
+        near = similar(x, y, least)
+        roots, others = (np.array([f"{r['a']}:{r['b']}" for r in own.root], dtype=object) for own in (a, b))
+        at, to = np.nonzero(near & (roots[:, None] != others[None, :])) if len(a) and len(b) else ([], [])
+        return pd.DataFrame({
+            "xa": [a.node.iloc[i]["a"] for i in at], "xb": [a.node.iloc[i]["b"] for i in at],
+            "ya": [b.node.iloc[i]["a"] for i in to], "yb": [b.node.iloc[i]["b"] for i in to]}, dtype="int64")
+
+    def side(own: str) -> DataFrame:
+        # new names for all columns: both sides come from the same tables
+        dealt = pairs.join(full.withColumnRenamed("block", own), own)
+        return dealt.select(*[F.col(c).alias(c) for c in ("block_x", "block_y", "node", "root", "shingles")]).groupBy(
+            "block_x", "block_y")
+
+    found = side("block_x").cogroup(side("block_y")).applyInPandas(compare, "xa long, xb long, ya long, yb long")
+    x, y = (F.struct(F.col(f"{c}a").alias("a"), F.col(f"{c}b").alias("b")) for c in "xy")
+    return found.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text) as doc_id, node (the text's 128-bit hash), class_id, n_same.
+    """(doc_id, text) as doc_id, node (the text's 128-bit hash), class_id.
 
     Documents are linked if their texts are equal or their sets of five-word runs have a Jaccard similarity of
     ``least`` or more; classes are the connected components, named by their smallest doc_id. Equal texts are one node
-    from the start, so copies cost nothing further. n_same counts the rows with the same doc_id and text.
+    from the start, so copies cost nothing further.
 
-    Nodes that share a band meet in a bucket. No bucket is expanded into its pairs: in each of ROUNDS rounds it elects
-    one leader (first the smallest doc_id, then by a hash) and all its nodes from other components are checked against
-    that leader only. After the rounds a bucket that still has several components is joined with itself across
-    components, for those pairs whose signatures agree often enough for the similarity to be possible (four standard
-    deviations below ``least``); these too are checked on the exact sets. So a link between different texts is missed
-    only if the two share no band (below 1e-5 at 0.8 and the default 24 bands of 4) or agree in that few coordinates.
+    Nodes that share a band meet in a bucket. No bucket is expanded into its pairs: each elects its smallest doc_id as
+    leader, and its nodes are checked against that one. Most groups of copies are connected by then. Nodes that still
+    have different labels in a bucket are compared in blocks, where only links come out, so nothing is capped: what is
+    quadratic there is the number of set comparisons between different labels of one bucket, inside tasks of bounded
+    size. A link between different texts is missed only if they share no band: below 1e-5 at a similarity of 0.8 and
+    the default 24 bands of 4.
 
     A null text is linked to nothing and is its own class; texts without words are linked when equal; a text of fewer
     than five words is one run. A null doc_id never names a class that has another. Empty tables give empty results.
     """
-    spark = docs.sparkSession
     named = docs.select("doc_id", "text").withColumn("node", row_key("text"))
     texts = named.where(F.col("text").isNotNull())
-    nodes = staged(
-        sketched(texts).groupBy("node").agg(
-            F.min("doc_id").alias("doc"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
-        "nodes")
+    nodes = staged(banded(texts, bands=bands, rows=rows).groupBy("node").agg(
+        F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "nodes")
 
     posts = nodes.select("node", "doc", F.explode("bands").alias("band"))
     full = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "node")).alias("first"))
-    posts = staged(
-        posts.join(full.where("n > 1").select("band", F.col("first.node").alias("leader")), "band"), "posts")
+    posts = staged(posts.join(full.where("n > 1").select("band", F.col("first.node").alias("leader")), "band")
+                   .select("band", "node", "leader"), "posts")
     held = posts.select("node").distinct()
-    small = held.count() <= BROADCAST_ROWS  # of 40 bytes each
-    words = Shared(spark, "words", None, lambda _: Words())
+    small = posts.count() <= BROADCAST_ROWS  # of 16 bytes each
+    words = Shared(docs.sparkSession, "words", None, lambda _: Words())
 
     @F.pandas_udf("binary")
     def packed(column: pd.Series) -> pd.Series:
@@ -177,47 +233,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     sets = staged(
         texts.select("node", "text").join(F.broadcast(held) if small else held, "node", "left_semi")
         .withColumn("shingles", packed("text")).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
     links = staged(_verified(
         posts.where("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct(),
         sets, least), "links")
-    slim = posts.select("band", "node")
-
-    def with_root(links):
-        roots = components(links).select("node", F.col("root").alias("r"))
-        known = slim.join(roots, "node", "left").select("band", "node", F.coalesce("r", "node").alias("root"))
-        mixed = known.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        return known.join(mixed.select("band"), "band", "left_semi")
-
-    for turn in range(1, ROUNDS):
-        known = staged(with_root(links), "mixed")
-        chosen = known.groupBy("band").agg(
-            F.min_by(F.struct("node", "root"), F.xxhash64("node", "band", F.lit(turn))).alias("c"))
-        pairs = known.join(chosen, "band").where("root <> c.root").select(
-            F.greatest("node", "c.node").alias("x"), F.least("node", "c.node").alias("y")).distinct()
-        links = staged(links.union(_verified(pairs, sets, least)), "links")
-
-    k = bands * rows
-    agree = math.floor(k * (least - 4 * math.sqrt(least * (1 - least) / k)))
-    rest = staged(with_root(links).join(nodes.select("node", "signature"), "node"), "rest")
-    left = rest.select("band", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "signature")])
-    right = rest.select("band", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "signature")])
-    same = F.aggregate(F.zip_with("signature_x", "signature_y", lambda a, b: (a == b).cast("int")),
-                       F.lit(0), lambda n, e: n + e)
-    pairs = left.join(right, (left.band == right.band) & (F.col("root_x") < F.col("root_y")) & (same >= agree))
-    links = staged(links.union(_verified(
-        pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct(), sets, least)), "links")
-
-    roots = components(links)
+
+    # nodes with the same root are known to be connected; buckets with several roots need a closer look
+    known = posts.join(labels(links), "node", "left").select("band", "node", F.coalesce("label", "node").alias("root"))
+    several = known.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    mixed = staged(known.join(several.select("band"), "band", "left_semi"), "mixed")
+    roots = components(links.union(_between(mixed, sets, least)))
+
     member = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named_class = member.groupBy("root").agg(F.min("doc").alias("class_id"))
     classes = staged(member.join(named_class, "root").select("node", "class_id"), "classes")
-    rows_of = named.groupBy("doc_id", "node", F.col("text").isNull().alias("_null")).agg(F.count(F.lit(1)).alias("n_same"))
-    return (
-        named.select("doc_id", "node", F.col("text").isNull().alias("_null")).join(classes, "node", "left")
-        .join(rows_of.where("n_same > 1"), ["node", "doc_id", "_null"], "left")
-        .select("doc_id", "node", F.when(F.col("_null"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                F.coalesce("n_same", F.lit(1)).alias("n_same")))
+    return named.select("doc_id", "node", F.col("text").isNull().alias("_null")).join(classes, "node", "left").select(
+        "doc_id", "node", F.when(F.col("_null"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def classed_documents(docs: DataFrame) -> DataFrame:
@@ -227,9 +257,9 @@ def classed_documents(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each class stays, the one with the smallest doc_id; of repeated rows one."""
     names = docs.columns
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), "n_same").distinct()
-    own = docs.withColumn("_n0", row_key("text")).join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_n0") == F.col("_n")))
-    once = own.where("n_same = 1").select(names)
-    return once.union(own.where("n_same > 1").dropDuplicates(["doc_id", "_n0"]).select(names))
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(
+        F.col("doc_id").alias("_d"), F.col("node").alias("_n")).agg(F.count(F.lit(1)).alias("_same"))
+    own = docs.withColumn("_node", row_key("text")).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_n")))
+    once = own.where("_same = 1").select(*[F.col(f"`{c}`") for c in names])
+    return once.union(own.where("_same > 1").dropDuplicates(["doc_id", "_node"]).select(*[F.col(f"`{c}`") for c in names]))
