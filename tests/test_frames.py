@@ -104,10 +104,11 @@ def test_hurst_matches_plain_loop(spark):
         assert abs(regime.hurst(d, block_rows=block).first()["hurst"] - want) < 1e-9
 
 
-def test_ewm_matches_pandas(spark):
+@pytest.mark.parametrize("weight", [5, 60, 1000])
+def test_ewm_matches_pandas(spark, weight):
     rng = np.random.default_rng(9)
-    x = rng.normal(size=500)
+    x = rng.normal(size=5000)
     d = spark.createDataFrame([("a", 1778670000 + i, float(v)) for i, v in enumerate(x)], "symbol string, ts_sec long, x double")
     d = d.withColumn("date", F.lit("2026-05-13").cast("date"))
-    got = regime.ewm_std(d, "x", "s", 60, 1200).orderBy("ts_sec").toPandas()["s"].to_numpy(float)
-    np.testing.assert_allclose(got[1:], pd.Series(x).ewm(span=60).std().to_numpy()[1:], atol=1e-9)
+    got = regime.ewm_std(d, "x", "s", weight).orderBy("ts_sec").toPandas()["s"].to_numpy(float)
+    np.testing.assert_allclose(got[1:], pd.Series(x).ewm(span=weight).std().to_numpy()[1:], atol=1e-9)

@@ -172,13 +172,20 @@ def test_contract_symbols(spark):
     assert sorted(str(x[0]) for x in e) == ["2026-05-26", "2027-05-27"]
 
 
-def test_large_universe_takes_the_join(spark, monkeypatch):
-    items = spark.createDataFrame([("1", "abc Reliance and tcs, NSE: INFY"), ("2", "nothing"), ("3", "RELIANCETCS")], "id string, headline string")
-    u = spark.createDataFrame([("RELIANCE",), ("TCS",), ("ABCD",)], "symbol string")
-    small = rows(signals.extract_symbols(items, u), "id", "symbol")
-    monkeypatch.setattr(signals, "SMALL_UNIVERSE", 1)
-    assert rows(signals.extract_symbols(items, u), "id", "symbol") == small
-    assert small == [("1", "INFY"), ("1", "RELIANCE"), ("1", "TCS"), ("3", "RELIANCE"), ("3", "TCS")]
+def test_symbols_inside_text(spark):
+    items = spark.createDataFrame([("1", "abc Reliance and tcs, NSE: INFY"), ("2", "nothing"), ("3", "RELIANCETCS"), ("3", "tcs tcs"), ("4", None), ("5", "")],
+                                  "id string, headline string")
+    u = spark.createDataFrame([("RELIANCE",), ("TCS",), ("ABCD",), ("C",), ("",)], "symbol string")
+    found = rows(signals.extract_symbols(items, u), "id", "symbol")
+    assert found == [("1", "C"), ("1", "INFY"), ("1", "RELIANCE"), ("1", "TCS"), ("3", "C"), ("3", "RELIANCE"), ("3", "TCS")]
+    assert signals.contained_symbols(items, u.limit(0), "id", "headline").count() == 0
+
+
+def test_trading_dates_reach_as_far_as_needed(spark):
+    closed = spark.range(30).selectExpr("date_sub(date'2026-05-13', cast(id as int) + 1) day")
+    d = spark.sql("SELECT date'2026-05-13' date")
+    got = sy.recent_trading_dates(d, closed, 100).orderBy("nth").collect()
+    assert len(got) == 100 and str(got[0].day) == "2026-04-10"
 
 
 def test_most_cautious_signal_wins(spark):

@@ -186,9 +186,11 @@ _O1 = {
     "last_price": f"greatest(0e0, CASE k % 2 WHEN 0 THEN {_SPOT} - ({_STRIKE}) ELSE ({_STRIKE}) - ({_SPOT}) END) + 3e-1 + 2e-2 * k",
     "mid_price": "value + 1e-2 * (k % 7)",
 }
+# on every fourth day there is no spot: its events are the near future's
+_KIND = "CASE WHEN user_id % 3 = 0 AND dayofmonth(ts) % 4 = 0 THEN 1 ELSE user_id % 3 END"
 _FEED = {
     **_STEP1,
-    "symbol": f"{_UNDER} || CASE user_id % 3 WHEN 0 THEN '_SPOT' WHEN 1 THEN '24FEBFUT' ELSE '24MARFUT' END",
+    "symbol": f"{_UNDER} || CASE {_KIND} WHEN 0 THEN '_SPOT' WHEN 1 THEN '24FEBFUT' ELSE '24MARFUT' END",
     "last_price": _SPOT, "mid_price": _SPOT,
 }
 
@@ -210,8 +212,7 @@ def option_ticks(spark: SparkSession, d: str) -> DataFrame:
 
 def feed_bars(spark: SparkSession, d: str, width: int = BAR) -> tuple[DataFrame, DataFrame]:
     """(spot bars, future bars); every fourth day has no spot."""
-    e = _raw_events(spark, d).where("NOT (user_id % 3 = 0 AND dayofmonth(ts) % 4 = 0)")
-    b = build_bars(_with_book(e.selectExpr(*_sel(_FEED))), width, ladder=False)
+    b = build_bars(_with_book(_raw_events(spark, d).selectExpr(*_sel(_FEED))), width, ladder=False)
     b = b.withColumn("underlying", F.regexp_extract("symbol", "^([A-Z]+)", 1))
     fut = b.where("symbol LIKE '%FUT'").withColumn(
         "expiry", F.when(F.col("symbol").like("%FEBFUT"), F.lit("2024-02-29")).otherwise(F.lit("2024-03-28")).cast("date"))
@@ -220,9 +221,9 @@ def feed_bars(spark: SparkSession, d: str, width: int = BAR) -> tuple[DataFrame,
 
 OPTION_TICKS = TICKS.replace(", ".join(_sel(_STEP1)), ", ".join(_sel(_O1)))
 OBARS = f"WITH {OPTION_TICKS},\n{bars_cte(name='obars')}"
-FEED = f"""fe AS (SELECT *, {_UNDER} AS underlying, {_SPOT} AS px, (ts_us // 1000000) // {BAR} * {BAR} AS ts_sec FROM (
-  SELECT *, epoch_us(ts) AS ts_us FROM events) q WHERE NOT (user_id % 3 = 0 AND day(ts) % 4 = 0)),
-fb AS (SELECT underlying, user_id % 3 AS kind, ts_sec, last(px ORDER BY ts_us, event_id) AS close,
+FEED = f"""fe AS (SELECT *, {_KIND} AS kind, {_UNDER} AS underlying, {_SPOT} AS px, (ts_us // 1000000) // {BAR} * {BAR} AS ts_sec FROM (
+  SELECT *, epoch_us(ts) AS ts_us FROM events) q),
+fb AS (SELECT underlying, kind, ts_sec, last(px ORDER BY ts_us, event_id) AS close,
   DATE '1970-01-01' + CAST((ts_sec + 19800) // 86400 AS INTEGER) AS date FROM fe GROUP BY ALL),
 near AS (SELECT underlying, date, min(kind) AS kind FROM fb WHERE kind > 0 GROUP BY 1, 2),
 spot AS (SELECT underlying, date, ts_sec, close AS spot_price, 'spot' AS source FROM fb WHERE kind = 0 UNION ALL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,8 +126,12 @@ def holidays(spark: SparkSession, days=HOLIDAYS_2026) -> DataFrame:
     return spark.createDataFrame([(d,) for d in days], "day string").select(F.col("day").cast("date").alias("day"))
 
 
-def recent_trading_dates(as_of: DataFrame, closed: DataFrame, n: int = 5, reach: int = 60) -> DataFrame:
-    """The last ``n`` weekdays before each date that are no holidays, newest first."""
+def recent_trading_dates(as_of: DataFrame, closed: DataFrame, n: int = 5) -> DataFrame:
+    """The last ``n`` weekdays before each date that are no holidays, newest first; always ``n`` of them.
+
+    ``closed`` is a calendar, some days a year: even if all of its days fell into the stretch, that would hold enough.
+    """
+    reach = math.ceil((n + closed.distinct().count()) * 7 / 5) + 2
     d = as_of.withColumn("day", F.explode(F.sequence(F.date_sub("date", reach), F.date_sub("date", 1))))
     d = d.where(~F.dayofweek("day").isin(1, 7)).join(closed, "day", "left_anti")
     w = Window.partitionBy("date").orderBy(F.desc("day"))

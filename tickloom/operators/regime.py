@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -168,14 +170,18 @@ def momentum_threshold(labels: DataFrame, mom: str = "price_mom_60s", ahead: int
     return g.withColumn("pause_signal", (F.col("pct_trending") > 30) | (F.abs("fwd_corr") > 0.05))
 
 
-def ewm_std(df: DataFrame, value: str, name: str, weight: int = 60, kernel_rows: int = 1200) -> DataFrame:
-    """Exponentially weighted deviation (bias-corrected) over the last rows.
+def ewm_std(df: DataFrame, value: str, name: str, weight: float = 60) -> DataFrame:
+    """Exponentially weighted deviation (bias-corrected) over the last rows; ``weight``: the span, above 1.
 
-    A block holds ``kernel_rows`` rows before its own, beyond which weights fall
-    below the precision of a double; within a block running sums of rescaled
-    values give every row in constant time.
+    A block holds as many rows before its own as it takes for weights to fall
+    below the precision of a double, about 18.5 times ``weight``; within a block
+    running sums of rescaled values give every row in constant time. Three such
+    stretches scale by e^111 at most, so nothing overflows.
     """
+    if weight <= 1:
+        raise ValueError("weight must be above 1")
     decay = 1 - 2 / (weight + 1)
+    kernel_rows = math.ceil(-37 / math.log(decay))
     s = span(df, True, back=kernel_rows, block_rows=2 * kernel_rows)
     run = s.line.rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)

@@ -10,7 +10,8 @@ from tickloom.functions.columns import clip
 from tickloom.functions.symbols import strip_contract
 from tickloom.operators.ranks import value_ranks
 
-SMALL_UNIVERSE = 2_000
+BLOCK = 256
+SLOTS = 65_536
 
 
 # ---- news ---------------------------------------------------------------------
@@ -22,22 +23,28 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def contained_symbols(items: DataFrame, universe: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, symbol) for each symbol that occurs in the text.
+    """(key, symbol), without repeats, for each symbol that occurs in the upper-cased text.
 
-    Up to SMALL_UNIVERSE symbols travel to every task as one array. More symbols are
-    joined by equality with the distinct pieces of the text of the symbols' lengths.
+    The text's pieces of the symbols' lengths are joined with the symbols by
+    equality, and only hits are made distinct. Before that, pieces whose hash no
+    symbol has are left out: the row that tells so has SLOTS flags and the
+    distinct lengths, whatever the number of symbols.
     """
-    u = universe.select("symbol").distinct()
-    body = items.select(key, F.upper(text).alias("_t"))
-    if u.limit(SMALL_UNIVERSE + 1).count() <= SMALL_UNIVERSE:
-        one = u.agg(F.collect_list("symbol").alias("_u")).withColumn("_k", F.lit(1))
-        d = body.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")
-        hit = F.filter("_u", lambda s: F.contains(F.col("_t"), s))
-        return d.select(key, F.explode(hit).alias("symbol"))
-    lengths = u.select(F.length("symbol").alias("_n")).distinct()
-    pieces = body.join(F.broadcast(lengths), F.length("_t") >= F.col("_n")).select(
-        key, F.explode(F.expr("transform(sequence(1, length(_t) - _n + 1), i -> substring(_t, i, _n))")).alias("symbol"))
-    return pieces.distinct().join(u, "symbol", "left_semi").select(key, "symbol")
+    u = universe.select("symbol").where(F.length("symbol") > 0).distinct()
+    slot = F.pmod(F.xxhash64("symbol"), F.lit(SLOTS)).cast("int")
+    shape = u.agg(
+        F.collect_set(slot).alias("_s"), F.collect_set(F.length("symbol")).alias("_lens"),
+        F.coalesce(F.max(F.length("symbol")), F.lit(1)).alias("_most"),
+    ).withColumn("_flags", F.expr(f"transform(sequence(0, {SLOTS} - 1), i -> array_contains(_s, i))")).drop("_s")
+    body = items.select(key, F.upper(text).alias("_t")).crossJoin(F.broadcast(shape))
+    # in overlapping blocks, as finding a character takes time in proportion to its place
+    found = F.expr(f"""flatten(transform(
+        transform(sequence(1, greatest(length(_t), 1), {BLOCK}), b -> substring(_t, b, {BLOCK} - 1 + _most)),
+        b -> flatten(transform(_lens, n -> filter(
+            transform(sequence(1, least({BLOCK}, greatest(length(b) - n + 1, 1))), i -> substring(b, i, n)),
+            p -> get(_flags, cast(pmod(xxhash64(p), {SLOTS}) as int)))))))""")
+    pieces = body.select(key, F.explode_outer(found).alias("symbol"))
+    return pieces.join(u, "symbol", "left_semi").select(key, "symbol").distinct()
 
 
 def extract_symbols(items: DataFrame, universe: DataFrame, key: str = "id", text: str = "headline") -> DataFrame:
@@ -214,8 +221,8 @@ def aggregate_signals(parts: DataFrame, symbols: DataFrame, as_of: str, ttl_minu
         F.get(names, F.coalesce("_a", F.lit(0))).alias("mm_action"),
         F.round(F.least(F.exp(F.coalesce("_lf", F.lit(0.0))), F.lit(cap)), 2).alias("widen_factor"),
         "pause_until", "pause_until_latest",
-        F.substring(F.when(F.col("_r1").isNull() & F.col("_r2").isNull(), "All clear").otherwise(
-            F.concat_ws(" | ", "_r1", "_r2")), 1, 200).alias("reason"),
+        F.when(F.col("_r1").isNull() & F.col("_r2").isNull(), "All clear").otherwise(
+            F.concat_ws(" | ", "_r1", "_r2")).alias("reason"),
         F.coalesce("_s2", "_s1", F.lit("DEFAULT")).alias("source"),
         F.coalesce("news_sentiment", F.lit(0.0)).alias("news_sentiment"),
         F.coalesce("news_uncertainty", F.lit(0.0)).alias("news_uncertainty"),
