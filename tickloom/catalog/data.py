@@ -177,8 +177,14 @@ add("S9_partition_sink", _sink, "symbol ts_sec date:d close:6",
 def _warehouse(s, d):
     name = "raw_orderbook_" + scratch_path(s, "t")[-6:]
     t = ticks(s, d).withColumn("date", ist_date(F.floor(F.col("ts_local_ns") / 1_000_000_000)))
-    st.load_table(t, name, scratch_path(s, "table"), ["2024-01-15"])
-    return s.table(name).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(s, "table")
+    st.load_table(t, name, path, ["2024-01-15"])
+    kept = s.table(name).count()
+    s.sql(f"DROP TABLE {name}")  # its files stay
+    found = s.read.parquet(path)
+    if found.count() != kept:
+        raise RuntimeError("the table and its files differ")
+    return found.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TD = f"WITH {TICKS}, x AS (SELECT *, DATE '1970-01-01' + CAST((ts_local_ns // 1000000000 + 19800) // 86400 AS INTEGER) AS date FROM ticks)"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog.core import ORACLES, QUERIES, add
-from tickloom.catalog.standin import FILLS, bars, fills
+from tickloom.catalog.flow import _LINE
+from tickloom.catalog.standin import BARS, FILLS, bars, fills
 from tickloom.catalog.trades import _COST
 from tickloom.functions.sql import register
 from tickloom.operators import model as md
@@ -23,6 +24,46 @@ def _direction(s, d):
 add("C7_direction_model", _direction, "symbol best_threshold:2 best_accuracy:6 n_signals:l n_rows:l verdict")
 
 
+def _labelled(s, d):
+    """Training rows with scores in closed form, so that all around the fit can be compared."""
+    t = md.enough_moves(md.training_table(bars(s, d), horizon=5, cross_day=True), 100).select("symbol", "ts_sec", "label")
+    slot = F.floor(F.col("ts_sec") / 1800)
+    return t.withColumns({"p_up": (slot * 37 + F.length("symbol") * 11) % 100 / 100,
+                          "p_down": (slot * 53 + F.length("symbol") * 7) % 100 / 100})
+
+
+_LABELLED = f"""{BARS}, l0 AS (SELECT symbol, ts_sec, lead(coalesce(weighted_mid, close), 5) OVER {_LINE} / coalesce(weighted_mid, close) - 1 AS r FROM bars),
+l1 AS (SELECT symbol, ts_sec, CASE WHEN r > 5e-4 THEN 1 WHEN r < -5e-4 THEN -1 ELSE 0 END AS label FROM l0 WHERE r IS NOT NULL),
+sc AS (SELECT *, (ts_sec // 1800 * 37 + length(symbol) * 11) % 100 / 100.0::DOUBLE AS p_up, (ts_sec // 1800 * 53 + length(symbol) * 7) % 100 / 100.0::DOUBLE AS p_down
+  FROM l1 WHERE symbol IN (SELECT symbol FROM l1 GROUP BY 1 HAVING count(*) FILTER (label <> 0) >= 100))"""
+_EVALUATED = f"""{_LABELLED}, cl AS (SELECT *, CASE WHEN p_down > threshold THEN -1 WHEN p_up > threshold THEN 1 ELSE 0 END AS c
+  FROM sc, (SELECT unnest([0.55, 0.6, 0.65]::DOUBLE[]) AS threshold) th),
+ev AS (SELECT symbol, threshold, coalesce(avg(CASE WHEN label <> 0 AND c <> 0 THEN (c = label)::INT END), 0.5) AS accuracy,
+  count(*) FILTER (label <> 0 AND c <> 0) AS n_signals, avg((c <> 0)::INT) AS signal_rate, count(*) AS n_rows FROM cl GROUP BY 1, 2)"""
+_VERDICTS = f"""{_EVALUATED}, lo AS (SELECT symbol, min(threshold) AS t0, arg_min(accuracy, threshold) AS a0 FROM ev GROUP BY 1),
+ve AS (SELECT symbol, threshold AS best_threshold, accuracy AS best_accuracy, n_signals, n_rows,
+  CASE WHEN accuracy > 0.57 THEN 'STRONG' WHEN accuracy > 0.53 THEN 'USEFUL' ELSE 'WEAK' END AS verdict
+  FROM ev JOIN lo USING (symbol) WHERE threshold = t0 OR (accuracy > a0 AND n_signals >= 50)
+  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY accuracy DESC, threshold) = 1)"""
+add("C7_training_table", _labelled, "symbol ts_sec label:l p_up:2 p_down:2", f"{_LABELLED}\nSELECT * FROM sc")
+add("C7_evaluation", lambda s, d: md.evaluate(_labelled(s, d)), "symbol threshold:2 accuracy:6 n_signals:l signal_rate:6 n_rows:l",
+    f"{_EVALUATED}\nSELECT * FROM ev")
+add("C7_verdicts", lambda s, d: md.verdicts(md.evaluate(_labelled(s, d)), 50),
+    "symbol best_threshold:2 best_accuracy:6 n_signals:l n_rows:l verdict", f"{_VERDICTS}\nSELECT * FROM ve")
+
+
+def _thresholds(s, d):
+    found = md.verdicts(md.evaluate(_labelled(s, d)), 50)
+    own = found.select("symbol").union(found.select(F.concat("symbol", F.lit("26MAYFUT")))).union(found.select(F.concat(F.lit("no"), "symbol")))
+    return md.thresholds_for(own, found)
+
+
+add("C7_threshold_lookup", _thresholds, "symbol threshold:2 model_symbol",
+    f"""{_VERDICTS}
+SELECT symbol, best_threshold AS threshold, symbol AS model_symbol FROM ve UNION ALL SELECT symbol || '26MAYFUT', best_threshold, symbol FROM ve
+UNION ALL SELECT 'no' || symbol, 0.6, NULL FROM ve""")
+
+
 def _sql_functions(s, d):
     register(s)
     return fills(s, d).selectExpr(

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clean
+from tickloom.functions.symbols import strip_contract
 from tickloom.operators.features import DIRECTION_FEATURES, bar_features, direction_labels, flow_features
 
 THRESHOLDS = (0.55, 0.60, 0.65)
+SYMBOL_BUCKETS = 32
 
 
 def training_table(bars: DataFrame, horizon: int = 30, threshold: float = 0.0005, cross_day: bool = False) -> DataFrame:
@@ -29,26 +31,30 @@ def enough_moves(table: DataFrame, min_rows: int = 200) -> DataFrame:
     return table.join(n.select("symbol"), "symbol", "left_semi")
 
 
+def with_bucket(table: DataFrame) -> DataFrame:
+    """The symbol as one of a fixed number of buckets: nothing that grows with the symbols reaches the driver."""
+    return table.withColumn("symbol_bucket", F.pmod(F.xxhash64("symbol"), F.lit(SYMBOL_BUCKETS)).cast("double"))
+
+
 def train(table: DataFrame, max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> tuple[PipelineModel, PipelineModel]:
     """Models for up and down moves, fitted on the non-flat rows of all symbols together."""
     moves = table.where("label <> 0").withColumns({
         "is_up": (F.col("label") == 1).cast("double"), "is_down": (F.col("label") == -1).cast("double")})
-    index = StringIndexer(inputCol="symbol", outputCol="symbol_index", handleInvalid="keep").fit(moves)
-    bins = max(32, len(index.labels) + 1)
-    wide = VectorAssembler(inputCols=[*DIRECTION_FEATURES, "symbol_index"], outputCol="features")
+    moves = with_bucket(moves)
+    wide = VectorAssembler(inputCols=[*DIRECTION_FEATURES, "symbol_bucket"], outputCol="features")
 
     def fit(target):
-        gbt = GBTClassifier(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=max_depth, maxBins=bins,
-                            stepSize=0.1, subsamplingRate=0.8, seed=seed)
-        return Pipeline(stages=[index, wide, gbt]).fit(moves)
+        gbt = GBTClassifier(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
+                            maxBins=SYMBOL_BUCKETS, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+        return Pipeline(stages=[wide, gbt]).fit(moves)
 
     return fit("is_up"), fit("is_down")
 
 
 def predict(table: DataFrame, up: PipelineModel, down: PipelineModel) -> DataFrame:
-    drop = ("symbol_index", "features", "rawPrediction", "probability", "prediction")
-    d = up.transform(table).withColumn("p_up", vector_to_array("probability")[1]).drop(*drop)
-    return down.transform(d).withColumn("p_down", vector_to_array("probability")[1]).drop(*drop)
+    drop = ("features", "rawPrediction", "probability", "prediction")
+    d = up.transform(with_bucket(table)).withColumn("p_up", vector_to_array("probability")[1]).drop(*drop)
+    return down.transform(d).withColumn("p_down", vector_to_array("probability")[1]).drop(*drop, "symbol_bucket")
 
 
 def evaluate(scored: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
@@ -75,6 +81,21 @@ def verdicts(evaluation: DataFrame, min_signals: int = 500) -> DataFrame:
                     F.when(a > 0.57, "STRONG").when(a > 0.53, "USEFUL").otherwise("WEAK").alias("verdict"))
 
 
+def thresholds_for(symbols: DataFrame, verdicts: DataFrame, default: float = 0.60) -> DataFrame:
+    """(symbol, threshold, model_symbol) of every symbol: its own verdict, else the one of a contract with its base.
+
+    Of several contracts with the base, the one with the most rows counts, then the first by name; symbols without
+    any get ``default``. ``verdicts`` is the stored result of ``verdicts``.
+    """
+    v = verdicts.select(F.col("symbol").alias("model_symbol"), F.col("best_threshold").alias("threshold"), "n_rows",
+                        strip_contract("symbol").alias("_base"))
+    best = v.groupBy("_base").agg(F.min_by(F.struct("model_symbol", "threshold"), F.struct(-F.col("n_rows"), "model_symbol")).alias("_b"))
+    own = v.select(F.col("model_symbol").alias("symbol"), F.col("threshold").alias("_t"))
+    d = symbols.select("symbol").distinct().withColumn("_base", strip_contract("symbol")).join(own, "symbol", "left").join(best, "_base", "left")
+    return d.select("symbol", F.coalesce("_t", "_b.threshold", F.lit(default)).alias("threshold"),
+                    F.when(F.col("_t").isNotNull(), F.col("symbol")).otherwise(F.col("_b.model_symbol")).alias("model_symbol"))
+
+
 def top_features(up: PipelineModel, down: PipelineModel, n: int = 5) -> list[tuple[str, float]]:
     """Features by mean importance over both models."""
     a, b = (m.stages[-1].featureImportances.toArray() for m in (up, down))

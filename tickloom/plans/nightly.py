@@ -10,6 +10,7 @@ from tickloom.functions.symbols import strip_contract
 from tickloom.operators.bars import build_bars
 from tickloom.operators.catalogue import open_jobs
 from tickloom.operators.features import bar_features
+from tickloom.session import stage
 from tickloom.sources.storage import scan, write_bars
 
 
@@ -36,6 +37,7 @@ def run(spark: SparkSession, raw_path: str, out_path: str, schema: StructType |
     """
     ticks = scan(spark, raw_path, schema, start, end)
     done = None if first else scan(spark, out_path, None, start, end, key="base")
-    jobs = backlog(ticks, done, min_rows).select(strip_contract("symbol").alias("base"), "date").distinct()
-    every = ticks.select("symbol", "date").distinct().withColumn("base", strip_contract("symbol"))
+    pairs = stage(ticks.select("symbol", "date").distinct(), "pairs")  # read once, from the partition columns
+    jobs = backlog(pairs, done, min_rows).select(strip_contract("symbol").alias("base"), "date").distinct()
+    every = pairs.withColumn("base", strip_contract("symbol"))
     write_bars(process(ticks, every.join(jobs, ["base", "date"], "left_semi"), width), out_path)

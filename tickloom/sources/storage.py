@@ -34,9 +34,13 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 def scan(spark: SparkSession, path: str, schema: StructType | None = None, start: str | None = None,
          end: str | None = None, symbols: list[str] | None = None, key: str = "symbol") -> DataFrame:
-    """Partition-pruned scan. Partition columns keep their declared type."""
-    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
-    df = reader.parquet(path).withColumn("date", F.col("date").cast("date"))
+    """Partition-pruned scan. Partition columns keep their declared type.
+
+    Without ``schema`` the columns are those of one file; pass the table's schema where files of different days have
+    different columns. No scan reads the footers of all files before it prunes.
+    """
+    df = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    df = df.withColumn("date", F.col("date").cast("date"))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
