@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +22,29 @@ ADVICE = {
 }
 
 
-def _median_slope(points: Column) -> Column:
-    """Median of the slopes between all pairs; the frame bounds the number of points."""
-    n = F.size(points)
+SLICE = 1024
+
 
-    def from_point(a, i):
-        later = F.filter(F.slice(points, i + 2, n), lambda b: F.abs(b["sv"] - a["sv"]) > 1e-10)
-        return F.transform(later, lambda b: (b["dp"] - a["dp"]) / (b["sv"] - a["sv"]))
+def _median_slopes(moves: pd.Series, volumes: pd.Series) -> pd.Series:
+    """Median of the slopes between all pairs of a row's points; none without a pair of different volumes.
 
-    slopes = F.array_sort(F.flatten(F.transform(points, from_point)))
-    return slopes
+    The frame bounds a row's points; rows are taken some at a time as matrices.
+    """
+    out = np.full(len(moves), np.nan)
+    sizes = moves.map(lambda x: 0 if x is None else len(x)).to_numpy()
+    todo = np.flatnonzero(sizes > 1)
+    for start in range(0, len(todo), SLICE):
+        at = todo[start:start + SLICE]
+        x, y = np.full((2, len(at), sizes[at].max()), np.nan)
+        for i, k in enumerate(at):
+            x[i, : sizes[k]], y[i, : sizes[k]] = volumes.iloc[k], moves.iloc[k]
+        a, b = np.triu_indices(x.shape[1], 1)
+        run = x[:, b] - x[:, a]
+        run[~(np.abs(run) > 1e-10)] = np.nan
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # rows without a slope
+            out[at] = np.nanmedian((y[:, b] - y[:, a]) / run, axis=1)
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 
 def impact(bars: DataFrame, window: int = 30, min_bars: int = 10, signed: bool = False) -> DataFrame:
@@ -45,22 +62,21 @@ def impact(bars: DataFrame, window: int = 30, min_bars: int = 10, signed: bool =
         "_n": F.count(v).over(w), "_xy": F.sum(dp * v).over(w), "_xx": F.sum(v * v).over(w),
         "_yy": F.sum(dp * dp).over(w), "_var": F.var_pop(dp).over(w),
         "avg_spread_bps": F.avg("spread_bps").over(s.last(window)),
-        "_pts": F.collect_list(F.when(v.isNotNull(), F.struct(dp.alias("dp"), v.alias("sv")))).over(w),
+        "_moves": F.collect_list(dp).over(w), "_volumes": F.collect_list(v).over(w),
     }).where(F.col("_seen") >= min_bars)
     ok = F.col("_n") >= min_bars // 2
     lam = ratio("_xy", "_xx")
     res = F.col("_yy") - 2 * lam * F.col("_xy") + lam * lam * F.col("_xx")
     tot = F.col("_var") * F.col("_n")
-    d = d.withColumn("_s", F.when(ok, _median_slope(F.col("_pts"))))
-    m = F.size("_s")
-    mid = (F.get("_s", F.floor((m - 1) / 2).cast("int")) + F.get("_s", F.floor(m / 2).cast("int"))) / 2
+    slope = F.pandas_udf(_median_slopes, "double")
+    d = d.withColumn("_s", slope(F.when(ok, F.col("_moves")), F.when(ok, F.col("_volumes"))))
     return d.withColumns({
         "estimated": ok,
         "lambda_ols": F.when(ok, lam).otherwise(0.0),
         "r_squared": F.when(ok & (tot > 1e-12), F.greatest(F.lit(0.0), 1 - res / tot)).otherwise(0.0),
-        "lambda_robust": F.when(ok & (m > 0), mid).otherwise(0.0),
+        "lambda_robust": F.when(ok, F.coalesce("_s", F.lit(0.0))).otherwise(0.0),
         "window_bars": F.col("_seen"),
-    }).drop("_dp", "_sv", "_seen", "_n", "_xy", "_xx", "_yy", "_var", "_pts", "_s")
+    }).drop("_dp", "_sv", "_seen", "_n", "_xy", "_xx", "_yy", "_var", "_moves", "_volumes", "_s")
 
 
 def _score(d: DataFrame, raw: Column) -> DataFrame:

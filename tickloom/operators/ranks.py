@@ -62,8 +62,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 
 
 def quantile_edges(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    """The ``bins + 1`` equally spaced quantiles of every group as one array."""
-    r = value_ranks(df, keys, value).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bins))))
+    """The ``bins + 1`` equally spaced quantiles of every group as one array.
+
+    A value is exploded to the quantiles between whose places it stands, one or two for most values.
+    """
+    step = F.lit(bins) / F.greatest(F.col("total") - 1, F.lit(1))
+    first = F.greatest(F.lit(0), F.floor((F.col("below") - 1) * step))
+    last = F.least(F.lit(bins), F.when(F.col("total") > 1, F.ceil((F.col("below") + F.col("n")) * step)).otherwise(bins))
+    r = value_ranks(df, keys, value).withColumn("_i", F.explode(F.sequence(first, last)))
     pos = (F.col("total") - 1).cast("double") * (F.col("_i") / bins)
     r = r.withColumns({"_lo": F.floor(pos), "_hi": F.ceil(pos), "_f": pos - F.floor(pos)})
 
