@@ -160,14 +160,14 @@ _AGG = f"""{_WORST}, {_UP.replace(UNIVERSE + ', ', '')},
 nw AS (SELECT contract, CASE WHEN mm_action = 'WIDEN' AND uncertainty < 4e-1 THEN 'NORMAL' ELSE mm_action END AS action,
   CASE WHEN mm_action = 'WIDEN' AND uncertainty < 4e-1 THEN 1 ELSE widen_factor END AS factor, pause_minutes, sentiment, uncertainty, informed_flow_risk, event_type AS net FROM ws),
 jn AS (SELECT es.contract AS symbol, es.action AS ea, es.factor AS ef, CASE WHEN es.action = 'PAUSE' AND es.pause_minutes > 0 THEN es.pause_minutes END AS ep,
-  nw.action AS na, nw.factor AS nf, CASE WHEN nw.action = 'PAUSE' AND nw.pause_minutes > 0 THEN nw.pause_minutes END AS np, es.event_type, days_until, has_event,
+  nw.action AS na, nw.factor AS nf, CASE WHEN nw.action = 'PAUSE' AND nw.pause_minutes > 0 THEN nw.pause_minutes END AS np, es.event_type, es.event_date, days_until, has_event,
   sentiment, uncertainty, coalesce(informed_flow_risk, 'LOW') AS risk, net FROM es LEFT JOIN nw USING (contract)),
 ag AS (SELECT symbol, CASE WHEN ea = 'AVOID' THEN 'AVOID' WHEN ea = 'PAUSE' OR na = 'PAUSE' THEN 'PAUSE' WHEN ea = 'WIDEN' OR na = 'WIDEN' THEN 'WIDEN' ELSE 'NORMAL' END AS mm_action,
   round(least(greatest(ef, 1) * greatest(coalesce(nf, 1), 1), 4) + 1e-9, 2) AS widen_factor, least(ep, np) * 60 AS pause_seconds, greatest(ep, np) * 60 AS pause_seconds_latest,
   CASE WHEN coalesce(na, 'NORMAL') <> 'NORMAL' THEN 'NEWS' WHEN ea <> 'NORMAL' THEN CASE event_type WHEN 'EARNINGS' THEN 'EARNINGS' ELSE 'CORPORATE' END ELSE 'DEFAULT' END AS source,
   CASE WHEN ea = 'NORMAL' AND coalesce(na, 'NORMAL') = 'NORMAL' THEN 'All clear' ELSE concat_ws(' | ', CASE WHEN ea <> 'NORMAL' THEN '[EVENTS] ' || event_type || ' in ' || days_until || ' day(s)' END,
     CASE WHEN coalesce(na, 'NORMAL') <> 'NORMAL' THEN '[NEWS] news ' || net END) END AS reason,
-  coalesce(sentiment, 0) AS news_sentiment, coalesce(uncertainty, 0) AS news_uncertainty, coalesce(na, 'NORMAL') <> 'NORMAL' AS active_news, has_event AS has_upcoming_event, event_type,
+  coalesce(sentiment, 0) AS news_sentiment, coalesce(uncertainty, 0) AS news_uncertainty, coalesce(na, 'NORMAL') <> 'NORMAL' AS active_news, has_event AS has_upcoming_event, event_type, event_date, 0.9 AS confidence, 0.5 AS mm_suitability,
   days_until AS days_to_event, CASE WHEN has_event AND ea IN ('PAUSE', 'AVOID') THEN 'HIGH' WHEN has_event AND ea = 'WIDEN' AND risk = 'LOW' THEN 'MEDIUM' ELSE risk END AS asymmetry_risk FROM jn)"""
 
 
@@ -178,7 +178,7 @@ def _sec(df):
 
 add("C12_signal_aggregation", lambda s, d: _sec(_signals(s, d)),
     "symbol mm_action widen_factor:4 pause_seconds:l pause_seconds_latest:l source reason news_sentiment:4 news_uncertainty:4 active_news:b "
-    "has_upcoming_event:b event_type days_to_event:l asymmetry_risk", f"WITH {_AGG}\nSELECT * FROM ag")
+    "has_upcoming_event:b event_type event_date:d days_to_event:l asymmetry_risk confidence:2 mm_suitability:2", f"WITH {_AGG}\nSELECT * FROM ag")
 add("F22_effective_widening", lambda s, d: sg.effective_widening(_signals(s, d), "1998-06-15 09:10:00"), "symbol is_paused:b is_stale:b effective_factor:4",
     f"""WITH {_AGG}, z AS (SELECT *, CASE WHEN mm_action NOT IN ('PAUSE', 'AVOID') THEN FALSE WHEN pause_seconds IS NULL THEN mm_action = 'AVOID' ELSE 600 < pause_seconds END AS is_paused FROM ag)
 SELECT *, FALSE AS is_stale, CASE WHEN is_paused THEN 999 ELSE round(greatest(widen_factor, CASE days_to_event WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 15e-1 WHEN 3 THEN 15e-1 ELSE 0 END,

@@ -12,6 +12,8 @@ from tickloom.operators.ranks import value_ranks
 
 BLOCK = 256
 SLOTS = 65_536
+# Confidence of an aggregated signal, and the suitability of a symbol that has not been scored.
+CONFIDENCE, SUITABILITY = 0.9, 0.5
 
 
 # ---- news ---------------------------------------------------------------------
@@ -177,8 +179,10 @@ def _pause(action: Column, minutes: Column, as_of: Column) -> Column:
 def components(events: DataFrame, news: DataFrame, as_of: str, min_uncertainty: float = 0.4) -> DataFrame:
     """One row per contract and source. A WIDEN from uncertain news below the threshold is dropped."""
     now = F.lit(as_of).cast("timestamp")
+    no_date = F.lit(None).cast("date").alias("event_date")
     ev = events.select(
         F.col("contract").alias("symbol"), F.lit("EVENTS").alias("source"), "action", "factor",
+        F.col("event_date").cast("date").alias("event_date") if "event_date" in events.columns else no_date,
         _pause(F.col("action"), F.col("pause_minutes"), now).alias("pause_until"), "event_type", "days_until", "has_event",
         F.concat(F.col("event_type"), F.lit(" in "), F.col("days_until").cast("string"), F.lit(" day(s)")).alias("reason"),
         F.lit(None).cast("double").alias("sentiment"), F.lit(None).cast("double").alias("uncertainty"),
@@ -187,7 +191,7 @@ def components(events: DataFrame, news: DataFrame, as_of: str, min_uncertainty:
     act = F.when(weak, "NORMAL").otherwise(F.col("mm_action"))
     nw = news.select(
         F.col("contract").alias("symbol"), F.lit("NEWS").alias("source"), act.alias("action"),
-        F.when(weak, 1.0).otherwise(F.col("widen_factor")).alias("factor"),
+        F.when(weak, 1.0).otherwise(F.col("widen_factor")).alias("factor"), no_date,
         _pause(act, F.col("pause_minutes"), now).alias("pause_until"), F.lit(None).cast("string").alias("event_type"),
         F.lit(None).cast("int").alias("days_until"), F.lit(False).alias("has_event"),
         F.concat(F.lit("news "), F.col("event_type")).alias("reason"), "sentiment", "uncertainty",
@@ -208,6 +212,7 @@ def aggregate_signals(parts: DataFrame, symbols: DataFrame, as_of: str, ttl_minu
         F.max(F.when(ev & live, F.when(F.col("event_type") == "EARNINGS", "EARNINGS").otherwise("CORPORATE"))).alias("_s1"),
         F.max(F.when(nw & live, F.lit("NEWS"))).alias("_s2"),
         F.max(F.when(ev, F.col("action"))).alias("_ea"), F.max(F.when(ev, F.col("event_type"))).alias("event_type"),
+        F.max(F.when(ev, F.col("event_date"))).alias("event_date"),
         F.max(F.when(ev, F.col("days_until"))).alias("days_to_event"), F.max("has_event").alias("has_upcoming_event"),
         F.max("sentiment").alias("news_sentiment"), F.max("uncertainty").alias("news_uncertainty"),
         F.max(nw & live).alias("active_news"), F.max("flow_risk").alias("_risk"))
@@ -227,7 +232,8 @@ def aggregate_signals(parts: DataFrame, symbols: DataFrame, as_of: str, ttl_minu
         F.coalesce("news_sentiment", F.lit(0.0)).alias("news_sentiment"),
         F.coalesce("news_uncertainty", F.lit(0.0)).alias("news_uncertainty"),
         F.coalesce("active_news", F.lit(False)).alias("active_news"), event.alias("has_upcoming_event"),
-        "event_type", "days_to_event",
+        "event_type", "event_date", "days_to_event",
+        F.lit(CONFIDENCE).alias("confidence"), F.lit(SUITABILITY).alias("mm_suitability"),
         F.when(event & F.col("_ea").isin("PAUSE", "AVOID"), "HIGH")
         .when(event & (F.col("_ea") == "WIDEN") & (risk == "LOW"), "MEDIUM").otherwise(risk).alias("asymmetry_risk"))
 
