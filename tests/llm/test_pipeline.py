@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check import compare, connect
 from tests.llm import cases
+from tests.llm import test_operators as plain
 from tickloom.llm import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,7 +42,14 @@ def test_stages(spark):
         if name == "near_duplicates":
             want = set(cases.classes([(r.doc_id, r.text) for r in before]).values())
             assert sorted(r.doc_id for r in after) == sorted(want)
+        if name == "decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+            want = plain.hits([(r.doc_id, r.text) for r in before], items)
+            assert {r.doc_id for r in after} == {d for d, w in want.items() if not w[4]}
         if name == "bpe":
+            lib = plain.library("word_bpe_49k.json")
+            ids = {r.doc_id: lib.encode(r.text, add_special_tokens=False).ids for r in before}
+            assert {r.doc_id: r.ids_sha256 for r in after} == {d: plain.sha(" ".join(map(str, i))) for d, i in ids.items()}
             assert {r.doc_id for r in after} == {r.doc_id for r in before} and all(r.n_tokens >= 0 for r in after)
     assert seen == ["language_id", "line_dedup", "near_duplicates", "decontamination", "bpe"]
     assert corpus_pipeline.run(spark, SMALL).count() == len(after)

@@ -156,10 +156,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _between(mixed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (x, y) between nodes of ``mixed`` (band, node, root) with a common band and different roots.
+    """Links (x, y) between roots of ``mixed`` (band, node, root) that have similar nodes in blocks with a common band.
 
     Nodes are dealt into blocks of about BLOCK_NODES: by their largest bucket, and within it by hash. Blocks that share
-    a band are compared with each other in one task, on the exact sets; only links come out.
+    a band are compared with each other in one task, on the exact sets. Two roots are linked once a task, however many
+    of their nodes are similar.
     """
     sized = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     home = mixed.join(sized, "band").groupBy("node").agg(
@@ -181,9 +182,8 @@ def _between(mixed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         near = similar(x, y, least)
         roots, others = (np.array([f"{r['a']}:{r['b']}" for r in own.root], dtype=object) for own in (a, b))
         at, to = np.nonzero(near & (roots[:, None] != others[None, :])) if len(a) and len(b) else ([], [])
-        return pd.DataFrame({
-            "xa": [a.node.iloc[i]["a"] for i in at], "xb": [a.node.iloc[i]["b"] for i in at],
-            "ya": [b.node.iloc[i]["a"] for i in to], "yb": [b.node.iloc[i]["b"] for i in to]}, dtype="int64")
+        links = {(*roots[i].split(":"), *others[j].split(":")) for i, j in zip(at, to)}
+        return pd.DataFrame(sorted(links), columns=["xa", "xb", "ya", "yb"]).astype("int64")
 
     def side(own: str) -> DataFrame:
         # new names for all columns: both sides come from the same tables
