@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 
@@ -17,12 +18,14 @@ from tickloom.session import scratch_path
 MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 17
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 END_ID = 2
+SPACE = chr(256 + 32)  # the byte 32 is the 33rd of the hidden ones
 
 BLOCK = ("part int, first long, doc_ids array<long>, lengths array<int>, n_ids int, "
          "checkpoints array<int>, payload binary")
 
+
 class Cached:
     """The tokenizers library behind a table of pieces that it has already encoded.
 
@@ -36,46 +39,73 @@ class Cached:
 
         self.library = Tokenizer.from_str(spec)
         self.known: dict[str, bytes] = {}
+        d = json.loads(spec)
+        plain = d["normalizer"] is None and d["pre_tokenizer"]["type"] == "ByteLevel" and d["pre_tokenizer"]["use_regex"]
+        self.symbols = byte_symbols() if plain and not d["pre_tokenizer"]["add_prefix_space"] else None
+        self.stops = dict(zip(".,\n", self._encoded([".", ",", "\n"])))
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _word(self, letters: str, line: bool) -> bytes:
+        """Ids of letters after a space, or after a line feed: one piece, so the library's model may have it directly."""
+        if letters.isascii():  # whose bytes stand for themselves
+            piece = letters if line else SPACE + letters
+        else:
+            piece = (letters if line else " " + letters).encode("utf-8").decode("latin-1").translate(self.symbols)
+        ids = array("I", [t.id for t in self.library.model.tokenize(piece)]).tobytes()
+        return self.stops["\n"] + ids if line else ids
+
     def _learn(self, pieces: set[str]) -> None:
-        """Adds the ids of pieces: "\nword" begins a line, "word" follows a space, "." and "," follow a letter."""
-        known, ends = self.known, []
-        for p in list(pieces):
-            if p[-1:] in (".", ",") and p[:-1].removeprefix("\n").isalpha():
-                pieces.discard(p)
-                ends.append(p)
-        pieces |= {p[:-1] for p in ends}
-        fresh = [p for p in pieces if p not in known]
-        for start in range(0, len(fresh), 5_000):
-            part = fresh[start:start + 5_000]
+        """Adds the ids of pieces: "\nword" begins a line, "word" follows a space, "." and "," may follow the letters."""
+        known, stops, others = self.known, self.stops, []
+        for p in pieces:
+            core = p[:-1] if p[-1] in ".," else p
+            line = core[:1] == "\n"
+            letters = core[1:] if line else core
+            # letters of old scripts are the same in every version of Unicode
+            if self.symbols is None or not letters.isalpha() or not (letters.isascii() or max(letters) < "\u0530"):
+                others.append(p)
+                continue
+            ids = known.get(core)
+            if ids is None:
+                ids = known[core] = self._word(letters, line)
+            if core is not p:
+                known[p] = ids + stops[p[-1]]
+        for start in range(0, len(others), 5_000):
+            part = others[start:start + 5_000]
             known.update(zip(part, self._encoded([p if p[:1] == "\n" else " " + p for p in part])))
-        stops = dict(zip(".,", self._encoded([".", ","])))
-        known.update((p, known[p[:-1]] + stops[p[-1]]) for p in ends)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        known, cut, fresh = self.known, [], set()
+        known, cut = self.known, []
         for t in texts:
-            plain = t.replace("\n", " ").split(" ") == t.split()
-            cut.append(t.replace("\n", " \n").split(" ") if plain else None)
-            if plain:
-                cut[-1][0] = "\n" + cut[-1][0]
-                fresh.update(cut[-1])
-        self._learn(fresh - known.keys())
+            line = t.replace("\n", " ")
+            # printable characters have no white space but the space
+            if t and line.isprintable() and "  " not in line and line[0] != " " != line[-1]:
+                cut.append(("\n" + t).replace("\n", " \n")[1:].split(" "))
+            else:
+                cut.append(None)
+        self._learn(set().union(*[c for c in cut if c]) - known.keys())
         out = []
         for t, c in zip(texts, cut):
             if c is None:
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4"))
             else:  # less the line feed that stands before the text
-                out.append(np.frombuffer(b"".join([known[p] for p in c]), dtype="<u4")[1:])
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, c)), dtype="<u4")[1:])
         return out
 
 
+def byte_symbols() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible ones of Latin-1 for themselves, the rest
+    counted up from 256."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def slices(texts: pd.Series, chars: int = 2_000_000):
     """Whole texts, a few MB at a time."""
     out, size = [], 0
