@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import Shared
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 BATCH_PIECES = 20_000
 
 

@@ -27,12 +27,21 @@ def row_key(*columns: str) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(7), *parts).alias("b"))
 
 
+def place(*columns: str) -> Column:
+    """A number from 0 to 1 that the hash of a row's values gives it."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) / (1 << 31)
+
+
 def kept_in_worker(name, version, make):
-    """``make()`` once per Python worker process and version; reused workers find it again in later tasks."""
+    """``make()`` once per Python worker process and version; reused workers find it again in later tasks.
+
+    A worker holds one object at a time: what an earlier stage left goes when the next one makes its own.
+    """
     import sys
 
     store = sys.__dict__.setdefault("_tickloom_kept", {})
     if name not in store or store[name][0] != version:
+        store.clear()
         store[name] = version, make()
     return store[name][1]
 
