@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Shared
+from tickloom.llm.common import Shared, place
 
 ROWS_PER_LANGUAGE = 1_000
 ENTRIES_PER_KIND = 100_000
 LONGEST_GRAM = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 UNKNOWN = "und"
 
 RUNS = re.compile(r"[^\W\d_]+")
@@ -32,17 +32,16 @@ def grams_of(word: str, k: int) -> list[str]:
 
 
 def sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """(lang, text) of at most ``rows`` rows per language, those with the smallest hashes of their doc_id.
+    """(lang, text) of at most ``rows`` rows per language, those whose id and text have the smallest hash.
 
-    The languages' thresholds come from a pass over ids and labels; the texts of the few rows below them are read in a
-    second pass. The final limit holds where many rows share a doc_id.
+    The languages are counted first. A row is then a candidate if its hash lies in the share of all hashes that is to
+    hold four times ``rows``, so the tasks that order the candidates see a few thousand rows however many there are.
     """
-    order = Window.partitionBy("lang").orderBy("_h")
-    hashed = labelled.withColumn("_h", F.xxhash64("doc_id"))
-    top = (hashed.select("lang", "_h").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows)
-           .groupBy("lang").agg(F.max("_h").alias("_most")))
-    few = hashed.join(F.broadcast(top), "lang").where("_h <= _most")  # one row per language
-    return few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
+    few = labelled.withColumn("_h", place("doc_id", "text")).join(F.broadcast(sizes), "lang")  # one row per language
+    order = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
+    return few.where(F.col("_h") < 4 * rows / F.col("_size")).withColumn("_n", F.row_number().over(order)).where(
+        F.col("_n") <= rows).select("lang", "text")
 
 
 def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, entries: int = ENTRIES_PER_KIND) -> dict:

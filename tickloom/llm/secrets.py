@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import place
+
 # fixed values: the patterns of the base kinds, the group and the least size that count
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -78,15 +80,17 @@ def train(samples: DataFrame) -> list[float]:
 def samples(docs: DataFrame, rows: int = SAMPLE_ROWS, strings: int = RANDOM_STRINGS) -> DataFrame:
     """Labelled (word, random): digests written in base 64, hexadecimal and capitals, and the words of some documents.
 
-    The documents are the ``rows`` ones with the smallest hashes of their text; their words that contain a digit, or
-    what the base kinds find, are not ordinary and are left out.
+    The documents are the ``rows`` ones whose id and text have the smallest hash; their words that contain a digit or an
+    access key are not ordinary and are left out. Candidates are those in the share of all hashes that is to hold four
+    times ``rows``, so no task orders more than some thousand of them.
     """
     seed = F.sha2(F.col("id").cast("string"), 256)
     raw = F.unhex(seed)
     made = docs.sparkSession.range(strings).select(F.explode(F.array(
         F.base64(raw), F.substring(seed, 1, 40), F.upper(F.substring(F.regexp_replace(F.base64(raw), "[+/=]", "7"), 1, 20)),
         F.regexp_replace(F.base64(raw), "[+/=]", ""))).alias("word"), F.lit(True).alias("random"))
-    few = docs.where(F.col("text").isNotNull()).select("text").orderBy(F.xxhash64("text"), F.crc32(F.col("text").cast("binary"))).limit(rows)
+    likely = docs.withColumn("_h", place("doc_id", "text")).where(F.col("_h") < 4 * rows / max(docs.count(), 1))
+    few = likely.where(F.col("text").isNotNull()).orderBy("_h", F.xxhash64("text")).limit(rows)
     words = few.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("word"))
     plain = words.where(~F.rlike("word", F.lit("[0-9]")) & ~F.rlike("word", F.lit(ACCESS))).select("word", F.lit(False).alias("random"))
     return made.union(plain)
