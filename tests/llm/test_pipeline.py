@@ -60,3 +60,12 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_a_line_of_two_texts_goes_from_the_second(spark):
+    shared = "this line of more than ten tokens stands in just two of the texts"
+    rows = [(1, f"one text\n{shared}\nand its end"), (2, f"quite another text here\n{shared}"), (3, "a third text without it")]
+    docs = cases.frame(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
+    out = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SMALL).collect()}
+    assert out[1].text == rows[0][1] and out[2].text == "quite another text here" and out[3].text == rows[2][1]
+    assert out[2].n_chars == len(out[2].text)
