@@ -95,6 +95,15 @@ def test_varying_positions_become_fields(spark):
     assert lines.without_recurring_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_with_a_common_beginning_survive(spark):
+    """At any number of them: what the tree's leading tokens share does not make a template."""
+    n = 40
+    texts = [f"own text {'x' * (i + 1)}\nWe sell good {'y' * (i + 1)}\nIt is a {'z' * (i + 1)} {'v' * (i + 1)}" for i in range(n)]
+    docs = cases.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    out = got(lines.without_recurring_lines(docs))
+    assert all(out[i].n_dropped == 0 and out[i].text == t for i, t in enumerate(texts))
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 ODD = ["a<|endoftext|>b  <|startoftext|>", "'s 'S it's ΣΑΣ ΟΔΟΣ. x", "ﬁ é    x\u0085y", "日本語 12½ ²", "🙂🙂a", "\x00\x1c a",

@@ -51,7 +51,8 @@ def recurring(docs: DataFrame, depth: int = DEPTH, children: int = CHILDREN, sim
 
     Lines of the tree's leaves that several documents reach with different lines are read again, one of each kind; a
     position with more than ``children`` different tokens becomes a field, unless fewer than ``similarity`` of the
-    positions would be left. A template recurs if ``min_docs`` different texts have it; the text with the smallest
+    positions behind the leading tokens would be left: those are the same in the whole leaf and tell nothing, so lines
+    with one or two tokens behind them never get a field. A template recurs if ``min_docs`` different texts have it; the text with the smallest
     doc_id keeps its lines. Exact copies of a document are one text here, so they do not make its lines recur.
 
     What is shuffled per line are hashes of 16 bytes and numbers; counts combine before the shuffle, so a line that a
@@ -66,7 +67,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, children: int = CHILDREN, sim
         lines.join(many, ["size", "lead"], "left_semi").select("size", "lead", "line").distinct(), "kinds")
     spread = kinds.select("size", "lead", F.posexplode(tokens(F.col("line"))).alias("at", "token")).distinct()
     masks = spread.groupBy("size", "lead", "at").count().where(F.col("count") > children).groupBy("size", "lead").agg(
-        F.collect_list("at").alias("mask")).where(F.size("mask") <= (1 - similarity) * F.col("size"))
+        F.collect_list("at").alias("mask")).where(F.size("mask") <= (1 - similarity) * (F.col("size") - depth))
     general = kinds.join(masks, ["size", "lead"]).select(
         "size", "lead", F.xxhash64("line").alias("kind"), F.xxhash64(F.transform(
             tokens(F.col("line")), lambda t, i: F.when(F.array_contains("mask", i), F.lit(FIELD)).otherwise(t))
