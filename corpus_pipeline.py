@@ -10,7 +10,7 @@ from tickloom.llm.common import staged, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language stays undecided, go."""
+    """Documents without a letter go; those whose language stays undecided stay."""
     return language.with_language(docs)
 
 

@@ -69,3 +69,16 @@ def test_a_line_of_two_texts_goes_from_the_second(spark):
     out = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SMALL).collect()}
     assert out[1].text == rows[0][1] and out[2].text == "quite another text here" and out[3].text == rows[2][1]
     assert out[2].n_chars == len(out[2].text)
+
+
+def test_language_id_drops_only_documents_without_a_letter(spark):
+    """However short they are, and whether their words are known or not."""
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    given = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = [(-1, "日本語", "en", "s", 3), (-2, "ж", None, "s", 1), (-3, "日 42", "en", "s", 4), (-4, "12 !?", "en", "s", 5), (-5, None, "en", "s", 0)]
+    docs = given.unionByName(spark.createDataFrame(odd, given.schema))
+    left = {r.doc_id for r in stage(spark, docs, SMALL).collect()}
+    assert left == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {-1, -2, -3} <= left
+    unlabelled = cases.frame(spark, [(1, "some words", None, "s", 10), (2, "7", None, "s", 1)])  # nothing to learn from
+    assert [r.doc_id for r in stage(spark, unlabelled, SMALL).collect()] == [1]

@@ -165,7 +165,8 @@ def predicted_documents(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), labelled).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents in a language the model can tell: those without a letter, or with a score below ``least``, go."""
+def with_language(docs: DataFrame) -> DataFrame:
+    """Documents with a letter. The model has no class for what is no language, so it never rejects such a document:
+    a low score, as of a few unknown words, means that the languages are equally likely."""
     labelled = docs.where(~held_out()).select("doc_id", "text", "lang")
-    return identify(docs, labelled).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(docs.columns)
+    return identify(docs, labelled).where((F.col("lang_pred") != UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(docs.columns)
