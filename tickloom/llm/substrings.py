@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks."""
+"""Substring deduplication by content-defined phrases and a join of the windows of those left over."""
 
 from __future__ import annotations
 
