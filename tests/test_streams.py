@@ -76,3 +76,21 @@ def test_drain_has_no_limit_of_its_own(plain, tmp_path):
     assert isinstance(sj.drain(Slow()), Slow)
 
 
+
+
+def test_closing_bars_do_not_make_up_for_lost_ones(spark):
+    """What the stream emitted is all bars below its last watermark; closing adds the rest and nothing else."""
+    from tests.conftest import SMALL
+    from tickloom.catalog import streams
+    from tickloom.catalog.standin import table, ticks_of
+    from tickloom.operators.bars import build_bars
+
+    ticks = ticks_of(table(spark, SMALL, "events"))
+    last = ticks.agg(F.max("ts_local_ns")).first()[0] // 1_000_000 - 5000
+    every = {(r.symbol, r.ts_sec) for r in build_bars(ticks, 1800).select("symbol", "ts_sec").collect()}
+    open_ = {(s, t) for s, t in every if (t + 1800) * 1000 > last}
+    emitted = streams._bars(spark, SMALL)
+    key = lambda df: sorted((r.symbol, r.ts_sec) for r in df.select("symbol", "ts_sec").collect())
+    assert key(emitted) == sorted(every - open_) and open_
+    assert key(sj.closing_bars(ticks, emitted, 1800)) == sorted(open_)
+    assert key(sj.closing_bars(ticks, emitted.limit(0), 1800)) == sorted(open_)

@@ -79,12 +79,15 @@ def store(df: DataFrame, path: str, checkpoint: str, every: str | None = None, m
         return _writer(df, checkpoint, every, mode).format("parquet").start(path)
 
 
-def closing_bars(ticks: DataFrame, stored: DataFrame, width: int = 1) -> DataFrame:
+def closing_bars(ticks: DataFrame, stored: DataFrame, width: int = 1, late_seconds: float = 5.0) -> DataFrame:
     """The bars of a finished session that the stream still held: nothing passes the watermark after the last tick.
 
-    ``ticks``: the session's stored ticks; ``stored``: the bars that the stream emitted.
+    ``ticks``: the session's stored ticks; ``stored``: the bars that the stream emitted; ``late_seconds``: the stream's
+    delay. Bars that end at or below its last watermark are the stream's own to emit and are not made up for here.
     """
-    return build_bars(ticks, width).join(stored.select("symbol", "ts_sec"), ["symbol", "ts_sec"], "left_anti")
+    mark = ticks.agg((F.max(F.expr("ts_local_ns div 1000000")) - int(late_seconds * 1000)).alias("_mark"))
+    held = build_bars(ticks, width).join(F.broadcast(mark), (F.col("ts_sec") + width) * 1000 > F.col("_mark")).drop("_mark")
+    return held.join(stored.select("symbol", "ts_sec"), ["symbol", "ts_sec"], "left_anti")
 
 
 def split_late(ticks: DataFrame, path: str, checkpoint: str, late_seconds: float = 5.0, every: str | None = None) -> StreamingQuery:
