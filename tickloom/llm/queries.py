@@ -1,8 +1,10 @@
-"""The queries of the ten operators."""
+"""The queries of the thirteen operators."""
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, decontamination, language, lines, neardup, secrets, sharding, substrings, tokenfile, topk
+from tickloom.llm import (
+    bpe, clustering, decontamination, language, lines, neardup, resampling, secrets, sharding, simhash, substrings,
+    tokenfile, topk)
 from tickloom.llm.common import table
 
 
@@ -47,5 +49,19 @@ def op10_top_k(spark, sf_dir):
     return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lines, op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates, op8_secrets, op9_sharding, op10_top_k)}
-SQL = {"op1_decontamination": decontamination.SQL, "op2_lines": lines.SQL}
+def op11_simhash(spark, sf_dir):
+    return simhash.linked_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark, sf_dir):
+    return clustering.clustered_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark, sf_dir):
+    return resampling.resampled_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_lines, op3_bpe, op4_token_files, op5_substrings, op6_language, op7_near_duplicates,
+    op8_secrets, op9_sharding, op10_top_k, op11_simhash, op12_clusters, op13_resampling)}
+SQL = {"op1_decontamination": decontamination.SQL, "op2_lines": lines.SQL, "op12_clusters": clustering.SQL}
