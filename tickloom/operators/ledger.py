@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.frames import with_position
+from tickloom.operators.blocks import block_of, chained, ordered, runs
 from tickloom.operators.scans import running
+from tickloom.session import stage
 
 # Rates per instrument type, brokerage in rupees per order.
 RATES = {
@@ -53,92 +56,230 @@ METRICS = (
     "sharpe double, max_drawdown double, win_rate double, max_inventory long, final_inventory long")
 
 
-class _LongBook:
-    """Average-cost book that realises sales while inventory is positive."""
+def _path(buy, qty, inv: int, price=None, basis: float = 0.0, lot=None):
+    """Average-cost book that realises sales while inventory is positive: (slope, basis, results of sales).
+
+    The basis after the fills is slope * (basis before) + what it is for a basis of zero.
+    """
+    slope, sales = 1.0, []
+    for i in range(len(buy)):
+        q, p = qty[i], price[i]
+        if buy[i]:
+            basis += p * q
+            inv += q
+        elif inv > 0:
+            avg = basis / inv
+            if lot is not None:
+                sales.append((p - avg) * q * lot[i])
+            basis -= avg * q
+            slope *= 1 - q / inv
+            inv -= q
+    return slope, basis, sales
+
+
+def inventory_after(buy: np.ndarray, qty: np.ndarray, low: int, high: int, every: int = 1024) -> np.ndarray:
+    """The inventory after the fills for each inventory from ``low`` to ``high`` before them.
+
+    A sale lowers only positive inventories, so the map breaks into pieces wherever a path touches zero. Paths that
+    have met stay together: they are looked for after ``every`` fills and followed once from there.
+    """
+    values = np.arange(low, high + 1, dtype=np.int64)
+    back, shift = np.arange(len(values)), 0  # purchases raise all values: they are kept as one number
+    for i, (up, q) in enumerate(zip(buy.tolist(), qty.tolist())):
+        if up:
+            shift += q
+        else:
+            values[values > -shift] -= q
+        if i % every == every - 1:
+            values, own = np.unique(values, return_inverse=True)
+            back = own[back]
+    return (values + shift)[back]
+
+
+_BLOCK = ("symbol string, date date, _blk long, fills long, buys long, costs double, net long, low long, high long, "
+          "largest long, buy array<boolean>, qty array<long>, price array<double>, lot array<double>")
+
+
+def _session_blocks(fills: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """A row for each run of a session's fills: counts, costs, extremes of the signed path, and the fills as arrays."""
+    keys = ["symbol", "date"]
+    slim = with_costs(fills).select(
+        *keys, *[c for c in order if c not in keys], "side", F.col("price").cast("double").alias("price"),
+        F.col("quantity").cast("long").alias("quantity"), F.col("lot_size").cast("double").alias("lot_size"), "cost")
+
+    def cut(frames):
+        for pdf in runs(frames, keys, rows):
+            buy, qty = (pdf["side"] == "BUY").to_numpy(), pdf["quantity"].to_numpy()
+            path = np.cumsum(np.where(buy, qty, -qty))
+            yield pd.DataFrame([{
+                "symbol": pdf["symbol"].iloc[0], "date": pdf["date"].iloc[0], "_blk": int(pdf["_pos"].iloc[0]),
+                "fills": len(pdf), "buys": int(buy.sum()), "costs": pdf["cost"].sum(), "net": int(path[-1]),
+                "low": int(path.min()), "high": int(path.max()), "largest": int(qty[~buy].max(initial=0)), "buy": buy,
+                "qty": qty, "price": pdf["price"].to_numpy(), "lot": pdf["lot_size"].to_numpy()}])
+
+    sorted_fills = ordered(slim, keys, [c for c in order if c not in keys])
+    return stage(sorted_fills.mapInPandas(cut, _BLOCK), "session-blocks")
+
+
+def _session_starts(blocks: DataFrame) -> DataFrame:
+    """(_blk, inv, basis) at the start of every block of sessions with several.
+
+    The start's inventory is at least one more than minus the largest sale, and at most that of the same path cut off
+    at zero. For these values a block tabulates what its fills make of them; beyond the depth of its own path all
+    sales count. The tables are chained for the inventories; with those known a block is a linear map of the basis,
+    and these maps are chained.
+    """
+    session = Window.partitionBy("symbol", "date")
+    before = session.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    deep = F.least("low", F.lit(0))
+    sums = blocks.select("symbol", "date", "_blk", "net", deep.alias("deep"), "largest").withColumns({
+        "_n": F.count(F.lit(1)).over(session), "_sum": F.coalesce(F.sum("net").over(before), F.lit(0)),
+        "_big": F.coalesce(F.max("largest").over(before), F.lit(0))})
+    sums = sums.where("_n > 1").withColumn("_cut", -F.col("deep") - F.col("_sum"))
+    top = F.col("_sum") + F.greatest(F.coalesce(F.max("_cut").over(before), F.lit(0)), F.lit(0))
+    asked = sums.select(
+        "symbol", "date", "_blk", "net", "deep", F.least(F.lit(0), 1 - F.col("_big")).alias("_from"),
+        F.greatest(F.least(top, -F.col("deep")), F.lit(0)).alias("_to"))
+    arrays = blocks.select("_blk", "buy", "qty", "price", "lot")
+
+    def tabulate(frames):
+        for pdf in frames:
+            made = [inventory_after(*r) for r in zip(pdf["buy"], pdf["qty"], pdf["_from"], pdf["_to"])]
+            yield pdf.drop(columns=["buy", "qty"]).assign(after=made)
+
+    tables = asked.join(arrays.select("_blk", "buy", "qty"), "_blk").select(
+        "symbol", "date", "_blk", "net", "deep", "_from", "_to", "buy", "qty").mapInPandas(
+        tabulate, "symbol string, date date, _blk long, net long, deep long, _from long, _to long, after array<long>")
+
+    keys = ["symbol", "date"]
+    starts = chained(
+        tables.withColumnsRenamed({"_blk": "blk", "_from": "lowest", "_to": "highest"}).select(
+            *keys, "blk", "net", "lowest", "highest", "after"),
+        keys, "blk", "symbol string, date date, blk long, inv long", lambda: 0, _followed)
+    starts = stage(starts, "inventories")
+
+    def reduce_basis(frames):
+        for pdf in frames:
+            maps = [_path(b, q, int(i), p)[:2] for b, q, i, p in zip(pdf["buy"], pdf["qty"], pdf["inv"], pdf["price"])]
+            yield pdf[["symbol", "date", "blk", "inv"]].assign(slope=[m[0] for m in maps], shift=[m[1] for m in maps])
+
+    maps = starts.join(arrays.drop("lot").withColumnRenamed("_blk", "blk"), "blk").select(
+        *keys, "blk", "inv", "buy", "qty", "price").mapInPandas(
+        reduce_basis, "symbol string, date date, blk long, inv long, slope double, shift double")
+    return chained(maps, keys, "blk", "_blk long, inv long, basis double", lambda: 0.0, lambda basis, r: (
+        r.slope * basis + r.shift, (r.blk, r.inv, basis)))
+
+
+def _followed(inv, r):
+    after = inv + r.net if inv > r.highest else int(r.after[inv - r.lowest])
+    return after, (r.symbol, r.date, r.blk, inv)
+
+
+_PART = ("symbol string, date date, _blk long, fills long, buys long, costs double, net long, low long, high long, "
+         "sales long, first double, mean double, m2 double, wins long, total double, top double, bottom double, worst double")
+
+
+def _part(r) -> tuple:
+    """What a block adds to its session: moments of the results of all sales but its first, and the running result's
+    highest, lowest and worst fall from a high."""
+    pnl = np.array(_path(r.buy, r.qty, int(r.inv), r.price, r.basis, r.lot)[2])
+    own = (r.symbol, r.date, r.blk, r.fills, r.buys, r.costs, r.net, r.low, r.high, len(pnl))
+    if not len(pnl):
+        return (*own, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0)
+    run, rest = np.cumsum(pnl), pnl[1:]
+    mean = rest.mean() if len(rest) else 0.0
+    return (*own, pnl[0], mean, ((rest - mean) ** 2).sum(), int((rest > 0).sum()), run[-1], run.max(), run.min(),
+            (run - np.maximum.accumulate(run)).min())
+
+
+class _Session:
+    """Merges the parts of a session in their order."""
 
     def __init__(self):
-        self.n = self.buys = self.inv = self.path = self.peak_inv = 0
-        self.basis = self.real = self.costs = 0.0
-        self.k = self.wins = 0
-        self.mean = self.m2 = 0.0
+        self.fills = self.buys = self.path = self.peak = self.k = self.wins = 0
+        self.costs = self.real = self.mean = self.m2 = self.fall = 0.0
         self.top = None
-        self.dd = 0.0
-
-    def add(self, buy, price, qty, lot, cost):
-        self.n += 1
-        self.costs += cost
-        self.path += qty if buy else -qty
-        self.peak_inv = max(self.peak_inv, abs(self.path))
-        if buy:
-            self.buys += 1
-            self.basis += price * qty
-            self.inv += qty
-        elif self.inv > 0:
-            avg = self.basis / self.inv
-            pnl = (price - avg) * qty * lot
-            self.real += pnl
-            self.basis -= avg * qty
-            self.inv -= qty
-            self._sale(pnl)
-
-    def _sale(self, pnl):
-        if self.top is not None:
-            self.k += 1
-            step = pnl - self.mean
-            self.mean += step / self.k
-            self.m2 += step * (pnl - self.mean)
-            self.wins += pnl > 0
-        self.top = self.real if self.top is None else max(self.top, self.real)
-        self.dd = min(self.dd, self.real - self.top)
+
+    def add(self, r) -> _Session:
+        self.fills, self.buys, self.costs = self.fills + r.fills, self.buys + r.buys, self.costs + r.costs
+        self.peak = max(self.peak, abs(self.path + r.low), abs(self.path + r.high))
+        self.path += r.net
+        if r.sales:
+            self._moments(r.sales - 1, r.mean, r.m2, r.wins)
+            if self.top is not None:
+                self._moments(1, r.first, 0.0, r.first > 0)
+                self.fall = min(self.fall, self.real + r.bottom - self.top)
+            self.fall = min(self.fall, r.worst)
+            self.top = self.real + r.top if self.top is None else max(self.top, self.real + r.top)
+            self.real += r.total
+        return self
+
+    def _moments(self, n, mean, m2, wins):
+        if n:
+            gap, both = mean - self.mean, self.k + n
+            self.m2 += m2 + gap * gap * self.k * n / both
+            self.mean += gap * n / both
+            self.k, self.wins = both, self.wins + wins
 
     def line(self):
         sd = math.sqrt(self.m2 / self.k) if self.k else 0.0
-        return (self.n, self.buys, self.n - self.buys, self.real, self.costs, self.real - self.costs,
-                self.mean / sd * math.sqrt(252) if sd > 0 else 0.0, self.dd,
-                self.wins / self.k if self.k else 0.0, self.peak_inv, self.path)
+        sd = sd if sd > 1e-12 * max(1.0, abs(self.mean)) else 0.0  # equal results differ by rounding only
+        return (self.fills, self.buys, self.fills - self.buys, self.real, self.costs, self.real - self.costs,
+                self.mean / sd * math.sqrt(252) if sd > 0 else 0.0, self.fall,
+                self.wins / self.k if self.k else 0.0, self.peak, self.path)
 
 
-def session_metrics(fills: DataFrame, order: list[str]) -> DataFrame:
+def session_metrics(fills: DataFrame, order: list[str], block_rows: int = 20_000) -> DataFrame:
     """Result of every (symbol, date): gross, costs, net, Sharpe, drawdown, win rate, inventory.
 
-    Whether a sale counts depends on the inventory that all fills before it left, so a
-    session is read in order. Rows are sorted by Spark and stream through the task in
-    Arrow batches: the memory used does not grow with the session.
+    Whether a sale counts depends on the inventory that all fills before it left. A session is cut into blocks by a
+    range-partitioned sort; what a block makes of an inventory and of a basis before it are maps that are chained, so
+    every block then knows its start and all are evaluated in parallel. Counts, moments and drawdowns of the blocks
+    merge. Through one task goes a session's list of blocks, never its fills.
     """
+    blocks = _session_blocks(fills, order, block_rows)
+    starts = _session_starts(blocks)
+    known = blocks.join(starts, "_blk", "left").withColumns({
+        "inv": F.coalesce("inv", F.lit(0)), "basis": F.coalesce("basis", F.lit(0.0))}).withColumnRenamed("_blk", "blk")
+
+    def evaluate(frames):
+        for pdf in frames:
+            yield pd.DataFrame([_part(r) for r in pdf.itertuples(index=False)], columns=names)
+
+    names = [c.split()[0] for c in _PART.split(", ")]
+    parts = known.mapInPandas(evaluate, _PART)
     keys = ["symbol", "date"]
-    d = with_costs(fills).select(*keys, *[c for c in order if c not in keys], "side", "price", "quantity", "lot_size", "cost")
-    d = d.repartition(*keys).sortWithinPartitions(*keys, *order)
-    d = d.select(*keys, "side", F.col("price").cast("double"), F.col("quantity").cast("long"), "lot_size", "cost")
 
-    def fold(batches):
-        key, book = None, None
-        for pdf in batches:
+    def merge(frames):
+        key = session = None
+        for pdf in frames:
             done = []
-            for sym, day, side, price, qty, lot, cost in zip(*(pdf[c].tolist() for c in pdf.columns)):
-                if (sym, day) != key:
-                    if key is not None:
-                        done.append((*key, *book.line()))
-                    key, book = (sym, day), _LongBook()
-                book.add(side == "BUY", price, qty, lot, cost)
+            for r in pdf.itertuples(index=False):
+                if (r.symbol, r.date) != key:
+                    if session is not None:
+                        done.append((*key, *session.line()))
+                    key, session = (r.symbol, r.date), _Session()
+                session.add(r)
             if done:
-                yield pd.DataFrame(done, columns=names)
-        if key is not None:
-            yield pd.DataFrame([(*key, *book.line())], columns=names)
+                yield pd.DataFrame(done, columns=columns)
+        if session is not None:
+            yield pd.DataFrame([(*key, *session.line())], columns=columns)
 
     schema = f"symbol string, date date, {METRICS}"
-    names = [x.split()[0] for x in schema.split(", ")]
-    return d.mapInPandas(fold, schema)
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "_blk").mapInPandas(merge, schema)
 
 
 # ---- positions with flips --------------------------------------------------------
 
-def _walk(lots, avg, signed, price, lot, emit):
-    """Average price through one block of fills; returns (lots, slope, avg).
+def _walk(lots, avg, real, signed, price, lot, emit):
+    """Average price and realised result through one block of fills.
 
-    The average after a block is slope * (average before) + avg, because a reduction
-    keeps it, an increase blends it with the price, and a flip replaces it.
+    Returns (lots, slope, avg, gain, real): for another average before the block the one behind it changes by slope
+    times the difference, and the result by gain times it. A reduction keeps the average, an increase blends it with
+    the price, and a flip replaces it.
     """
-    slope = 1.0
+    slope, gain = 1.0, 0.0
     for i in range(len(signed)):
         q, p = signed[i], price[i]
         pnl = 0.0
@@ -148,66 +289,70 @@ def _walk(lots, avg, signed, price, lot, emit):
             avg = avg * w + p * (1 - w)
             slope *= w
         else:
-            shut = min(abs(q), abs(lots))
-            pnl = (p - avg) * shut * lot[i] * (1 if lots > 0 else -1)
+            shut = min(abs(q), abs(lots)) * lot[i] * (1 if lots > 0 else -1)
+            pnl = (p - avg) * shut
+            gain -= slope * shut
             if abs(q) > abs(lots):
                 avg, slope = p, 0.0
         lots = after
+        real += pnl
         if emit is not None:
-            emit.append((lots, avg if lots else 0.0, pnl))
-    return lots, slope, avg
+            emit.append((lots, avg if lots else 0.0, pnl, real))
+    return lots, slope, avg, gain, real
 
 
-def position_ledger(fills: DataFrame, order: list[str], chunk: str = "date", block_rows: int = 50_000) -> DataFrame:
-    """Net lots, average price and realised result after every fill, long and short.
+def position_ledger(fills: DataFrame, order: list[str], block_rows: int = 20_000) -> DataFrame:
+    """Net lots, average price and realised result after every fill, long and short; ``_pos`` grows along a symbol.
 
-    Fills of a symbol are cut into blocks. The lots before a block are a sum over the
-    blocks before it; each block then reduces to one linear map of the average price,
-    the maps of a symbol are chained, and every block is walked again from its start.
+    Fills are sorted once, by ranges, and cut into blocks. The lots before a block are a sum over the blocks before it;
+    each block then reduces to linear maps of the average price and of the result, the maps of a symbol are chained,
+    and every block is walked again from its start. The other columns travel through the walk as Arrow batches.
     """
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")).cast("long")
-    d = with_position(fills.withColumn("_q", signed), ["symbol"], chunk, order)
-    d = d.withColumn("_blk", F.floor(F.col("_pos") / block_rows).cast("long"))
+    d = ordered(fills.withColumn("_q", signed), ["symbol"], [c for c in order if c != "symbol"])
+    d = stage(d.withColumn("_blk", block_of("_pos", block_rows)), "sorted-fills")
     keys = ["symbol", "_blk"]
     upto = Window.partitionBy("symbol").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     start = d.groupBy(*keys).agg(F.sum("_q").alias("_net")).select(
         *keys, F.coalesce(F.sum("_net").over(upto), F.lit(0)).alias("_lots0"))
-    d = d.join(start, keys)
     slim = d.select(*keys, "_pos", "_q", F.col("price").cast("double").alias("price"),
-                    F.col("lot_size").cast("double").alias("lot"), "_lots0")
-
-    def cols(pdf):
-        pdf = pdf.sort_values("_pos")
-        return pdf, pdf["_q"].tolist(), pdf["price"].tolist(), pdf["lot"].tolist()
-
-    def reduce_block(key, pdf):
-        pdf, q, p, lot = cols(pdf)
-        _, slope, shift = _walk(int(pdf["_lots0"].iloc[0]), 0.0, q, p, lot, None)
-        return pd.DataFrame([(*key, slope, shift)], columns=["symbol", "_blk", "_slope", "_shift"])
-
-    def chain(key, pdf):
-        pdf = pdf.sort_values("_blk")
-        out, avg = [], 0.0
-        for b, slope, shift in zip(pdf["_blk"].tolist(), pdf["_slope"].tolist(), pdf["_shift"].tolist()):
-            out.append((key[0], b, avg))
-            avg = slope * avg + shift
-        return pd.DataFrame(out, columns=["symbol", "_blk", "_avg0"])
-
-    def walk_block(key, pdf):
-        pdf, q, p, lot = cols(pdf)
-        rows = []
-        _walk(int(pdf["_lots0"].iloc[0]), float(pdf["_avg0"].iloc[0]), q, p, lot, rows)
-        out = pd.DataFrame(rows, columns=["lots", "avg_price", "pnl"])
-        out.insert(0, "symbol", key[0])
-        out.insert(1, "_pos", pdf["_pos"].to_numpy())
-        return out
-
-    maps = slim.groupBy(*keys).applyInPandas(reduce_block, "symbol string, _blk long, _slope double, _shift double")
-    avg0 = maps.groupBy("symbol").applyInPandas(chain, "symbol string, _blk long, _avg0 double")
-    walked = slim.join(avg0, keys).groupBy(*keys).applyInPandas(
-        walk_block, "symbol string, _pos long, lots long, avg_price double, pnl double")
-    out = d.drop("_lots0", "_q", "_blk").join(walked, ["symbol", "_pos"])
-    return running(out, ["symbol"], chunk, ["_pos"], {"realized_pnl": ("sum", "pnl")})
+                    F.col("lot_size").cast("double").alias("lot_size")).join(start, keys)
+
+    def legs(block: pa.Table):
+        block = block.sort_by("_pos")
+        values = [block.column(c).to_pylist() for c in ("_q", "price", "lot_size")]
+        return block, [values[0], *[[float(x) for x in v] for v in values[1:]]]
+
+    def reduce_block(block: pa.Table) -> pa.Table:
+        block, own = legs(block)
+        one = block.slice(0, 1).to_pylist()[0]
+        _, slope, avg, gain, real = _walk(one["_lots0"], 0.0, 0.0, *own, None)
+        return pa.table({"symbol": [one["symbol"]], "blk": [one["_blk"]], "lots0": [one["_lots0"]], "slope": [slope],
+                         "shift": [avg], "gain": [gain], "real": [real]})
+
+    def follow(state, r):
+        avg, real = state
+        return (r.slope * avg + r.shift, real + r.real + r.gain * avg), (r.symbol, r.blk, r.lots0, avg, real)
+
+    maps = slim.groupBy(*keys).applyInArrow(
+        reduce_block, "symbol string, blk long, lots0 long, slope double, shift double, gain double, real double")
+    starts = chained(maps, ["symbol"], "blk", "symbol string, _blk long, _lots0 long, _avg0 double, _real0 double",
+                     lambda: (0.0, 0.0), follow)
+    own = [c for c in d.columns if c not in ("_q", "_blk")]
+    shape = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in own)
+
+    def walk_block(block: pa.Table) -> pa.Table:
+        block, legs_of = legs(block)
+        one = block.select(["_lots0", "_avg0", "_real0"]).slice(0, 1).to_pylist()[0]
+        made = []
+        _walk(one["_lots0"], one["_avg0"], one["_real0"], *legs_of, made)
+        block = block.select(own)
+        for name, values in zip(("lots", "avg_price", "pnl", "realized_pnl"), zip(*made)):
+            block = block.append_column(name, pa.array(values, pa.int64() if name == "lots" else pa.float64()))
+        return block
+
+    return d.join(starts, keys).groupBy(*keys).applyInArrow(
+        walk_block, f"{shape}, lots long, avg_price double, pnl double, realized_pnl double")
 
 
 def mark_to_market(ledger: DataFrame, last_prices: DataFrame | None = None) -> DataFrame:
