@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from tickloom.functions.columns import clip
 from tickloom.functions.symbols import strip_contract
 from tickloom.operators.ranks import value_ranks
 
-BLOCK = 256
-SLOTS = 65_536
+BLOCK = 64
+MOST_BITS = 1 << 22
 # Confidence of an aggregated signal, and the suitability of a symbol that has not been scored.
 CONFIDENCE, SUITABILITY = 0.9, 0.5
 
@@ -24,28 +26,53 @@ def normalise(raw: DataFrame) -> DataFrame:
     return d.withColumn("id", tx.news_id(F.col("source"), F.col("headline")))
 
 
+def bitmap(df: DataFrame, value: Column, bits: int) -> Callable[[Column], Column]:
+    """A test whether ``value`` may stand in ``df``: one bit a hash, built by a map-side OR in linear time.
+
+    ``bits`` is a power of two from 64 to MOST_BITS, so at most MOST_BITS / 64 longs come to the driver, whatever the
+    number of rows. They go into the plan as a literal and are not copied with any row.
+    """
+    def slot(x):
+        return F.xxhash64(x).bitwiseAND(F.lit(bits - 1).cast("long"))
+
+    own = df.select(slot(value).alias("h"))
+    word, bit = F.shiftright("h", 6), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = [0] * (bits // 64)
+    for r in own.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).collect():
+        words[r.w] = r.b
+    # a long list of single literals takes long to plan; one string is split when the plan is optimised
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return lambda x: F.getbit(F.get(table, F.shiftright(slot(x), 6).cast("int")), slot(x).bitwiseAND(F.lit(63))) == 1
+
+
 def contained_symbols(items: DataFrame, universe: DataFrame, key: str, text: str) -> DataFrame:
     """(key, symbol), without repeats, for each symbol that occurs in the upper-cased text.
 
-    The text's pieces of the symbols' lengths are joined with the symbols by
-    equality, and only hits are made distinct. Before that, pieces whose hash no
-    symbol has are left out: the row that tells so has SLOTS flags and the
-    distinct lengths, whatever the number of symbols.
+    Texts are cut into overlapping blocks, and at each place the piece as long as the shortest symbol is looked up in
+    a bitmap of the symbols' beginnings. What passes yields its pieces of the symbols' lengths, which a bitmap of whole
+    symbols tests. The few that are left are joined with the symbols by equality, so false hits go. Building takes one
+    pass over the symbols; the work per character does not depend on their number, and symbols of one length need one
+    test a place.
     """
     u = universe.select("symbol").where(F.length("symbol") > 0).distinct()
-    slot = F.pmod(F.xxhash64("symbol"), F.lit(SLOTS)).cast("int")
-    shape = u.agg(
-        F.collect_set(slot).alias("_s"), F.collect_set(F.length("symbol")).alias("_lens"),
-        F.coalesce(F.max(F.length("symbol")), F.lit(1)).alias("_most"),
-    ).withColumn("_flags", F.expr(f"transform(sequence(0, {SLOTS} - 1), i -> array_contains(_s, i))")).drop("_s")
-    body = items.select(key, F.upper(text).alias("_t")).crossJoin(F.broadcast(shape))
-    # in overlapping blocks, as finding a character takes time in proportion to its place
-    found = F.expr(f"""flatten(transform(
-        transform(sequence(1, greatest(length(_t), 1), {BLOCK}), b -> substring(_t, b, {BLOCK} - 1 + _most)),
-        b -> flatten(transform(_lens, n -> filter(
-            transform(sequence(1, least({BLOCK}, greatest(length(b) - n + 1, 1))), i -> substring(b, i, n)),
-            p -> get(_flags, cast(pmod(xxhash64(p), {SLOTS}) as int)))))))""")
-    pieces = body.select(key, F.explode_outer(found).alias("symbol"))
+    count, *lengths = u.agg(F.count(F.lit(1)), F.array_sort(F.collect_set(F.length("symbol")))).first()
+    nothing = items.select(key, F.lit(None).cast("string").alias("symbol")).where(F.lit(False))
+    if not count:
+        return nothing
+    lengths = lengths[0]
+    bits = min(MOST_BITS, max(64, 1 << (8 * count - 1).bit_length()))
+    least, most = lengths[0], lengths[-1]
+    begins = bitmap(u, F.substring("symbol", 1, least), bits)
+    # a look-ahead captures each block with what a piece may reach behind it
+    blocks = F.regexp_extract_all(F.upper(text), F.lit(f"(?s)(?=(.{{1,{BLOCK - 1 + most}}})).{{1,{BLOCK}}}"), F.lit(1))
+    at = items.select(key, F.explode(blocks).alias("_b")).select(
+        key, "_b", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.length("_b")))).alias("_i"))
+    near = at.where(begins(F.substring("_b", F.col("_i"), F.lit(least))))
+    pieces = near.select(key, F.substring("_b", F.col("_i"), F.lit(least)).alias("symbol"))
+    if most > least:
+        whole = bitmap(u, F.col("symbol"), bits)
+        pieces = near.select(key, "_b", "_i", F.explode(F.array(*map(F.lit, lengths))).alias("_n")).select(
+            key, F.expr("substring(_b, _i, _n)").alias("symbol")).where(whole(F.col("symbol")))
     return pieces.join(u, "symbol", "left_semi").select(key, "symbol").distinct()
 
 
