@@ -11,6 +11,7 @@ from tickloom.catalog.intel import _history
 from tickloom.catalog.standin import BARS, FEATS_DAY, TICKS, table, ticks_of
 from tickloom.session import scratch_path
 from tickloom.sources import ticks as tk
+from tickloom.streaming import corrections as sc
 from tickloom.streaming import jobs as sj
 from tickloom.streaming import state as ss
 
@@ -84,6 +85,23 @@ SELECT f.symbol, f.ts_sec, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION B
 FROM feats f LEFT JOIN s USING (symbol, ts_sec)""")
 
 
+def _corrected(s, d, features=True):
+    """The events in four files that each hold ticks of all times, read one a batch: most ticks come late."""
+    src, out = scratch_path(s, "mixed"), scratch_path(s, "corrected")
+    e = table(s, d, "events")
+    e.repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(src)
+    feed = ticks_of(sj.file_stream(s, src, e.schema, files_per_batch=1))
+    sj.drain(sc.corrected_stream(feed, out, sj.checkpoint_for(s, "corrected"), 1800, features=features))
+    return out
+
+
+_BAR_COLS = f"{KEY} open:6 high:6 low:6 close:6 volume_delta:l tick_count:l spread_mean:7 imbalance_std:6 weighted_mid:6 bid_q5:l"
+add("T2_corrected_bars", lambda s, d: sc.latest(s, _corrected(s, d, False), "bars"), _BAR_COLS, f"{BARS}\nSELECT * FROM bars")
+add("T3_corrected_features", lambda s, d: sc.latest(s, _corrected(s, d), "features"),
+    f"{KEY} realized_vol_10s:5 realized_vol_30s:5 realized_vol_60s:5 realized_vol_300s:5 imbalance_ma_10s:6 imbalance_ma_30s:6 imbalance_ma_60s:6 "
+    "price_mom_10s:6 price_mom_30s:6 price_mom_60s:6 spread_zscore:4 volume_ratio:6", f"{FEATS_DAY}\nSELECT * FROM feats")
+
+
 def _late(s, d):
     """Purchases and errors arrive in a second file, after the others."""
     src, out = scratch_path(s, "feed"), scratch_path(s, "split")
