@@ -85,6 +85,58 @@ def test_position_ledger_does_not_depend_on_blocks(spark):
     assert all(near(x, y, 1e-9) for r, s in zip(a, b) for x, y in zip(r, s))
 
 
+def slow_session(legs, lot):
+    """The rule, fill by fill: sales count while inventory is positive."""
+    inv, basis, path, sales, peak = 0, 0.0, 0, [], 0
+    for side, price, qty in legs:
+        path += qty if side == "BUY" else -qty
+        peak = max(peak, abs(path))
+        if side == "BUY":
+            basis, inv = basis + price * qty, inv + qty
+        elif inv > 0:
+            sales.append((price - basis / inv) * qty * lot)
+            basis, inv = basis - basis / inv * qty, inv - qty
+    run = np.cumsum(sales) if sales else np.zeros(1)
+    rest = np.array(sales[1:])
+    sharpe = rest.mean() / rest.std() * math.sqrt(252) if len(rest) and rest.std() > 0 else 0.0
+    return (len(legs), sum(x[0] == "BUY" for x in legs), sum(sales), sharpe, (run - np.maximum.accumulate(run)).min(),
+            (rest > 0).mean() if len(rest) else 0.0, peak, path)
+
+
+@pytest.mark.parametrize("share,seed", [(0.5, 1), (0.35, 2), (0.65, 3), (0.5, 4)])
+def test_session_metrics_do_not_depend_on_blocks(spark, share, seed):
+    rnd = random.Random(seed)
+    made = {s: [(rnd.choices(["BUY", "SELL"], [share, 1 - share])[0], 100 + rnd.random(), rnd.randint(1, 9)) for _ in range(n)]
+            for s, n in (("A", 900), ("B", 40), ("C", 1), ("D", 7))}
+    made["E"] = [("SELL", 100.0, 3)] * 20
+    made["F"] = [("BUY", 100.0, 60)] * 12 + [("SELL", 101.0, 7)] * 300
+    f = spark.createDataFrame(
+        [(s, i, *leg, 5, "equity_futures") for s, legs in made.items() for i, leg in enumerate(legs)],
+        "symbol string, i int, side string, price double, quantity int, lot_size int, instrument_type string",
+    ).withColumn("date", F.lit("2026-05-13").cast("date")).repartition(4)
+    for n in (7, 50_000):
+        found = {r.symbol: r for r in ledger.session_metrics(f, ["i"], block_rows=n).collect()}
+        assert set(found) == set(made)
+        for s, legs in made.items():
+            r, want = found[s], slow_session(legs, 5)
+            got = (r.total_fills, r.buy_fills, r.gross_pnl, r.sharpe, r.max_drawdown, r.win_rate, r.max_inventory, r.final_inventory)
+            assert all(near(a, b, 1e-7) for a, b in zip(got, want)), (s, n, got, want)
+    assert ledger.session_metrics(f.limit(0), ["i"]).count() == 0
+
+
+def test_inventory_maps():
+    rnd = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rnd.integers(1, 200))
+        buy, qty = rnd.random(n) < rnd.random(), rnd.integers(1, 12, n)
+        out = ledger.inventory_after(buy, qty, -15, 90, every=16)
+        for x in range(-15, 91):
+            inv = x
+            for b, q in zip(buy.tolist(), qty.tolist()):
+                inv = inv + q if b else inv - q if inv > 0 else inv
+            assert out[x + 15] == inv
+
+
 def test_normal_distribution():
     x = np.linspace(-9, 9, 2001)
     want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
@@ -181,6 +233,30 @@ def test_symbols_inside_text(spark):
     assert signals.contained_symbols(items, u.limit(0), "id", "headline").count() == 0
 
 
+def test_symbols_anywhere_in_long_texts(spark):
+    """Symbols of many lengths, at the blocks' edges, one inside another, beyond ASCII; more of them than bits."""
+    rnd = random.Random(5)
+    letters = "ABCDEFGHÄ"
+    names = {"".join(rnd.choice(letters) for _ in range(rnd.randint(2, 90))) for _ in range(400)} | {"Q" * 150, "ÄB"}
+    items = []
+    for i in range(30):
+        t = "".join(rnd.choice(letters.lower() + " ") for _ in range(rnd.randint(0, 700)))
+        for _ in range(4):
+            at = rnd.randint(0, len(t))
+            t = t[:at] + rnd.choice(sorted(names)) + t[at:]
+        items.append((i, t + "\nline\r\n" + "q" * rnd.randint(0, 200)))
+    d = spark.createDataFrame(items, "id long, headline string")
+    u = spark.createDataFrame([(x,) for x in names], "symbol string")
+    want = {(i, x) for i, t in items for x in names if x in t.upper()}
+    assert {tuple(r) for r in signals.contained_symbols(d, u, "id", "headline").collect()} == want
+    most = signals.MOST_BITS
+    try:
+        signals.MOST_BITS = 64
+        assert {tuple(r) for r in signals.contained_symbols(d, u, "id", "headline").collect()} == want
+    finally:
+        signals.MOST_BITS = most
+
+
 def test_trading_dates_reach_as_far_as_needed(spark):
     closed = spark.range(30).selectExpr("date_sub(date'2026-05-13', cast(id as int) + 1) day")
     d = spark.sql("SELECT date'2026-05-13' date")

@@ -94,3 +94,51 @@ def test_closing_bars_do_not_make_up_for_lost_ones(spark):
     assert key(emitted) == sorted(every - open_) and open_
     assert key(sj.closing_bars(ticks, emitted, 1800)) == sorted(open_)
     assert key(sj.closing_bars(ticks, emitted.limit(0), 1800)) == sorted(open_)
+
+
+def test_late_ticks_correct_bars_and_what_follows(spark, tmp_path):
+    """A feed in order, then a tick of an early second: its bar and the rows within reach get a second version."""
+    from tests.conftest import SMALL, near
+    from tickloom.catalog.standin import table, ticks_of
+    from tickloom.operators.bars import build_bars
+    from tickloom.operators.features import bar_features
+    from tickloom.streaming import corrections as sc
+
+    e = table(spark, SMALL, "events").where("event_type = 'view'").orderBy("ts")
+    rows = e.collect()
+    src, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    late = rows[5]
+
+    def feed(some):
+        spark.createDataFrame(some, e.schema).coalesce(1).write.mode("append").parquet(src)
+        sj.drain(sc.corrected_stream(ticks_of(sj.file_stream(spark, src, e.schema, files_per_batch=1)), out, mark, 1800))
+
+    def now(name, columns):
+        return {(r.symbol, r.ts_sec): r for r in sc.latest(spark, out, name).select("symbol", "ts_sec", "version", "n_versions", *columns).collect()}
+
+    feed(rows[:5] + rows[6:])
+    before = now("bars", ["tick_count"])
+    feed([late])
+    columns = ["open", "close", "tick_count", "imbalance_std", "spread_mean", "volume_delta"]
+    bars = now("bars", columns)
+    want = build_bars(ticks_of(e), 1800)
+    second = [k for k, r in bars.items() if r.n_versions == 2 or (r.version == 1 and k not in before)]
+    assert len(second) == 1 and len(bars) == want.count() and {r.version for r in before.values()} == {0}
+    for r in want.collect():
+        assert all(near(bars[r.symbol, r.ts_sec][c], r[c]) for c in columns)
+    names = ["realized_vol_10s", "imbalance_ma_60s", "spread_zscore", "volume_ratio", "price_mom_10s"]
+    feats = now("features", names)
+    for r in bar_features(want).collect():
+        assert all(near(feats[r.symbol, r.ts_sec][c], r[c], 1e-6) for c in names)
+    day = {(r.symbol, r.ts_sec): str(r.date) for r in want.collect()}
+    key = second[0]
+    assert {k for k, r in feats.items() if r.version == 1} == {k for k in feats if day[k] == day[key] and k[1] >= key[1]}
+
+
+def test_a_change_reaches_310_rows(spark):
+    from tickloom.streaming import corrections as sc
+
+    d = spark.range(2000).selectExpr("'A' AS symbol", "id AS ts_sec", "date'2026-01-01' AS date", "id IN (700, 1500) AS _new")
+    got = [(r.ts_sec, r._out) for r in sc.reached(d).orderBy("ts_sec").collect()]
+    assert [t for t, _ in got] == [*range(390, 1011), *range(1190, 1811)]
+    assert [t for t, o in got if o] == [*range(700, 1011), *range(1500, 1811)]
