@@ -27,19 +27,24 @@ def block_of(pos: str, rows: int) -> Column:
     return F.shiftleft(part, _PART) + F.floor(inside / rows).cast("long")
 
 
-def runs(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:
-    """Consecutive rows of one key, ``rows`` at most, from a stream of sorted frames."""
+def runs(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[list[pd.DataFrame]]:
+    """Consecutive rows of one key, ``rows`` at most, from a stream of sorted frames: lists of whole runs, one a frame."""
     waiting, held, last = [], 0, None
+
+    def whole():
+        return waiting[0] if len(waiting) == 1 else pd.concat(waiting, ignore_index=True)
+
     for pdf in frames:
         if not len(pdf):
             continue
-        names = pdf[keys]
+        done, names = [], pdf[keys]
         new = (names.ne(names.shift()) & ~(names.isna() & names.shift().isna())).any(axis=1).to_numpy()
         starts = [0, *[i for i in new.nonzero()[0].tolist() if i], len(pdf)]
-        for a, b in zip(starts, starts[1:]):
-            key = tuple(None if pd.isna(v) else v for v in names.iloc[a])
+        values = list(zip(*[names[k].iloc[starts[:-1]].tolist() for k in keys]))
+        for key, a, b in zip(values, starts, starts[1:]):
+            key = tuple(None if v is None or v != v else v for v in key)
             if waiting and key != last:
-                yield pd.concat(waiting, ignore_index=True)
+                done.append(whole())
                 waiting, held = [], 0
             last = key
             while a < b:
@@ -47,10 +52,11 @@ def runs(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator
                 waiting.append(pdf.iloc[a:a + take])
                 a, held = a + take, held + take
                 if held == rows:
-                    yield pd.concat(waiting, ignore_index=True)
+                    done.append(whole())
                     waiting, held = [], 0
+        yield done
     if waiting:
-        yield pd.concat(waiting, ignore_index=True)
+        yield [whole()]
 
 
 def chained(blocks: DataFrame, keys: list[str], order: str, schema: str, begin: Callable, step: Callable) -> DataFrame:

@@ -107,28 +107,34 @@ def _session_blocks(fills: DataFrame, order: list[str], rows: int) -> DataFrame:
         *keys, *[c for c in order if c not in keys], "side", F.col("price").cast("double").alias("price"),
         F.col("quantity").cast("long").alias("quantity"), F.col("lot_size").cast("double").alias("lot_size"), "cost")
 
+    def block(pdf):
+        side, qty, cost = (pdf[c].to_numpy() for c in ("side", "quantity", "cost"))
+        buy = side == "BUY"
+        path = np.cumsum(np.where(buy, qty, -qty))
+        return (pdf["symbol"].iat[0], pdf["date"].iat[0], int(pdf["_pos"].iat[0]), len(pdf), int(buy.sum()), cost.sum(),
+                int(path[-1]), int(path.min()), int(path.max()), int(qty[~buy].max(initial=0)), buy, qty,
+                pdf["price"].to_numpy(), pdf["lot_size"].to_numpy())
+
     def cut(frames):
-        for pdf in runs(frames, keys, rows):
-            buy, qty = (pdf["side"] == "BUY").to_numpy(), pdf["quantity"].to_numpy()
-            path = np.cumsum(np.where(buy, qty, -qty))
-            yield pd.DataFrame([{
-                "symbol": pdf["symbol"].iloc[0], "date": pdf["date"].iloc[0], "_blk": int(pdf["_pos"].iloc[0]),
-                "fills": len(pdf), "buys": int(buy.sum()), "costs": pdf["cost"].sum(), "net": int(path[-1]),
-                "low": int(path.min()), "high": int(path.max()), "largest": int(qty[~buy].max(initial=0)), "buy": buy,
-                "qty": qty, "price": pdf["price"].to_numpy(), "lot": pdf["lot_size"].to_numpy()}])
+        for made in runs(frames, keys, rows):
+            yield pd.DataFrame([block(pdf) for pdf in made], columns=names)
 
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
     sorted_fills = ordered(slim, keys, [c for c in order if c not in keys])
     return stage(sorted_fills.mapInPandas(cut, _BLOCK), "session-blocks")
 
 
-def _session_starts(blocks: DataFrame) -> DataFrame:
-    """(_blk, inv, basis) at the start of every block of sessions with several.
+def _session_starts(blocks: DataFrame) -> DataFrame | None:
+    """(_blk, inv, basis) at the start of every block of sessions with several; None without such a session.
 
     The start's inventory is at least one more than minus the largest sale, and at most that of the same path cut off
     at zero. For these values a block tabulates what its fills make of them; beyond the depth of its own path all
     sales count. The tables are chained for the inventories; with those known a block is a linear map of the basis,
     and these maps are chained.
     """
+    keys = ["symbol", "date"]
+    if blocks.groupBy(*keys).count().where("count > 1").isEmpty():
+        return None
     session = Window.partitionBy("symbol", "date")
     before = session.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     deep = F.least("low", F.lit(0))
@@ -151,7 +157,6 @@ def _session_starts(blocks: DataFrame) -> DataFrame:
         "symbol", "date", "_blk", "net", "deep", "_from", "_to", "buy", "qty").mapInPandas(
         tabulate, "symbol string, date date, _blk long, net long, deep long, _from long, _to long, after array<long>")
 
-    keys = ["symbol", "date"]
     starts = chained(
         tables.withColumnsRenamed({"_blk": "blk", "_from": "lowest", "_to": "highest"}).select(
             *keys, "blk", "net", "lowest", "highest", "after"),
@@ -239,8 +244,9 @@ def session_metrics(fills: DataFrame, order: list[str], block_rows: int = 20_000
     """
     blocks = _session_blocks(fills, order, block_rows)
     starts = _session_starts(blocks)
-    known = blocks.join(starts, "_blk", "left").withColumns({
-        "inv": F.coalesce("inv", F.lit(0)), "basis": F.coalesce("basis", F.lit(0.0))}).withColumnRenamed("_blk", "blk")
+    known = blocks if starts is None else blocks.join(starts, "_blk", "left")
+    inv, basis = (F.lit(None) if starts is None else F.col(c) for c in ("inv", "basis"))
+    known = known.withColumns({"inv": F.coalesce(inv, F.lit(0)), "basis": F.coalesce(basis, F.lit(0.0))}).withColumnRenamed("_blk", "blk")
 
     def evaluate(frames):
         for pdf in frames:
@@ -320,8 +326,8 @@ def position_ledger(fills: DataFrame, order: list[str], block_rows: int = 20_000
 
     def legs(block: pa.Table):
         block = block.sort_by("_pos")
-        values = [block.column(c).to_pylist() for c in ("_q", "price", "lot_size")]
-        return block, [values[0], *[[float(x) for x in v] for v in values[1:]]]
+        price, lot = (block.column(c).cast(pa.float64()).to_numpy().tolist() for c in ("price", "lot_size"))
+        return block, [block.column("_q").to_numpy().tolist(), price, lot]
 
     def reduce_block(block: pa.Table) -> pa.Table:
         block, own = legs(block)

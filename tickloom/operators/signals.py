@@ -11,6 +11,7 @@ from tickloom.functions import text as tx
 from tickloom.functions.columns import clip
 from tickloom.functions.symbols import strip_contract
 from tickloom.operators.ranks import value_ranks
+from tickloom.session import stage
 
 BLOCK = 64
 MOST_BITS = 1 << 22
@@ -54,7 +55,7 @@ def contained_symbols(items: DataFrame, universe: DataFrame, key: str, text: str
     pass over the symbols; the work per character does not depend on their number, and symbols of one length need one
     test a place.
     """
-    u = universe.select("symbol").where(F.length("symbol") > 0).distinct()
+    u = stage(universe.select("symbol").where(F.length("symbol") > 0).distinct(), "symbols")
     count, *lengths = u.agg(F.count(F.lit(1)), F.array_sort(F.collect_set(F.length("symbol")))).first()
     nothing = items.select(key, F.lit(None).cast("string").alias("symbol")).where(F.lit(False))
     if not count:
