@@ -8,6 +8,7 @@ from tickloom.catalog.core import add
 from tickloom.catalog.flow import FLOW
 from tickloom.catalog.standin import BARS, FEATS, TICKS, bars, bars_cte, feats
 from tickloom.operators import features as ft
+from tickloom.operators import fits
 from tickloom.operators import profile as pf
 from tickloom.operators import ranks as rk
 from tickloom.plans import reports as rp
@@ -165,6 +166,10 @@ kap AS (SELECT symbol, kappa, a, n_bins, 1 - sum((y - a * exp(-kappa * x)) * (y
   FROM h JOIN k2 USING (symbol) GROUP BY symbol, kappa, a, n_bins)"""
 add("A24_arrival_decay", lambda s, d: pf.arrival_decay(bars(s, d)), "symbol kappa:4 a:8 n_bins:l r2:4",
     f"{_KAP}\nSELECT * FROM kap")
+_NLS = _KAP.replace("WITH ", "WITH RECURSIVE ", 1) + f""", st0 AS (SELECT symbol, a AS a0, kappa AS k0 FROM kap),
+{fits.sql('h', 'st0', 'symbol')}"""
+add("A24_arrival_fit", lambda s, d: pf.arrival_fit(bars(s, d)), "symbol kappa:4 a:8 sse:8 n_points:l",
+    f"{_NLS}\nSELECT symbol, f.k AS kappa, f.a, f.sse, p.n_points FROM (SELECT symbol, len(pts) AS n_points FROM pts JOIN st0 USING (symbol)) p LEFT JOIN fitted f USING (symbol)")
 _FS = f"""{BARS}, q AS (SELECT symbol, quantile_cont(bid_q1, 0.95) AS qb, quantile_cont(tick_count, 0.95) AS qt,
   quantile_cont(spread_mean, 0.95) AS qs FROM bars GROUP BY 1),
 s AS (SELECT symbol, date, {hm(900)} AS hhmm, avg((1 / (bid_q1 / (qb + 1) + 1e-1)) * (1 / (tick_count / (qt + 1) + 1e-1))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import finite, pearson, ratio
+from tickloom.operators.fits import exponential_fits
 from tickloom.operators.frames import with_position
 from tickloom.operators.profile import unpivot
 from tickloom.operators.ranks import average_ranks, quantiles
@@ -105,3 +106,12 @@ def ic_decay(table: DataFrame) -> DataFrame:
     return g.where("n >= 3").select(
         "symbol", "signal", lam.alias("decay_rate"), "peak_ic",
         (F.lit(math.log(2)) / F.greatest(lam, F.lit(1e-8))).alias("half_life"))
+
+
+def ic_decay_fit(table: DataFrame) -> DataFrame:
+    """The decay of the coefficient's size over horizons by non-linear least squares, from the log-linear fit."""
+    size = table.where("ic <> 0").select("symbol", "signal", F.col("horizon").alias("x"), F.abs("ic").alias("y"))
+    start = ic_decay(table).select("symbol", "signal", F.col("peak_ic").alias("a0"), F.col("decay_rate").alias("k0"))
+    d = exponential_fits(size, ["symbol", "signal"], start.withColumn("a0", F.abs("a0")))
+    return d.withColumnRenamed("k", "decay_rate").withColumn(
+        "half_life", F.lit(math.log(2)) / F.greatest(F.col("decay_rate"), F.lit(1e-8)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip, finite, hhmm, ist_tod, pearson, ratio
+from tickloom.operators.fits import exponential_fits
 from tickloom.operators.frames import BLOCK_ROWS, span, with_position
 from tickloom.operators.ranks import quantile_edges, quantiles, trim, value_ranks
 
@@ -202,8 +203,8 @@ def interarrival(bars: DataFrame, max_gap: int = 60, block_rows: int = BLOCK_ROW
     return rate.join(ks, "symbol").withColumn("is_poisson", F.col("ks_pvalue") > 0.05)
 
 
-def arrival_decay(bars: DataFrame, bins: int = 20) -> DataFrame:
-    """Decay of arrivals with the half spread: A exp(-kappa d) by weighted log regression."""
+def arrival_histogram(bars: DataFrame, bins: int = 20) -> DataFrame:
+    """(symbol, x, y): arrivals a second in bins of the half spread, up to its 95 % point."""
     times = bars.groupBy("symbol").agg((F.max("ts_sec") - F.min("ts_sec")).alias("_time"))
     d = bars.withColumn("_d", F.col("spread_mean") / 2).where(F.col("_d") > 0)
     d = trim(d, ["symbol"], "_d")
@@ -216,7 +217,12 @@ def arrival_decay(bars: DataFrame, bins: int = 20) -> DataFrame:
     h = d.withColumn("_bin", slot).groupBy("symbol", "_bin", "_lo", "_hi", "_time").agg(
         F.count(F.lit(1)).alias("_c"))
     x = F.col("_lo") + (F.col("_bin") + 0.5) * width
-    h = h.select("symbol", x.alias("x"), (F.col("_c") / F.col("_time")).alias("y"))
+    return h.select("symbol", x.alias("x"), (F.col("_c") / F.col("_time")).alias("y"))
+
+
+def arrival_decay(bars: DataFrame, bins: int = 20) -> DataFrame:
+    """Decay of arrivals with the half spread: A exp(-kappa d) by weighted log regression."""
+    h = arrival_histogram(bars, bins)
     w = F.col("y") * F.col("y")
     ly = F.log("y")
     g = h.groupBy("symbol").agg(
@@ -234,6 +240,13 @@ def arrival_decay(bars: DataFrame, bins: int = 20) -> DataFrame:
     return res.withColumn("r2", 1 - ratio("_res", "_tot")).drop("_res", "_tot")
 
 
+def arrival_fit(bars: DataFrame, bins: int = 20) -> DataFrame:
+    """The same decay by non-linear least squares, which starts from the log regression: symbol, kappa, a, sse, steps,
+    n_points, r2; nulls where it diverges."""
+    start = arrival_decay(bars, bins).select("symbol", F.col("a").alias("a0"), F.col("kappa").alias("k0"))
+    return exponential_fits(arrival_histogram(bars, bins), ["symbol"], start).withColumnRenamed("k", "kappa")
+
+
 def fill_score(bars: DataFrame, minutes: int = 15) -> DataFrame:
     """Score 0-100 of each time of day: short queue, few ticks, wide spread."""
     q = bars
