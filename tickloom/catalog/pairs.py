@@ -73,6 +73,28 @@ SELECT *, CASE WHEN half_life < 1e-1 THEN 'too fast' WHEN half_life IS NULL OR h
   WHEN daily_signals < 1 THEN 'too few signals' WHEN hedge_ratio <= 0 THEN 'negative ratio' ELSE 'ok' END AS verdict FROM scr""")
 
 
+_LAGS = 8
+_zs = ["s - s1", "s1", *[f"s{i} - s{i + 1}" for i in range(1, _LAGS + 1)]]
+_gram = "[" + ", ".join("[" + ", ".join(f"sum(z{min(i, j)} * z{max(i, j)})" for j in range(_LAGS + 2)) + "]" for i in range(_LAGS + 2)) + "]"
+_p2s = f"({pr.P_SMALL_2[0]} + {pr.P_SMALL_2[1]} * t + {pr.P_SMALL_2[2]} * t * t)"
+_p2l = f"({pr.P_LARGE_2[0]} + {pr.P_LARGE_2[1]} * t + ({pr.P_LARGE_2[2]}) * t * t + ({pr.P_LARGE_2[3]}) * t * t * t)"
+# each step solves one lag more by eliminating the next change from the products
+_elim = ",\n".join(
+    f"""m{p + 1} AS (SELECT symbol, n, list_transform(range(1, {_LAGS + 3}), lambda i: list_transform(range(1, {_LAGS + 3}),
+  lambda j: m[i][j] - m[i][{p + 3}] * m[{p + 3}][j] / m[{p + 3}][{p + 3}])) AS m FROM m{p})""" for p in range(_LAGS))
+_EG = f"""{_AL}, rs AS (SELECT al.symbol, ts_sec, y - hedge_ratio * x - intercept AS s FROM al JOIN hg USING (symbol)),
+rl AS (SELECT symbol, s, {', '.join(f'lag(s, {i}) OVER (PARTITION BY symbol ORDER BY ts_sec) AS s{i}' for i in range(1, _LAGS + 2))} FROM rs),
+rz AS (SELECT symbol, {', '.join(f'{z} AS z{i}' for i, z in enumerate(_zs))} FROM rl WHERE s{_LAGS + 1} IS NOT NULL),
+m0 AS (SELECT symbol, count(*) AS n, {_gram} AS m FROM rz GROUP BY 1),
+{_elim},
+el AS ({' UNION ALL '.join(f'SELECT symbol, {p} AS lag, n, m[1][2] / m[2][2] AS g, m[1][1] - m[1][2] * m[1][2] / m[2][2] AS e, m[2][2] AS ss FROM m{p}' for p in range(_LAGS + 1))}),
+et AS (SELECT *, g / sqrt(e / (n - lag - 1) / ss) AS t, n * ln(e / n) + 2 * (lag + 1) AS aic FROM el),
+eg AS (SELECT *, t AS statistic, lag = arg_min(lag, (aic, lag)) OVER (PARTITION BY symbol) AS chosen,
+  CASE WHEN t > {pr.TAU_MAX_2} THEN 1 WHEN t < {pr.TAU_MIN_2} THEN 0 WHEN t <= {pr.TAU_STAR_2} THEN {_cdf(_p2s)} ELSE {_cdf(_p2l)} END AS pvalue FROM et)"""
+add("C15_cointegration", lambda s, d: pr.cointegration(_aligned(s, d), _LAGS), "symbol lag:l n:l statistic:4 aic:3 pvalue:7 chosen:b",
+    f"{_EG}\nSELECT * FROM eg")
+
+
 def _lots(s, d):
     p = _prices(s, d)
     last = p.groupBy("symbol").agg(F.max_by("price", "ts_sec").alias("price"))

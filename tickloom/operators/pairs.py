@@ -19,6 +19,10 @@ from tickloom.session import stage
 P_SMALL = (2.1659, 1.4412, 0.038269)
 P_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 TAU_STAR, TAU_MIN, TAU_MAX = -1.61, -18.83, 2.74
+# The same for the residuals of two series.
+P_SMALL_2 = (2.92, 1.5012, 0.039796)
+P_LARGE_2 = (2.1945, 0.64695, -0.29198, -0.042377)
+TAU_STAR_2, TAU_MIN_2, TAU_MAX_2 = -2.62, -18.86, 0.92
 
 
 def sector_pairs(master: DataFrame) -> DataFrame:
@@ -65,12 +69,12 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
-def unit_root_pvalue(t: Column) -> Column:
+def unit_root_pvalue(t: Column, small=P_SMALL, large=P_LARGE, star=TAU_STAR, low=TAU_MIN, high=TAU_MAX) -> Column:
     def poly(cs):
         return sum((F.lit(c) * F.pow(t, F.lit(float(i))) for i, c in enumerate(cs)), F.lit(0.0))
 
-    inner = F.when(t <= TAU_STAR, norm_cdf(poly(P_SMALL))).otherwise(norm_cdf(poly(P_LARGE)))
-    return F.when(t > TAU_MAX, 1.0).when(t < TAU_MIN, 0.0).otherwise(inner)
+    inner = F.when(t <= star, norm_cdf(poly(small))).otherwise(norm_cdf(poly(large)))
+    return F.when(t > high, 1.0).when(t < low, 0.0).otherwise(inner)
 
 
 def hedge(rows: DataFrame) -> DataFrame:
@@ -125,6 +129,59 @@ def screen(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
               "adf_stat", "pvalue", "half_life", "spread_mean", "spread_std", "spread_std_bps", "daily_signals")
 
 
+def residual_moments(rows: DataFrame, max_lag: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(symbol, n, gram): the products of the residual's change, its value before and its changes before that.
+
+    ``rows`` (from ``aligned``): the residuals are those of y on x and a constant. One aggregation over blocks, which
+    carry the rows that the lags reach; only rows with all ``max_lag`` changes before them count, so all lags are
+    judged by the same rows.
+    """
+    d = rows.join(hedge(rows).select("symbol", "hedge_ratio", "intercept"), "symbol")
+    d = d.withColumn("s", F.col("y") - F.col("hedge_ratio") * F.col("x") - F.col("intercept")).select("symbol", "date", "ts_sec", "s")
+    sp = span(d, True, back=max_lag + 1, block_rows=block_rows)
+    d = sp.close(sp.df.withColumns({f"s{i}": sp.lag("s", i) for i in range(1, max_lag + 2)}))
+    d = d.where(F.col(f"s{max_lag + 1}").isNotNull())
+    before = ["s", *[f"s{i}" for i in range(1, max_lag + 2)]]
+    change = [F.col(a) - F.col(b) for a, b in zip(before, before[1:])]
+    z = [change[0], F.col("s1"), *change[1:]]
+    d = d.select("symbol", *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    size = range(len(z))
+    m = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"g{i}_{j}") for i in size for j in size if i <= j])
+    return m.select("symbol", "n", F.array(*[
+        F.array(*[F.col(f"g{min(i, j)}_{max(i, j)}") for j in size]) for i in size]).alias("gram"))
+
+
+def cointegration(rows: DataFrame, max_lag: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(symbol, lag, n, statistic, aic, pvalue, chosen): the two-series unit-root test of each pair for every lag.
+
+    Regresses the residual's change on its value before and ``lag`` changes before that, without a constant, as the
+    residuals have mean zero. The products of all lags are eliminated one after another, which is the Cholesky
+    decomposition of the nested regressions, so all lags come from one pass over the rows. ``chosen`` is the lag of the
+    least information criterion (Akaike), the smaller one on a tie. The p-value is that of two series. Pairs with too
+    few rows for a lag have nulls there.
+    """
+    step = f"""(a, p) -> named_struct(
+        's', transform(a.s, (r, i) -> transform(r, (v, j) -> v - try_divide(r[least(p, {max_lag - 1}) + 2] * a.s[least(p, {max_lag - 1}) + 2][j],
+                                                                          a.s[least(p, {max_lag - 1}) + 2][least(p, {max_lag - 1}) + 2]))),
+        'out', concat(a.out, array(named_struct('lag', p, 'dy', a.s[0][0], 'sy', a.s[0][1], 'ss', a.s[1][1]))))"""
+    first = "named_struct('s', gram, 'out', cast(array() as array<struct<lag: int, dy: double, sy: double, ss: double>>))"
+    lags = F.expr(f"aggregate(sequence(0, {max_lag}), {first}, {step}).out" if max_lag else
+                  "array(named_struct('lag', 0, 'dy', gram[0][0], 'sy', gram[0][1], 'ss', gram[1][1]))")
+    d = residual_moments(rows, max_lag, block_rows).select("symbol", "n", F.explode(lags).alias("l")).select("symbol", "n", "l.*")
+    g = F.try_divide(F.col("sy"), F.col("ss"))
+    sse = F.col("dy") - g * F.col("sy")
+    free = F.col("n") - F.col("lag") - 1
+    d = d.withColumns({"_g": g, "_e": F.when((sse > 0) & (free > 0), sse)})
+    d = d.withColumns({
+        "statistic": F.col("_g") / F.sqrt(F.col("_e") / free / F.col("ss")),
+        "aic": F.col("n") * F.log(F.col("_e") / F.col("n")) + 2.0 * (F.col("lag") + 1)})
+    best = d.groupBy("symbol").agg(F.min(F.when(F.col("aic").isNotNull(), F.struct("aic", "lag")))["lag"].alias("_best"))
+    p = unit_root_pvalue(F.col("statistic"), P_SMALL_2, P_LARGE_2, TAU_STAR_2, TAU_MIN_2, TAU_MAX_2)
+    return d.join(best, "symbol").select(
+        "symbol", "lag", "n", "statistic", "aic", p.alias("pvalue"), (F.col("lag") == F.col("_best")).alias("chosen"))
+
+
 def tradable(stats: DataFrame, min_half_life: float = 30, max_half_life: float = 1800, min_std_bps: float = 3.0,
              min_signals: float = 5) -> DataFrame:
     """First rule a pair fails, or ok. A missing half life means no reversion."""
