@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip, ratio
-from tickloom.operators.frames import span
+from tickloom.operators.frames import BLOCK_ROWS, span
 
 REGIMES = ("LOW", "MEDIUM", "HIGH", "EXTREME")
 # Advice per dominant regime.
@@ -23,6 +23,7 @@ ADVICE = {
 
 
 SLICE = 1024
+SHORT = 64
 
 
 def _median_slopes(moves: pd.Series, volumes: pd.Series) -> pd.Series:
@@ -47,8 +48,78 @@ def _median_slopes(moves: pd.Series, volumes: pd.Series) -> pd.Series:
     return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 
-def impact(bars: DataFrame, window: int = 30, min_bars: int = 10, signed: bool = False) -> DataFrame:
-    """Rolling slope without intercept, its fit, and the median of pairwise slopes, by symbol and day."""
+def sliding_median_slopes(y: np.ndarray, x: np.ndarray, window: int, first: int = 0) -> np.ndarray:
+    """Median slope of the pairs of points among the last ``window`` rows, for each row from ``first`` on; NaN without one.
+
+    Each pair's slope is ranked once among all of the block. A row adds the slopes of its own point and drops those of
+    the point that leaves: flags by rank with counts of runs of ranks, in which the median is found. So a row costs
+    its window, not the square of it; memory is that of rows times window.
+    """
+    n = len(y)
+    back = min(window, n) - 1
+    if back < 1:
+        return np.full(n - first, np.nan)
+    gap = np.arange(1, back + 1)
+    earlier = np.arange(n)[:, None] - gap[None, :]
+    known = earlier >= 0
+    earlier = np.where(known, earlier, 0)
+    run = x[:, None] - x[earlier]
+    known &= np.abs(run) > 1e-10  # not for NaN either
+    slopes = (y[:, None] - y[earlier])[known] / run[known]
+    order = np.argsort(slopes, kind="stable")
+    ordered = slopes[order]
+    rank = np.full(known.shape, -1, dtype=np.int64)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    rank[known] = place
+    size = max(16, int(len(order) ** 0.5))
+    here, counts, total = np.zeros(len(order), dtype=bool), np.zeros(len(order) // size + 1, dtype=np.int64), 0
+
+    def nth(k: int) -> float:
+        upto = np.cumsum(counts)
+        part = int(np.searchsorted(upto, k, side="right"))
+        inside = np.flatnonzero(here[part * size:(part + 1) * size])
+        return ordered[part * size + inside[k - (upto[part - 1] if part else 0)]]
+
+    out = np.full(n, np.nan)
+    for t in range(n):
+        gone = t - back - 1
+        if gone >= 0:
+            drop = rank[gone + gap, gap - 1]
+            drop = drop[drop >= 0]
+            here[drop] = False
+            counts -= np.bincount(drop // size, minlength=len(counts))
+            total -= len(drop)
+        new = rank[t][rank[t] >= 0]
+        here[new] = True
+        counts += np.bincount(new // size, minlength=len(counts))
+        total += len(new)
+        if t >= first and total:
+            out[t] = (nth((total - 1) // 2) + nth(total // 2)) / 2
+    return out[first:]
+
+
+def _long_medians(d: DataFrame, window: int, block_rows: int) -> DataFrame:
+    """(symbol, date, ts_sec, _s) by blocks of a day that carry the rows their first windows reach."""
+    s = span(d.select("symbol", "date", "ts_sec", "_dp", "_sv"), back=window, block_rows=block_rows, blocks=True)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        y, x = (pdf[c].to_numpy(dtype=float) for c in ("_dp", "_sv"))
+        slope = sliding_median_slopes(y, x, window)
+        own = pdf["_own"].to_numpy(dtype=bool)
+        out = pdf.loc[own, ["symbol", "date", "ts_sec"]]
+        return out.assign(_s=pd.Series(slope[own], index=out.index).astype(object).where(~np.isnan(slope[own]), None))
+
+    return s.df.groupBy(*s.part).applyInPandas(block, "symbol string, date date, ts_sec long, _s double")
+
+
+def impact(bars: DataFrame, window: int = 30, min_bars: int = 10, signed: bool = False,
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rolling slope without intercept, its fit, and the median of pairwise slopes, by symbol and day.
+
+    Windows of up to SHORT rows carry their points with each row, longer ones are walked in ordered blocks.
+    """
     s = span(bars)
     move = F.col("close") - s.lag("close")
     vol = F.col("volume_delta").cast("double")
@@ -62,14 +133,18 @@ def impact(bars: DataFrame, window: int = 30, min_bars: int = 10, signed: bool =
         "_n": F.count(v).over(w), "_xy": F.sum(dp * v).over(w), "_xx": F.sum(v * v).over(w),
         "_yy": F.sum(dp * dp).over(w), "_var": F.var_pop(dp).over(w),
         "avg_spread_bps": F.avg("spread_bps").over(s.last(window)),
-        "_moves": F.collect_list(dp).over(w), "_volumes": F.collect_list(v).over(w),
-    }).where(F.col("_seen") >= min_bars)
+        **({"_moves": F.collect_list(dp).over(w), "_volumes": F.collect_list(v).over(w)} if window <= SHORT else {}),
+    })
+    every, d = d, d.where(F.col("_seen") >= min_bars)
     ok = F.col("_n") >= min_bars // 2
     lam = ratio("_xy", "_xx")
     res = F.col("_yy") - 2 * lam * F.col("_xy") + lam * lam * F.col("_xx")
     tot = F.col("_var") * F.col("_n")
-    slope = F.pandas_udf(_median_slopes, "double")
-    d = d.withColumn("_s", slope(F.when(ok, F.col("_moves")), F.when(ok, F.col("_volumes"))))
+    if window <= SHORT:
+        slope = F.pandas_udf(_median_slopes, "double")
+        d = d.withColumn("_s", slope(F.when(ok, F.col("_moves")), F.when(ok, F.col("_volumes"))))
+    else:
+        d = d.join(_long_medians(every, window - 1, block_rows), ["symbol", "date", "ts_sec"], "left")
     return d.withColumns({
         "estimated": ok,
         "lambda_ols": F.when(ok, lam).otherwise(0.0),
