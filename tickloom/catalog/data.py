@@ -122,13 +122,19 @@ def _bar_store(s, d):
     return path
 
 
+def _dated(df, *more):
+    """The schema of a stored table: that of ``df`` and its partition columns."""
+    kinds = {"date": "date", "base": "string"}
+    return df.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("date", *more) if c not in df.columns]).schema
+
+
 add("S1_scan_ticks",
-    lambda s, d: st.scan(s, _tick_store(s, d), start="2024-01-05", end="2024-01-20", symbols=["click", "view"])
+    lambda s, d: st.scan(s, _tick_store(s, d), _dated(ticks(s, d)), start="2024-01-05", end="2024-01-20", symbols=["click", "view"])
     .select("tick_id", "symbol", "date", "last_price"),
     "tick_id symbol date:d last_price:6",
     f"""WITH {TICKS}, x AS (SELECT *, DATE '1970-01-01' + CAST((ts_local_ns // 1000000000 + 19800) // 86400 AS INTEGER) AS date FROM ticks)
 SELECT * FROM x WHERE symbol IN ('click', 'view') AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""")
-add("S2_load_day", lambda s, d: st.load_day(s, _bar_store(s, d), "click", "2024-01-10"), "symbol ts_sec close:6 tick_count:l",
+add("S2_load_day", lambda s, d: st.load_day(s, _bar_store(s, d), _dated(bars(s, d), "base"), "click", "2024-01-10"), "symbol ts_sec close:6 tick_count:l",
     f"{BARS}\nSELECT * FROM bars WHERE symbol = 'click' AND date = DATE '2024-01-10' AND ist_tod BETWEEN 33300 AND 55800")
 
 

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.core import add
 from tickloom.catalog.flow import IMB_SQL
-from tickloom.catalog.standin import BARS, FEATS, bars, feats
-from tickloom.operators import ic, kyle, regime
+from tickloom.catalog.standin import BARS, FEATS, FEATS_DAY, TICKS, bars, bars_cte, feats
+from tickloom.operators import fits, ic, kyle, regime
+from tickloom.operators.features import forward_returns
 from tickloom.plans import reports as rp
-from tickloom.session import stage
+from tickloom.plans import rollup as ru
+from tickloom.session import scratch_path, stage
+from tickloom.sources.storage import write_partitioned
 
 _LINE = "(PARTITION BY symbol ORDER BY ts_sec)"
 _SIGS = ["imb_simple", "imb_delta", "ofi_norm", "imb_combined"]
@@ -92,6 +95,16 @@ add("C28_ic_report", lambda s, d: rp.ic_report(_pairs_df(s, d)), "symbol signal
   sum(ic*ic*horizon*horizon) AS sxx, sum(ic*ic*horizon*ln(abs(ic))) AS sxy, max(ic) AS peak_ic FROM icx WHERE ic <> 0 GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT *, -(sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS decay_rate FROM z""")
 
+_ICF = _IC.replace("WITH ", "WITH RECURSIVE ", 1) if not _IC.startswith("WITH RECURSIVE") else _IC
+_ICN = f"""{_ICF}, z AS (SELECT symbol, signal, count(*) AS n, sum(ic*ic) AS sw, sum(ic*ic*horizon) AS sx, sum(ic*ic*ln(abs(ic))) AS sy,
+  sum(ic*ic*horizon*horizon) AS sxx, sum(ic*ic*horizon*ln(abs(ic))) AS sxy, max(ic) AS peak_ic FROM icx WHERE ic <> 0 GROUP BY 1, 2 HAVING count(*) >= 3),
+sz AS (SELECT symbol, signal, horizon AS x, abs(ic) AS y FROM icx WHERE ic <> 0),
+st0 AS (SELECT symbol, signal, abs(peak_ic) AS a0, -(sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS k0 FROM z),
+{fits.sql('sz', 'st0', 'symbol, signal')}"""
+add("C28_ic_decay_fit", lambda s, d: ic.ic_decay_fit(_table(s, d)), "symbol signal decay_rate:4 a:5 n_points:l",
+    f"""{_ICN}
+SELECT symbol, signal, f.k AS decay_rate, f.a, p.n_points FROM (SELECT symbol, signal, len(pts) AS n_points FROM pts JOIN st0 USING (symbol, signal)) p LEFT JOIN fitted f USING (symbol, signal)""")
+
 # ---- regimes -------------------------------------------------------------------
 
 _R1 = f"{BARS}, r AS (SELECT symbol, date, ts_sec, close, close / lag(close) OVER {_LINE} - 1 AS ret FROM bars)"
@@ -224,6 +237,10 @@ tox AS (SELECT *, CASE WHEN estimated THEN 5e-1 + toxicity * 25e-1 ELSE 1 END AS
 add("W19_kyle_lambda", lambda s, d: kyle.impact(bars(s, d)), "symbol ts_sec window_bars:l lambda_ols:6 r_squared:5 estimated:b",
     f"{_KY}\nSELECT * FROM lam")
 add("W20_theil_sen", lambda s, d: kyle.impact(bars(s, d)), "symbol ts_sec lambda_robust:9", f"{_KY}\nSELECT * FROM lam")
+_KYL = _KY.replace(BARS, f"WITH {TICKS}, {bars_cte(60)}", 1)
+for _a, _b in (("29 PRECEDING", "99 PRECEDING"), ("28 PRECEDING", "98 PRECEDING"), ("a.i - 28", "a.i - 98"), ("least(i, 30)", "least(i, 100)")):
+    _KYL = _KYL.replace(_a, _b)
+add("W20_theil_sen_long", lambda s, d: kyle.impact(bars(s, d, 60), window=100), "symbol ts_sec lambda_robust:8 window_bars:l", f"{_KYL}\nSELECT * FROM lam")
 add("W21_toxicity", lambda s, d: kyle.toxicity(kyle.impact(bars(s, d))), "symbol ts_sec toxicity:5 multiplier:5 regime",
     f"{_KY}\nSELECT * FROM tox")
 _adv = "CASE dominant_regime " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kyle.ADVICE.items()) + " END"
@@ -236,3 +253,32 @@ add("C23_kyle_report", lambda s, d: rp.kyle_report(bars(s, d))[1],
   FROM tox GROUP BY 1, 2),
 dm AS (SELECT *, CASE greatest(n_low, n_medium, n_high, n_extreme) WHEN n_low THEN 'LOW' WHEN n_medium THEN 'MEDIUM' WHEN n_high THEN 'HIGH' ELSE 'EXTREME' END AS dominant_regime FROM g)
 SELECT *, {_adv} AS recommendation FROM dm""")
+
+# ---- nightly state ---------------------------------------------------------------
+
+_METRICS = ["close", "spread_mean", "realized_vol_60s"]
+_DAYSIGS = ["imbalance_last", "spread_zscore", "volume_ratio"]
+
+
+def _nights(s, d):
+    """State of all days but the last two, then of the last two in a night of their own."""
+    stored, path = scratch_path(s, "nightly-bars"), scratch_path(s, "nightly-state")
+    write_partitioned(feats(s, d, cross_day=False), stored, ["date"], ["symbol", "ts_sec"])
+    f = s.read.parquet(stored).withColumn("date", F.col("date").cast("date"))
+    measured = lambda b: forward_returns(b, _HS, "log", "mid").withColumns({c: F.round(c, 9) for c in _DAYSIGS})
+    last = sorted(r.date for r in f.select("date").distinct().collect())[-2:]
+    for bars_ in (f.where(~F.col("date").isin(last)), f):
+        ru.update(s, bars_, path, _METRICS, measured, _DAYSIGS, _HS)
+    return path
+
+
+add("C25_merged_moments", lambda s, d: ru.merged_moments(ru.state(s, _nights(s, d), "moments", "2024-01-04"), ["symbol", "metric"]),
+    "symbol metric n:l mean:6 std:6 low:6 high:6",
+    f"""{FEATS_DAY}, u AS ({' UNION ALL '.join(f"SELECT symbol, '{m}' AS metric, {m} AS x FROM feats WHERE date >= DATE '2024-01-04'" for m in _METRICS)})
+SELECT symbol, metric, count(*) AS n, avg(x) AS mean, stddev(x) AS std, min(x) AS low, max(x) AS high FROM u WHERE isfinite(x) GROUP BY 1, 2""")
+add("C28_merged_ic", lambda s, d: ru.merged_ic(ru.state(s, _nights(s, d), "ic")), "symbol signal horizon:l ic_mean:5 ic_std:5 n_days:l hit_rate:6 n_obs:l t_stat:3",
+    f"""{FEATS_DAY}, fd AS (SELECT *, {', '.join(f"ln(lead(coalesce(weighted_mid, close), {h}) OVER (PARTITION BY symbol, date ORDER BY ts_sec) / coalesce(weighted_mid, close)) AS fwd_{h}" for h in _HS)} FROM feats),
+pairs AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT symbol, date, '{c}' AS signal, round({c}, 9) AS x, {h} AS horizon, fwd_{h} AS y FROM fd" for c in _DAYSIGS for h in _HS)}) WHERE isfinite(x) AND isfinite(y)),
+{_ic_sql(['symbol', 'date', 'signal', 'horizon'], 20)},
+md AS (SELECT symbol, signal, horizon, avg(ic) AS ic_mean, stddev(ic) AS ic_std, count(ic) AS n_days, sum(hit_rate * n_obs) / sum(n_obs) AS hit_rate, sum(n_obs) AS n_obs FROM icx GROUP BY 1, 2, 3)
+SELECT *, CASE WHEN ic_std > 1e-12 THEN ic_mean / ic_std * sqrt(n_days) END AS t_stat FROM md""")

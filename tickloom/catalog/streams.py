@@ -10,6 +10,7 @@ from tickloom.catalog.flow import KEY
 from tickloom.catalog.intel import _history
 from tickloom.catalog.standin import BARS, FEATS_DAY, TICKS, table, ticks_of
 from tickloom.session import scratch_path
+from tickloom.sources import replay as rc
 from tickloom.sources import ticks as tk
 from tickloom.streaming import corrections as sc
 from tickloom.streaming import jobs as sj
@@ -52,6 +53,41 @@ add("T1_tick_ingest", _ingested_nested, "ts_local_ns symbol date:d mid_price:3 b
 SELECT ts_local_ns, symbol, DATE '1970-01-01' + CAST((ts_local_ns // 1000000000 + 19800) // 86400 AS INTEGER) AS date,
   CASE WHEN tick_id % 7 >= 1 THEN round((bid_p1 + ask_p1) / 2 + 1e-9, 2) ELSE 0 END AS mid_price, CASE WHEN tick_id % 7 >= 1 THEN bid_q1 ELSE 0 END AS bid_q1,
   CASE WHEN tick_id % 7 >= 5 THEN ask_q5 ELSE 0 END AS ask_q5, CASE WHEN tick_id % 7 >= 5 THEN 5 ELSE 0 END AS bid_o5 FROM ticks""")
+def _recorded(s, d):
+    """The ticks as broker messages: odd ones in the text format, every 97th broken, replayed in two starts of a query."""
+    nested = _nested_of(ticks_of(table(s, d, "events"))).withColumn("seq", F.expr("ts_local_ns div 1000 % 1000"))
+    rest = [c for c in nested.columns if c not in ("ts_local_ns", "seq")]
+    flat = ticks_of(table(s, d, "events"))
+    text = F.struct("symbol", F.col("last_price").cast("string").alias("lp"), F.col("volume").cast("string").alias("v"), *[
+        F.col(f"{side}_{k}{i}").cast("string").alias(f"{short}{k}{i}")
+        for i in range(1, 6) for side, short in (("bid", "b"), ("ask", "s")) for k in "pq"])
+    depth = nested.where("seq % 2 = 0").select(F.lit("depth").alias("feed"), "ts_local_ns", F.to_json(F.struct(*rest)).alias("body"), "seq")
+    lines = flat.withColumn("seq", F.expr("ts_local_ns div 1000 % 1000")).where("seq % 2 = 1").select(
+        F.lit("text").alias("feed"), "ts_local_ns", F.to_json(text).alias("body"), "seq")
+    both = depth.unionByName(lines).withColumn("body", F.when(F.col("seq") % 97 == 0, F.substring("body", 2, 30)).otherwise(F.col("body")))
+    src, out, mark = scratch_path(s, "recording"), scratch_path(s, "replayed"), sj.checkpoint_for(s, "replayed")
+    for part in (both.where("seq < 400"), both.where("seq >= 400")):
+        rc.record(part, src)
+        sj.drain(rc.ingest_recording(rc.replay(s, src, 5000), out, mark))
+    return out
+
+
+def _replayed(s, d):
+    out = _recorded(s, d)
+    ticks = s.read.parquet(f"{out}/ticks").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("last_price").alias("price"), F.sum("bid_q1").alias("bid_q1"), F.sum("ask_p1").alias("ask_p1"),
+        F.sum("bid_o5").alias("bid_o5"), F.min("ts_local_ns").alias("first"), F.countDistinct("batch").alias("batches"))
+    return ticks.unionByName(s.read.parquet(f"{out}/rejects").agg(
+        F.lit("rejects").alias("symbol"), F.count(F.lit(1)).alias("n"), F.min("ts_local_ns").alias("first"),
+        F.countDistinct("batch").alias("batches")), allowMissingColumns=True)
+
+
+add("T1_replayed_messages", _replayed, "symbol n:l price:3 bid_q1:l ask_p1:3 bid_o5:l first:l batches:l",
+    f"""WITH {TICKS}, q AS (SELECT *, (ts_local_ns // 1000) % 1000 AS seq, tick_id % 7 AS k7 FROM ticks),
+g AS (SELECT symbol, count(*) AS n, sum(last_price) AS price, sum(CASE WHEN seq % 2 = 1 OR k7 >= 1 THEN bid_q1 ELSE 0 END) AS bid_q1,
+  sum(CASE WHEN seq % 2 = 1 OR k7 >= 1 THEN ask_p1 ELSE 0 END) AS ask_p1, sum(CASE WHEN seq % 2 = 1 THEN NULL WHEN k7 >= 5 THEN 5 ELSE 0 END) AS bid_o5,
+  min(ts_local_ns) AS first, count(DISTINCT seq < 400) AS batches FROM q WHERE seq % 97 <> 0 GROUP BY 1)
+SELECT * FROM g UNION ALL SELECT 'rejects', count(*), NULL, NULL, NULL, NULL, min(ts_local_ns), count(DISTINCT seq < 400) FROM q WHERE seq % 97 = 0""")
 add("S10_flush_sink", lambda s, d: _ingested(s, d).groupBy("date", "symbol").agg(F.count(F.lit(1)).alias("n_ticks")), "date:d symbol n_ticks:l",
     f"""WITH {TICKS}
 SELECT DATE '1970-01-01' + CAST((ts_local_ns // 1000000000 + 19800) // 86400 AS INTEGER) AS date, symbol, count(*) AS n_ticks FROM ticks GROUP BY 1, 2""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from tickloom.functions.symbols import strip_contract
 from tickloom.operators.bars import build_bars
@@ -29,14 +29,18 @@ def process(ticks: DataFrame, jobs: DataFrame, width: int = 1, tiebreak: str = "
     return bar_features(build_bars(mine, width, tiebreak))
 
 
-def run(spark: SparkSession, raw_path: str, out_path: str, schema: StructType | None = None, start: str | None = None,
+STORED = StructType([StructField("date", DateType()), StructField("base", StringType()), StructField("symbol", StringType())])
+
+
+def run(spark: SparkSession, raw_path: str, out_path: str, schema: StructType, start: str | None = None,
         end: str | None = None, first: bool = False, width: int = 1, min_rows: int = 10_000) -> None:
     """Reads raw ticks, processes the backlog of the date range and overwrites those (date, base) partitions.
 
-    A partition holds all contracts of a base, so every contract of an open (date, base) is built again.
+    ``schema``: that of the raw ticks, with date and symbol. A partition holds all contracts of a base, so every
+    contract of an open (date, base) is built again.
     """
     ticks = scan(spark, raw_path, schema, start, end)
-    done = None if first else scan(spark, out_path, None, start, end, key="base")
+    done = None if first else scan(spark, out_path, STORED, start, end, key="base")
     pairs = stage(ticks.select("symbol", "date").distinct(), "pairs")  # read once, from the partition columns
     jobs = backlog(pairs, done, min_rows).select(strip_contract("symbol").alias("base"), "date").distinct()
     every = pairs.withColumn("base", strip_contract("symbol"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from tickloom.functions.columns import in_session, ist_date
 from tickloom.functions.symbols import strip_contract
+from tickloom.schema import ensure_columns
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], sort: list[str]) -> None:
@@ -32,24 +33,25 @@ def write_bars(bars: DataFrame, path: str) -> None:
     write_partitioned(bars.withColumn("base", strip_contract("symbol")), path, ["date", "base"], ["ts_sec"])
 
 
-def scan(spark: SparkSession, path: str, schema: StructType | None = None, start: str | None = None,
-         end: str | None = None, symbols: list[str] | None = None, key: str = "symbol") -> DataFrame:
-    """Partition-pruned scan. Partition columns keep their declared type.
+def scan(spark: SparkSession, path: str, schema: StructType, start: str | None = None,
+         end: str | None = None, symbols: list[str] | None = None, key: str = "symbol",
+         defaults: dict[str, object] | None = None) -> DataFrame:
+    """Partition-pruned scan with the table's schema, so no footers are read before it prunes.
 
-    Without ``schema`` the columns are those of one file; pass the table's schema where files of different days have
-    different columns. No scan reads the footers of all files before it prunes.
+    Columns that the files of a day lack are null there, or have the value in ``defaults``.
     """
-    df = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
-    df = df.withColumn("date", F.col("date").cast("date"))
+    df = spark.read.schema(schema).parquet(path).withColumn("date", F.col("date").cast("date"))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         df = df.where(F.col("date") <= F.lit(end).cast("date"))
-    return df.where(F.col(key).isin(symbols)) if symbols else df
+    df = df.where(F.col(key).isin(symbols)) if symbols else df
+    return ensure_columns(df, defaults) if defaults else df
 
 
-def load_day(spark: SparkSession, path: str, symbol: str, date: str, market_hours_only: bool = True) -> DataFrame:
-    df = scan(spark, path, None, date, date, [symbol], "base")
+def load_day(spark: SparkSession, path: str, schema: StructType, symbol: str, date: str, market_hours_only: bool = True,
+             defaults: dict[str, object] | None = None) -> DataFrame:
+    df = scan(spark, path, schema, date, date, [symbol], "base", defaults)
     df = df.where(in_session("symbol", F.col("ist_tod"))) if market_hours_only else df
     return df.orderBy("ts_sec")
 
