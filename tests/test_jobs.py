@@ -304,20 +304,217 @@ def test_nightly_batch_and_its_backlog(spark):
     t = spark.createDataFrame([tick(i, ns + i * 400_000_000 + (i // 50) * 86400_000000000, 100.0 + i % 3, i) for i in range(100)], TICK)
     raw, out = scratch_path(spark, "raw"), scratch_path(spark, "out")
     storage.write_ticks(t, raw)
-    nightly.run(spark, raw, out, first=True)
+    schema = t.withColumn("date", F.lit(None).cast("date")).schema
+    nightly.run(spark, raw, out, schema, first=True)
     first = spark.read.parquet(out)
     assert first.agg(F.sum("tick_count")).first()[0] == 100 and first.select("date").distinct().count() == 2
-    ticks, done = storage.scan(spark, raw), storage.scan(spark, out, key="base")
+    ticks, done = storage.scan(spark, raw, schema), storage.scan(spark, out, nightly.STORED, key="base")
     assert nightly.backlog(ticks, done, 1).count() == 0 and nightly.backlog(ticks, done, 10_000).count() == 2
-    nightly.run(spark, raw, out, min_rows=10_000)
+    nightly.run(spark, raw, out, schema, min_rows=10_000)
     assert spark.read.parquet(out).agg(F.sum("tick_count")).first()[0] == 100
 
 
+def test_days_with_different_columns(spark):
+    """An older day lacks a column, a newer one has it: both read by the declared schema, with a default if one is given."""
+    path = scratch_path(spark, "days")
+    old = spark.sql("SELECT 'A' symbol, 'A' base, 10 ts_sec, 40000 ist_tod, 1.5D close, date'2026-01-05' date")
+    new = spark.sql("SELECT 'A' symbol, 'A' base, 20 ts_sec, 40000 ist_tod, 2.5D close, 7L oi, date'2026-01-06' date")
+    for d in (old, new):
+        d.write.mode("append").partitionBy("date", "base").parquet(path)
+    day = lambda date, **more: storage.load_day(spark, path, new.schema, "A", date, **more).first()
+    assert (day("2026-01-05").close, day("2026-01-05").oi, day("2026-01-06").oi) == (1.5, None, 7)
+    assert day("2026-01-05", defaults={"oi": 0, "vega": 0.5}).asDict()["oi"] == 0 and day("2026-01-06", defaults={"vega": 0.5}).vega == 0.5
+
+
 def test_scans_are_pruned(spark):
     from tickloom.catalog.standin import ticks
 
     path = scratch_path(spark, "ticks")
     storage.write_ticks(ticks(spark, SMALL), path)
-    d = storage.scan(spark, path, start="2024-01-05", end="2024-01-06", symbols=["click"]).select("last_price")
+    schema = ticks(spark, SMALL).withColumn("date", F.lit(None).cast("date")).schema
+    d = storage.scan(spark, path, schema, start="2024-01-05", end="2024-01-06", symbols=["click"]).select("last_price")
     plan = d._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull" in plan and "ReadSchema: struct<last_price:double>" in plan
+
+
+def plain_exponential(x, y, a, k):
+    """The damped loop with arrays."""
+    mu, sse = 1e-3, ((y - a * np.exp(-k * x)) ** 2).sum()
+    for _ in range(200):
+        e = np.exp(-k * x)
+        j = np.stack([e, -a * x * e], axis=1)
+        h = j.T @ j
+        try:
+            d = np.linalg.solve(h + mu * np.diag(np.diag(h)), j.T @ (y - a * e))
+        except np.linalg.LinAlgError:
+            return None
+        small = abs(d[0]) <= 1e-10 * (abs(a) + 1e-10) and abs(d[1]) <= 1e-10 * (abs(k) + 1e-10)
+        trial = ((y - (a + d[0]) * np.exp(-(k + d[1]) * x)) ** 2).sum()
+        if trial <= sse:
+            a, k, sse, mu = a + d[0], k + d[1], trial, max(mu / 10, 1e-12)
+        else:
+            mu *= 10
+        if small:
+            return a, k, sse
+        if mu > 1e15:
+            return None
+    return None
+
+
+def test_exponential_fits_equal_a_plain_loop(spark):
+    from tickloom.operators import fits
+
+    rnd = np.random.default_rng(4)
+    rows, want = [], {}
+    for g in range(25):
+        n = int(rnd.integers(3, 21))
+        x = np.sort(rnd.uniform(0, 3, n))
+        a, k = rnd.uniform(0.1, 50), rnd.uniform(-0.3, 4)
+        y = a * np.exp(-k * x) + rnd.normal(size=n) * a * 0.05
+        start = a * rnd.uniform(0.3, 2), k + rnd.uniform(-0.8, 0.8)
+        rows += [(g, float(p), float(q), *map(float, start)) for p, q in zip(x, y)]
+        want[g] = plain_exponential(x, y, *start)
+    rows += [(90, 1.0, 2.0, 1.0, 1.0)] * 4 + [(91, float(i), 0.0, 1.0, 1.0) for i in range(5)] + [(92, 1.0, 1.0, None, 1.0), (92, 2.0, 1.0, None, 1.0)]
+    d = spark.createDataFrame(rows, "g int, x double, y double, a0 double, k0 double")
+    out = {r.g: r for r in fits.exponential_fits(d.select("g", "x", "y"), ["g"], d.select("g", "a0", "k0").distinct()).collect()}
+    assert sum(w is not None for w in want.values()) > 20
+    for g, w in want.items():
+        r = out[g]
+        assert (r.a is None) == (w is None), g
+        if w is not None:
+            assert near(r.a, w[0], 1e-6) and near(r.k, w[1], 1e-6) and near(r.sse, w[2], 1e-6) and r.steps < 200
+    assert out[92].a is None and out[92].r2 is None and out[90].n_points == 4  # no start, and no curve through one place
+
+
+def test_two_series_unit_root(spark):
+    rnd = np.random.default_rng(12)
+    n, lags, rows = 400, 4, []
+    for name, pull in (("A|B", 0.15), ("A|C", 0.0)):
+        x, e = 100 + np.cumsum(rnd.normal(size=n)), np.zeros(n)
+        for t in range(2, n):
+            e[t] = (1 - pull) * e[t - 1] + 0.3 * (e[t - 1] - e[t - 2]) + rnd.normal()
+        y = 3 + 1.7 * x + e
+        rows += [(name, "s", *name.split("|"), f"2026-01-{1 + t // 150:02d}", t, float(y[t]), float(x[t])) for t in range(n)]
+    d = spark.createDataFrame(rows, "symbol string, sector string, sym1 string, sym2 string, date string, ts_sec long, y double, x double").withColumn(
+        "date", F.col("date").cast("date"))
+    out = {(r.symbol, r.lag): r for r in pairs.cointegration(d, lags, block_rows=64).collect()}
+    for name in ("A|B", "A|C"):
+        own = [r for r in rows if r[0] == name]
+        y, x = np.array([r[6] for r in own]), np.array([r[7] for r in own])
+        fit = np.polyfit(x, y, 1)
+        e = y - np.polyval(fit, x)
+        de, scores = np.diff(e), []
+        for p in range(lags + 1):
+            at = np.arange(lags, n - 1)  # rows with all changes before them
+            z = np.stack([e[at], *[de[at - i] for i in range(1, p + 1)]], axis=1)
+            beta, *_ = np.linalg.lstsq(z, de[at], rcond=None)
+            sse = ((de[at] - z @ beta) ** 2).sum()
+            se = math.sqrt(sse / (len(at) - p - 1) * np.linalg.inv(z.T @ z)[0, 0])
+            scores.append(len(at) * math.log(sse / len(at)) + 2 * (p + 1))
+            r = out[name, p]
+            assert r.n == len(at) and near(r.statistic, beta[0] / se, 1e-6) and near(r.aic, scores[-1], 1e-6)
+        assert [out[name, p].chosen for p in range(lags + 1)] == [p == int(np.argmin(scores)) for p in range(lags + 1)]
+    best = {s: next(r for r in out.values() if r.symbol == s and r.chosen) for s in ("A|B", "A|C")}
+    assert best["A|B"].pvalue < 0.01 < 0.1 < best["A|C"].pvalue
+
+
+def test_published_p_values_of_two_series(spark):
+    """At the published 5 % and 1 % points of two series with a constant."""
+    d = spark.createDataFrame([(-3.34,), (-3.90,), (-3.04,), (5.0,), (-30.0,)], "t double")
+    p = [r[0] for r in d.select(pairs.unit_root_pvalue(
+        F.col("t"), pairs.P_SMALL_2, pairs.P_LARGE_2, pairs.TAU_STAR_2, pairs.TAU_MIN_2, pairs.TAU_MAX_2)).collect()]
+    assert abs(p[0] - 0.05) < 0.004 and abs(p[1] - 0.01) < 0.002 and abs(p[2] - 0.10) < 0.005 and p[3:] == [1.0, 0.0]
+
+
+def test_a_second_night_reads_only_itself(spark):
+    from tickloom.operators.ranks import quantiles
+    from tickloom.plans import rollup
+
+    rnd = random.Random(3)
+    rows = [("A" if i % 3 else "B", f"2026-05-{11 + d}", 1778470000 + d * 86400 + i * 30, rnd.gauss(5, 2), None if i % 9 == 0 else rnd.random())
+            for d in range(4) for i in range(300)]
+    bars = spark.createDataFrame(rows, "symbol string, date string, ts_sec long, x double, y double").withColumn("date", F.col("date").cast("date"))
+    path, src = scratch_path(spark, "state"), scratch_path(spark, "bars")
+    storage.write_partitioned(bars, src, ["date"], ["symbol", "ts_sec"])
+    stored = spark.read.parquet(src)
+    metrics = ["x", "y"]
+    assert len(rollup.update(spark, stored.where("date < '2026-05-14'"), path, metrics)) == 3
+    assert [str(d) for d in rollup.update(spark, stored, path, metrics)] == ["2026-05-14"]
+    assert rollup.update(spark, stored, path, metrics) == []
+    files = spark.read.parquet(f"{path}/moments").select(F.col("_metadata.file_modification_time").alias("at"), "date")
+    late = files.groupBy("date").agg(F.max("at").alias("at")).orderBy("at").collect()
+    assert str(late[-1].date) == "2026-05-14"
+    # a corrected day replaces its own state
+    rollup.update(spark, stored, path, metrics, days=[late[0].date])
+    for column in metrics:
+        got = {r.symbol: r for r in rollup.merged_moments(rollup.state(spark, path, "moments"), ["symbol", "metric"]).where(F.col("metric") == column).collect()}
+        want = bars.groupBy("symbol").agg(F.count(column).alias("n"), F.avg(column).alias("m"), F.stddev_samp(column).alias("s"), F.min(column).alias("lo"))
+        for r in want.collect():
+            g = got[r.symbol]
+            assert (g.n, g.low) == (r.n, r.lo) and near(g.mean, r.m) and near(g.std, r.s)
+        q = {r.symbol: r for r in rollup.merged_quantiles(rollup.state(spark, path, "buckets").where(F.col("metric") == column), ["symbol"], {"p25": 0.25, "p90": 0.9}).collect()}
+        for r in quantiles(bars, ["symbol"], column, {"p25": 0.25, "p90": 0.9}).collect():
+            assert abs(q[r.symbol].p25 - r.p25) < 0.05 * abs(r.p25) and abs(q[r.symbol].p90 - r.p90) < 0.05 * abs(r.p90)
+    part = rollup.merged_moments(rollup.state(spark, path, "moments", "2026-05-12", "2026-05-13"), ["metric"]).where("metric = 'x'").first()
+    assert part.n == 600
+    cover = rollup.merged_coverage(rollup.state(spark, path, "coverage")).collect()
+    assert {r.n_days for r in cover} == {4} and all(0 < r.coverage < 1 for r in cover)
+
+
+def test_replayed_messages(spark, tmp_path):
+    """Stopping between two batches loses and repeats nothing; broken messages go to the rejects."""
+    import json
+
+    from tickloom.sources import replay
+    from tickloom.streaming import jobs as sj
+
+    book = {"buy": [{"price": 9.5, "quantity": 3, "orders": 1}], "sell": [{"price": 10.5, "quantity": 1, "orders": 2}]}
+    depth = lambda i: ("depth", i, json.dumps({"symbol": "A", "last_price": 10.0 + i, "volume_traded": i, "depth": book,
+                                               "total_buy_quantity": 30, "total_sell_quantity": 10}))
+    text = lambda i: ("text", i, json.dumps({"symbol": "B", "lp": str(i), "v": "x", "bp1": "1.5", "bq1": "4", "sp1": "2.5", "sq1": "2"}))
+    bad = [("depth", 900, "{broken"), ("text", 901, json.dumps({"lp": "1"})), ("fax", 902, json.dumps({"symbol": "C"})), (None, 903, None)]
+    src, out, mark = (str(tmp_path / x) for x in ("recording", "out", "checkpoint"))
+    feeds = [[depth(i) for i in range(50)] + bad[:2], [text(i) for i in range(50, 80)] + bad[2:], [depth(99)]]
+    for feed in feeds:
+        replay.record(spark.createDataFrame(feed, "feed string, ts_local_ns long, body string").repartition(2), src)
+        sj.drain(replay.ingest_recording(replay.replay(spark, src, rows_per_task=7), out, mark))
+    sj.drain(replay.ingest_recording(replay.replay(spark, src), out, mark))  # nothing new
+    ticks = spark.read.parquet(f"{out}/ticks")
+    assert sorted(r.ts_local_ns for r in ticks.collect()) == [*range(80), 99]
+    assert {r.batch for r in ticks.select("batch").collect()} == {0, 1, 2}
+    a, b = ticks.where("ts_local_ns = 3").first(), ticks.where("ts_local_ns = 60").first()
+    assert (a.symbol, a.last_price, a.volume, a.mid_price, a.book_imbalance, a.bid_q2) == ("A", 13.0, 3, 10.0, 0.5, 0)
+    assert (b.symbol, b.last_price, b.volume, b.mid_price, b.total_bid_qty) == ("B", 60.0, 0, 2.0, 4)
+    assert sorted(r.ts_local_ns for r in spark.read.parquet(f"{out}/rejects").collect()) == [900, 901, 902, 903]
+    assert sorted(r.offset for r in spark.read.parquet(f"{out}/rejects").collect())[-1] < 84
+
+
+@pytest.mark.parametrize("n,window,ties", [(700, 300, False), (400, 300, True), (60, 300, False), (300, 2, False), (1, 9, False)])
+def test_sliding_median_slopes(n, window, ties):
+    from tickloom.operators import kyle
+
+    rnd = np.random.default_rng(n)
+    y = np.round(rnd.normal(size=n).cumsum(), 1 if ties else 9)
+    x = rnd.integers(1, 5, n).astype(float) if ties else rnd.uniform(0, 50, n)
+    x[rnd.random(n) < 0.2] = np.nan
+    got = kyle.sliding_median_slopes(y, x, window, first=min(20, n))
+    for t in range(min(20, n), n, 7):
+        low = max(0, t - window + 1)
+        a, b = np.triu_indices(t - low + 1, 1)
+        run = x[low:t + 1][b] - x[low:t + 1][a]
+        with np.errstate(invalid="ignore"):
+            keep = np.abs(run) > 1e-10
+        slopes = ((y[low:t + 1][b] - y[low:t + 1][a]) / run)[keep]
+        want = np.median(slopes) if len(slopes) else np.nan
+        assert (np.isnan(want) and np.isnan(got[t - min(20, n)])) or abs(want - got[t - min(20, n)]) < 1e-12
+
+
+def test_long_windows_equal_short_ones(spark, bars, monkeypatch):
+    from tickloom.operators import kyle
+
+    for window in (30, 45):
+        short = rows(kyle.impact(bars, window).select("symbol", "ts_sec", "lambda_robust", "estimated"), "symbol", "ts_sec")
+        monkeypatch.setattr(kyle, "SHORT", 0)
+        long = rows(kyle.impact(bars, window, block_rows=16).select("symbol", "ts_sec", "lambda_robust", "estimated"), "symbol", "ts_sec")
+        monkeypatch.setattr(kyle, "SHORT", 64)
+        assert len(long) == len(short) and all(near(a, b, 1e-12) for r, q in zip(long, short) for a, b in zip(r, q) if not isinstance(a, str))
