@@ -21,6 +21,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table to join with: broadcast if it is counted to be small, rows being some numbers each."""
+    df = staged(df, "few")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it different from all columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df`` as they stand, whatever their names, less some."""
+    gone = {c.lower() for c in without}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+
+
 def row_key(*columns: str) -> Column:
     """One 128-bit name of a row's content; repeated rows share it, null has a name of its own."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns]
