@@ -8,6 +8,7 @@ from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +20,12 @@ MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 17
 CACHE_PIECES = 700_000
+HEAD_CHARS = 32
 END_ID = 2
 SPACE = chr(256 + 32)  # the byte 32 is the 33rd of the hidden ones
 
-BLOCK = ("part int, first long, doc_ids array<long>, lengths array<int>, n_ids int, "
-         "checkpoints array<int>, payload binary")
+BLOCK = ("part int, first long, doc_ids array<long>, lengths array<long>, n_ids long, "
+         "checkpoints array<long>, payload binary")
 
 
 class Cached:
@@ -106,7 +108,7 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def slices(texts: pd.Series, chars: int = 2_000_000):
+def slices(texts, chars: int = 2_000_000):
     """Whole texts, a few MB at a time."""
     out, size = [], 0
     for t in texts:
@@ -164,7 +166,7 @@ class Code:
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The ids' codes one after another, and the bit offset of every STEP-th id."""
         if not len(ids):
-            return b"", np.empty(0, dtype=np.int32)
+            return b"", np.empty(0, dtype=np.int64)
         size = self.bits[ids]
         start = np.concatenate([[0], np.cumsum(size)])
         at, total = start[:-1], int(start[-1])
@@ -173,7 +175,7 @@ class Code:
         n = total // 32 + 2
         words = np.bincount(at >> 5, (frame >> np.uint64(32)).astype(np.float64), n)
         words += np.bincount((at >> 5) + 1, (frame & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-        return words.astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], at[::STEP].astype(np.int32)
+        return words.astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], at[::STEP]
 
     def unpack(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """Decodes all stretches between checkpoints side by side, one id of each per step."""
@@ -206,80 +208,99 @@ def unplaned(payload: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(payload, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def encoded_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, text) as blocks of plain ids in ascending order of doc_id; a block holds whole documents, about BLOCK_IDS ids."""
-    shared = Shared(docs.sparkSession, "encoder", _spec(path), Cached)
-
-    def blocks(batches):
-        from pyspark import TaskContext
-
-        encoder = shared.get()
-        part, first, waiting, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def block():
-            ids = np.concatenate([i for _, i in waiting])
-            return pd.DataFrame([{
-                "part": part, "first": first, "doc_ids": [d for d, _ in waiting],
-                "lengths": [len(i) for _, i in waiting], "n_ids": len(ids), "checkpoints": [],
-                "payload": planes(ids)}])
-
-        for pdf in batches:
-            names = iter(pdf.doc_id.astype(object).where(pdf.doc_id.notna(), None))
-            for texts in slices(pdf.text):
-                for ids in encoder(texts):
-                    name = next(names)
-                    waiting.append((None if name is None else int(name), np.append(ids, np.uint32(end_id))))
-                    size += len(ids) + 1
-                    if size >= BLOCK_IDS:
-                        yield block()
-                        first, waiting, size = first + size, [], 0
-        if waiting:
-            yield block()
-
-    return (docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-            .mapInPandas(blocks, BLOCK))
-
+def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, head, row, ids, counts): the ids of each text as ``planes``, in the order of the scan, so texts do not
+    move. ``head`` has the text's first characters.
 
-def id_counts(blocks: DataFrame) -> dict[int, int]:
-    """How often each id occurs: a partition sends one row per id, the driver gets at most a vocabulary's worth."""
+    A task's last row has no ids but how often each id occurred in the task, as 64-bit integers.
+    """
+    shared = Shared(docs.sparkSession, "encoder", _spec(path), Cached)
 
-    def count(batches):
-        total = np.zeros(1, dtype=np.int64)
+    def encode(batches):
+        encoder, total, doc_id = shared.get(), np.zeros(1, dtype=np.int64), None
+        for batch in batches:
+            made, doc_id = [], batch.column("doc_id")
+            for texts in slices(batch.column("text").to_pylist()):
+                found = [np.append(ids, np.uint32(end_id)) for ids in encoder(texts)]
+                count = np.bincount(np.concatenate(found), minlength=len(total))
+                count[: len(total)] += total
+                total = count
+                made += [planes(ids) for ids in found]
+            yield pa.RecordBatch.from_arrays(
+                [doc_id, batch.column("head"), batch.column("row"), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())],
+                names=names)
+        if doc_id is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, doc_id.type), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                 pa.array([total.tobytes()], pa.binary())], names=names)
+
+    names = ["doc_id", "head", "row", "ids", "counts"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    head = F.substring("text", 1, HEAD_CHARS).alias("head")
+    return docs.select("doc_id", head, F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
+        encode, f"doc_id {kind}, head string, row long, ids binary, counts binary")
+
+
+def id_counts(plain: DataFrame) -> dict[int, int]:
+    """How often each id occurs: the driver gets a row per id, at most a vocabulary's worth."""
+
+    def entries(batches):
         for pdf in batches:
-            for payload in pdf.payload:
-                found = np.bincount(unplaned(payload), minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
+            for payload in pdf.counts:
+                total = np.frombuffer(payload, dtype=np.int64)
+                used = np.flatnonzero(total)
+                yield pd.DataFrame({"id": used, "n": total[used]})
 
-    rows = blocks.select("payload").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    return {r.id: r.n for r in rows}
+    rows = plain.where(F.col("counts").isNotNull()).select("counts").mapInPandas(entries, "id long, n long")
+    return {r.id: r.n for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Encodes (doc_id, text) and writes ``folder``/blocks and ``folder``/code, in ascending order of doc_id.
 
-    Texts move once, for the order, and are encoded once; plain ids wait in a compressed table until they are counted.
-    A block can be decoded without any other and has the bit offset of every STEP-th id. Files are written by Spark's
-    committer, so a lost executor leaves no half block. A null text counts as empty; its document still has the end id.
-    A null doc_id comes first; documents with the same doc_id follow one another in the order of their texts. An empty
-    table gives an empty folder of blocks.
+    Texts are encoded where they are read; what moves for the order are compressed ids. A block holds whole documents,
+    about BLOCK_IDS ids; it can be decoded without any other and has the bit offset of every STEP-th id. Files are
+    written by Spark's committer, so a lost executor leaves no half block.
+
+    A null text counts as empty; its document still has the end id. A null doc_id comes first; documents with the same
+    doc_id follow one another by their first characters, then as they were read, and are spread over tasks. A very long text is one
+    block with 64-bit offsets. Other columns are not read. An empty table gives an empty folder of blocks. Up to 2^16
+    different ids may occur, as codes have 16 bits at most.
     """
     spark = docs.sparkSession
-    plain = staged(encoded_blocks(docs, path, end_id), "plain-ids")
+    plain = staged(encoded(docs.select("doc_id", "text"), path, end_id), "plain-ids")
     lengths = code_lengths(id_counts(plain))
     spark.createDataFrame([(int(s), b) for s, b in lengths.items()], "id long, bits int").coalesce(1).write.parquet(
         f"{folder}/code")
     code = Shared(spark, "code", lengths, Code)
 
-    def pack(batches):
-        table = code.get()
+    def blocks(batches):
+        from pyspark import TaskContext
+
+        table, part, first, names, waiting, size = code.get(), TaskContext.get().partitionId(), 0, [], [], 0
+
+        def block():
+            ids = np.concatenate(waiting)
+            payload, marks = table.pack(ids)
+            return pd.DataFrame([{
+                "part": part, "first": first, "doc_ids": names, "lengths": [len(i) for i in waiting], "n_ids": len(ids),
+                "checkpoints": marks.tolist(), "payload": payload}])
+
         for pdf in batches:
-            packed = [table.pack(unplaned(p)) for p in pdf.payload]
-            yield pdf.assign(payload=[p for p, _ in packed], checkpoints=[m.tolist() for _, m in packed])
+            for name, payload in zip(pdf.doc_id.astype(object).where(pdf.doc_id.notna(), None), pdf.ids):
+                names.append(None if name is None else int(name))
+                waiting.append(unplaned(payload))
+                size += len(waiting[-1])
+                if size >= BLOCK_IDS:
+                    yield block()
+                    first, names, waiting, size = first + size, [], [], 0
+        if waiting:
+            yield block()
 
-    plain.mapInPandas(pack, BLOCK).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    order = ["doc_id", "head", "row"]
+    (plain.where(F.col("counts").isNull()).select(*order, "ids")
+     .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+     .mapInPandas(blocks, BLOCK).write.option("compression", "uncompressed").parquet(f"{folder}/blocks"))
 
 
 def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
