@@ -34,82 +34,95 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
 def survivors(values: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
     """Yields (query, rows that can be among its k best, their scores), reading one sorted list per dimension.
 
-    A positive query component reads its list from the largest value down, a negative one from the smallest up. After
-    ``depth`` entries of each list a row's score lies between the sum of what was read plus the list ends and the same
-    sum plus the next unread entries. Rows whose upper bound is below the k-th best lower bound are out; ``own`` marks
-    (query, row) pairs that do not count. Integers up to 2^53 are exact in the floats used here.
+    A positive query component reads its list from the largest value down, a negative one from the smallest up, all
+    lists to the same depth, round by round. What a round reads is added to a row's lower bound, in which unread
+    components stand for the list's end; in the upper bound they stand for the next unread entry. Rows whose upper
+    bound is below the k-th best lower bound are out; a query stops reading when no more than k are left. Scores of
+    what is left are resolved in the end. ``own`` marks (query, row) pairs that do not count. Integers up to 2^53 are
+    exact in the floats used here.
     """
     rows = len(values)
     order = np.argsort(values, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(rows)[:, None], axis=0)
     ordered = np.take_along_axis(values, order, axis=0)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    alive = ~own.T
-    if rows > 4 * k:
-        # which entries were read depends on the depth alone, so all queries of the block are bounded at once
-        for depth in (rows // 2, rows - rows // 4, rows - rows // 8):
-            top, bottom = rank >= rows - depth, rank < depth
-            rest_top, rest_bottom = (~top).astype(float), (~bottom).astype(float)
-            sides = np.hstack([values * top, values * bottom, rest_top, rest_bottom])
-            least = sides @ np.hstack([up, down, up * ordered[0], down * ordered[-1]]).T
-            most = sides @ np.hstack([up, down, up * ordered[rows - depth - 1], down * ordered[depth]]).T
-            least[~alive] = -np.inf
-            bound = np.partition(least, rows - k, axis=0)[rows - k]
-            alive &= most >= bound
+    alive, active = ~own.T, np.arange(len(queries))
+    up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+    least = np.repeat((ordered[0] @ up + ordered[-1] @ down)[None, :], rows, axis=0)
+    read = 0
+    for depth in [rows // 8, rows // 4, rows // 2, rows - rows // 4, rows - rows // 8] if rows > 8 * k else []:
+        if depth <= read:
+            continue
+        top, bottom = rank >= rows - depth, rank < depth
+        new_top, new_bottom = top & (rank < rows - read), bottom & (rank >= read)
+        u, d = up[:, active], down[:, active]
+        low = least[:, active]
+        low += np.where(new_top, values - ordered[0], 0) @ u + np.where(new_bottom, values - ordered[-1], 0) @ d
+        # beyond the lower bound, unread components may gain what lies between the list's end and its next entry
+        gain_up, gain_down = ordered[rows - depth - 1] - ordered[0], ordered[depth] - ordered[-1]
+        most = low + (~top).astype(float) @ (u * gain_up[:, None]) + (~bottom).astype(float) @ (d * gain_down[:, None])
+        least[:, active] = low
+        low = np.where(alive[:, active], low, -np.inf)
+        bound = np.partition(low, rows - k, axis=0)[rows - k]
+        alive[:, active] &= most >= bound
+        read, active = depth, active[alive[:, active].sum(0) > k]
+        if not len(active):
+            break
     for q in range(len(queries)):
         at = np.flatnonzero(alive[:, q])
         yield q, at, values[at] @ queries[q]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS,
-          query_rows: int = QUERY_ROWS) -> DataFrame:
+          query_rows: int = QUERY_ROWS, row: str = "vec_id") -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner product for each row of ``queries``: query_id, rank, vec_id, score.
 
-    Both are (vec_id, v array<long>). A block of candidates holds its own sorted lists and answers a block of queries;
+    Both are (vec_id, v array<long>), and ``row`` if that is not the vec_id: what tells rows apart. A block of candidates holds its own sorted lists and answers a block of queries;
     the blocks' winners, k per query and block, meet afterwards. Of equal vectors only the k + 1 smallest ids can be
     among any k best, so a vector that a third of the rows share costs k + 1 rows.
 
-    Ties go to the smaller vec_id, a query never finds its own vec_id, repeated rows count once, a shorter vector counts
-    as padded with zeros, and fewer than k candidates give fewer rows.
+    Ties go to the smaller vec_id, a query never finds the row it is itself, rows that agree in ``row`` and vector count
+    once, a shorter vector counts as padded with zeros, and fewer than k candidates give fewer rows.
     """
-    same = Window.partitionBy("v").orderBy("vec_id")
-    few = (vectors.select("vec_id", "v").dropDuplicates(["vec_id", "v"])
+    named = [F.col("vec_id"), F.col(row).alias("row"), F.col("v")]
+    same = Window.partitionBy("v").orderBy("vec_id", "row")
+    few = (vectors.select(*named).dropDuplicates(["vec_id", "row", "v"])
            .withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k + 1).drop("_nth"))
-    few, asked = staged(few, "candidates"), staged(queries.select("vec_id", "v").dropDuplicates(), "queries")
+    few, asked = staged(few, "candidates"), staged(queries.select(*named).dropDuplicates(), "queries")
     blocks, groups = max(1, math.ceil(few.count() / block_rows)), max(1, math.ceil(asked.count() / query_rows))
 
     def spread(df, own, n, other, m):
         return df.select(
-            "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own),
+            "vec_id", "row", "v", F.pmod(F.xxhash64("row", "vec_id"), F.lit(n)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        shape = {"query_id": "int64", "vec_id": "int64", "score": "int64"}
+        names = ["query_id", "query_row", "vec_id", "row", "score"]
         if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in shape.items()})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
         width = max(left.v.map(len).max(), right.v.map(len).max())
-        ids, asked_ids = right.vec_id.to_numpy(), left.vec_id.to_numpy()
+        ids, at_row, asked_ids, asked_rows = (c.to_numpy() for c in (right.vec_id, right.row, left.vec_id, left.row))
         values, out = matrix(right.v, width), []
         for start in range(0, len(left), 256):
-            part = asked_ids[start:start + 256]
+            part, own = asked_ids[start:start + 256], asked_rows[start:start + 256]
             wanted = matrix(left.v.iloc[start:start + 256], width)
-            for q, at, score in survivors(values, wanted, part[:, None] == ids[None, :], k):
-                first = np.lexsort((ids[at], -score))[:k]
-                out.append(pd.DataFrame({"query_id": part[q], "vec_id": ids[at][first],
-                                         "score": score[first].astype("int64")}))
-        return pd.concat(out).astype(shape)
+            for q, at, score in survivors(values, wanted, own[:, None] == at_row[None, :], k):
+                first = np.lexsort((at_row[at], ids[at], -score))[:k]
+                out.append(pd.DataFrame({"query_id": part[q], "query_row": own[q], "vec_id": ids[at][first],
+                                         "row": at_row[at][first], "score": score[first]}))
+        return pd.concat(out).astype("int64")
 
     found = (
         spread(asked, "_g", groups, "_b", blocks).groupBy("_b", "_g")
         .cogroup(spread(few, "_b", blocks, "_g", groups).groupBy("_b", "_g"))
-        .applyInPandas(best, "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        .applyInPandas(best, "query_id long, query_row long, vec_id long, row long, score long"))
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id", "row")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
 def every_fiftieth(vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Queries: the rows whose id is divisible by 50; candidates: all rows."""
-    whole = quantised(vectors)
-    return top_k(whole, whole.where(F.col("vec_id") % 50 == 0), k)
+    """Queries: the rows whose id is divisible by 50; candidates: every other row, also one with the same id. Each of
+    several query rows with one id has a ranking of its own."""
+    whole = staged(quantised(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    return top_k(whole, whole.where(F.col("vec_id") % 50 == 0), k, row="row")
