@@ -7,13 +7,14 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Shared, place
+from tickloom.llm.common import Shared, few, free, own_columns, place
 
 ROWS_PER_LANGUAGE = 1_000
-ENTRIES_PER_KIND = 100_000
 LONGEST_GRAM = 5
 CACHE_WORDS = 250_000
 UNKNOWN = "und"
@@ -37,18 +38,18 @@ def sample(labelled: DataFrame, rows: int) -> DataFrame:
     The languages are counted first. A row is then a candidate if its hash lies in the share of all hashes that is to
     hold four times ``rows``, so the tasks that order the candidates see a few thousand rows however many there are.
     """
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
-    few = labelled.withColumn("_h", place("doc_id", "text")).join(F.broadcast(sizes), "lang")  # one row per language
+    sizes = few(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")))
+    near = labelled.withColumn("_h", place("doc_id", "text")).join(sizes, "lang")
     order = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
-    return few.where(F.col("_h") < 4 * rows / F.col("_size")).withColumn("_n", F.row_number().over(order)).where(
+    return near.where(F.col("_h") < 4 * rows / F.col("_size")).withColumn("_n", F.row_number().over(order)).where(
         F.col("_n") <= rows).select("lang", "text")
 
 
-def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, entries: int = ENTRIES_PER_KIND) -> dict:
+def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> dict:
     """The model from (doc_id, text, lang): counts per language of words and of 1- to 5-grams of distinct words.
 
-    At most ``rows`` labelled rows per language are read, and the ``entries`` most frequent words and as many n-grams
-    of each length are kept (ties by spelling), so the model has a size that does not grow with the data.
+    At most ``rows`` labelled rows per language are read, which bounds the model; nothing that they hold is left out.
+    It comes as langs and, for each length of gram (0: words), the grams and a matrix of their counts.
     """
     fine = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
@@ -66,13 +67,17 @@ def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, entries: int = ENT
                                     "n": list(found.values())})
 
     each = sample(fine, rows).mapInPandas(counts, "lang string, kind int, gram string, n long").groupBy(
-        "kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    both = each.groupBy("kind", "gram").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    order = Window.partitionBy("kind").orderBy(F.col("total").desc(), "gram")
-    kept = both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= entries).select("kind", "gram", "by")
-    grams = [(r.kind, r.gram, r.by) for r in kept.collect()]
-    return {"langs": sorted({lang for _, _, by in grams for lang in by}), "grams": sorted(grams, key=lambda g: g[:2])}
+        "kind", "gram", "lang").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(each.column("lang").to_pylist()))
+    kinds = []
+    for kind in range(LONGEST_GRAM + 1):
+        own = each.filter(pc.equal(each.column("kind"), kind))
+        gram = own.column("gram").combine_chunks().dictionary_encode()
+        table = np.zeros((len(gram.dictionary), len(langs)))
+        place_of = pc.index_in(own.column("lang").combine_chunks(), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
+        table[gram.indices.to_numpy(), place_of] = own.column("n").to_numpy()
+        kinds.append(("\n".join(gram.dictionary.to_pylist()), table))  # grams hold no line feed
+    return {"langs": langs, "kinds": kinds}
 
 
 class Scorer:
@@ -80,29 +85,26 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        self.rows: list[dict[str, np.ndarray]] = []
-        for kind in range(LONGEST_GRAM + 1):
-            found = [(g, by) for k, g, by in model["grams"] if k == kind]
-            table = np.full((len(found), len(self.langs)), 0.5)
-            for i, (_, by) in enumerate(found):
-                for lang, n in by.items():
-                    table[i, place[lang]] += n
-            table = np.log(table / table.sum(0, keepdims=True)) if len(found) else table
-            self.rows.append({g: table[i] for i, (g, _) in enumerate(found)})
+        self.place: list[dict[str, int]] = []
+        self.tables: list[np.ndarray] = []
+        for grams, counts in model["kinds"]:
+            names = grams.split("\n") if len(counts) else []
+            self.place.append({g: i for i, g in enumerate(names)})
+            table = counts + 0.5
+            self.tables.append(np.log(table / table.sum(0, keepdims=True)) if len(names) else table)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.langs)))
 
     def of_word(self, word: str) -> np.ndarray | None:
         if not any(c.isalpha() for c in word):
             return None
-        if (found := self.rows[0].get(word)) is not None:
-            return found
+        if (found := self.place[0].get(word)) is not None:
+            return self.tables[0][found]
         for k in range(LONGEST_GRAM, 0, -1):
-            table = self.rows[k]
-            found = [r for g in grams_of(word, k) if (r := table.get(g)) is not None]
+            place = self.place[k]
+            found = [at for g in grams_of(word, k) if (at := place.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.tables[k][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def _place(self, word: str) -> int:
@@ -136,14 +138,8 @@ class Scorer:
         return self.langs[best], float(share[best] / share.sum())
 
 
-def identify(df: DataFrame, labelled: DataFrame, text: str = "text", rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (its share of the posterior with equal priors, 0 to 1) to every row of ``df``.
-
-    Learns from ``labelled`` (doc_id, text, lang); rows of it with a null text or lang are passed over. A null text and
-    one without a letter give ``und`` and 0, as does everything if nothing could be learned. A text in which no word
-    and no n-gram is known gives the first language by name with an equal share. Columns lang_pred and score of the
-    input are replaced.
-    """
+def predicted(df: DataFrame, labelled: DataFrame, into: str, text: str = "text", rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
+    """Adds ``into``, a struct of lang_pred and score; see ``identify``."""
     model = Shared(df.sparkSession, "languages", train(labelled, rows), Scorer)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -151,8 +147,20 @@ def identify(df: DataFrame, labelled: DataFrame, text: str = "text", rows: int =
         score = model.get()
         return pd.DataFrame([score(t) for t in column], columns=["lang_pred", "score"])
 
-    names = [c for c in df.columns if c not in ("lang_pred", "score")]
-    return df.withColumn("_l", predict(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in names], "_l.*")
+    return df.withColumn(into, predict(F.col(f"`{text}`")))
+
+
+def identify(df: DataFrame, labelled: DataFrame, text: str = "text", rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (its share of the posterior with equal priors, 0 to 1) to every row of ``df``.
+
+    Learns from ``labelled`` (doc_id, text, lang); rows of it with a null text or lang are passed over. A null text and
+    one without a letter give ``und`` and 0, as does everything if nothing could be learned. A text in which no word
+    and no n-gram is known gives the first language by name with an equal share. Texts are read whole, however long;
+    repeated rows come back as often as given, with the same result. Columns lang_pred and score of the input are
+    replaced, all others come back as they are. Empty tables give empty results.
+    """
+    into, = free(df, "l")
+    return predicted(df, labelled, into, text, rows).select(*own_columns(df, "lang_pred", "score"), f"{into}.*")
 
 
 def held_out() -> Column:
@@ -166,7 +174,10 @@ def predicted_documents(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """Documents with a letter. The model has no class for what is no language, so it never rejects such a document:
-    a low score, as of a few unknown words, means that the languages are equally likely."""
+    """Documents with a letter, their columns unchanged. The model has no class for what is no language, so it never
+    rejects such a document: a low score, as of a few unknown words, means that the languages are equally likely.
+    Null and empty texts have no letter and go; repeated rows share their fate."""
     labelled = docs.where(~held_out()).select("doc_id", "text", "lang")
-    return identify(docs, labelled).where((F.col("lang_pred") != UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(docs.columns)
+    into, = free(docs, "l")
+    found = predicted(docs, labelled, into)
+    return found.where((F.col(f"{into}.lang_pred") != UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(*own_columns(docs))
