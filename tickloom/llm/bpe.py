@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Shared
+from tickloom.llm.common import Shared, free, own_columns
 
 CACHE_PIECES = 300_000
 BATCH_PIECES = 20_000
@@ -201,7 +201,11 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | N
 
 
 def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 without bringing ids or decoded texts back to the JVM."""
+    """Adds n_tokens, ids_sha256 and decoded_sha256 without bringing ids or decoded texts back to the JVM.
+
+    A null text counts as empty; long texts are encoded whole; repeated rows come back as often as given, with the same
+    result. Columns of these three names are replaced, all others come back as they are. An empty table stays empty.
+    """
     merger = _merger(df, path)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -213,9 +217,12 @@ def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> Da
                 hashlib.sha256(" ".join([f[2] for f in parts]).encode()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.withColumn("_d", digests(F.col(f"`{text}`"))).select(
-        *[F.col(f"`{c}`") for c in df.columns], "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
+    into, = free(df, "d")
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return df.withColumn(into, digests(F.col(f"`{text}`"))).select(
+        *own_columns(df, *names), *[F.col(f"{into}.{c}") for c in names])
 
 
 def encoded_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text) as doc_id and the digests of ``round_trip``; other columns are not read."""
     return round_trip(docs.select("doc_id", "text"), path=path).drop("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import row_key, staged
+from tickloom.llm.common import free, own_columns, row_key, staged
 
 WINDOW = 13
 GRAM = 5
@@ -124,9 +124,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, all columns."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("node").alias("_n")).distinct()
-    return docs.withColumn("_n", row_key("text")).join(bad, "_n", "left_anti").select(docs.columns)
+    """The documents that are not contaminated, their columns unchanged; null and empty texts are not."""
+    name, = free(docs, "n")
+    bad = contamination(docs, items).where("contaminated").select(F.col("node").alias(name)).distinct()
+    return docs.withColumn(name, row_key("text")).join(bad, name, "left_anti").select(*own_columns(docs))
 
 
 SQL = r"""
