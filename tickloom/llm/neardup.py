@@ -6,18 +6,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Shared, row_key, staged
-from tickloom.llm.components import components, labels
+from tickloom.llm.common import Shared, few, free, own_columns, row_key, staged
+from tickloom.llm.components import components
 from tickloom.llm.hashing import Words, grams, mix, unit
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-BLOCK_NODES = 256
-BROADCAST_ROWS = 2_000_000
+TASK_NODES, PART_NODES = 256, 4096
+ROUNDS, CHOSEN = 3, 6
 
 # Poisson(1): probability of at most 0, 1, 2, ... darts in a region of area one
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -138,64 +138,152 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], least: float, colum
     return both >= least * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (x, y) whose shingle sets have a Jaccard similarity of ``least`` or more."""
+def _sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of some nodes (node), before they are shuffled."""
+    return sets.join(few(nodes.distinct()), "node", "left_semi")
 
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+
+def _compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(leader, node, linked): whether the two shingle sets have a Jaccard similarity of ``least`` or more."""
+
+    @F.pandas_udf("boolean")
+    def similar_sets(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both))
-        return pd.Series(out, dtype="float64")
+            out.append(both >= least * (len(x) + len(y) - both))
+        return pd.Series(out, dtype="bool")
 
-    with_x = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
-    with_y = with_x.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
-    return with_y.where(jaccard("sx", "sy") >= least).select("x", "y")
+    led = _sets_of(pairs.select(F.col("leader").alias("node")), sets)
+    with_x = pairs.join(led.select(F.col("node").alias("leader"), F.col("shingles").alias("sx")), "leader")
+    with_y = with_x.join(sets.select("node", F.col("shingles").alias("sy")), "node")
+    return with_y.select("leader", "node", similar_sets("sx", "sy").alias("linked"))
 
 
-def _between(mixed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (x, y) between roots of ``mixed`` (band, node, root) that have similar nodes in blocks with a common band.
+def _opened(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(leader, node, root, main, n) of the buckets of three nodes or more, n, that the links leave in several components;
+    ``main`` is the component of most of a bucket's nodes. Two nodes have been compared already."""
+    known = buckets.join(components(links), "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
+    main = known.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(
+        F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"))
+    return staged(known.join(main.where("roots > 1 and n > 2").drop("roots"), "leader"), "open")
 
-    Nodes are dealt into blocks of about BLOCK_NODES: by their largest bucket, and within it by hash. Blocks that share
-    a band are compared with each other in one task, on the exact sets. Two roots are linked once a task, however many
-    of their nodes are similar.
-    """
-    sized = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    home = mixed.join(sized, "band").groupBy("node").agg(
-        F.max(F.struct("n", "band")).alias("home"), F.first("root").alias("root"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.n") / BLOCK_NODES))
-    placed = staged(home.select("node", "root", F.xxhash64("home.band", part).alias("block")), "placed")
-    blocks = mixed.join(placed.select("node", "block"), "node").groupBy("band", "block").agg(
-        F.min("root").alias("a"), F.max("root").alias("b"))
-    left = blocks.select("band", *[F.col(c).alias(f"{c}_x") for c in ("block", "a", "b")])
-    right = blocks.select("band", *[F.col(c).alias(f"{c}_y") for c in ("block", "a", "b")])
-    several = F.least("a_x", "a_y") < F.greatest("b_x", "b_y")
-    pairs = staged(
-        left.join(right, "band").where((F.col("block_x") <= F.col("block_y")) & several)
-        .select("block_x", "block_y").distinct(), "pairs")
-    full = staged(placed.join(sets, "node"), "full")
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = ([np.frombuffer(s, dtype=np.uint64) for s in sets_of.shingles] for sets_of in (a, b))
-        near = similar(x, y, least)
-        roots, others = (np.array([f"{r['a']}:{r['b']}" for r in own.root], dtype=object) for own in (a, b))
-        at, to = np.nonzero(near & (roots[:, None] != others[None, :])) if len(a) and len(b) else ([], [])
-        links = {(*roots[i].split(":"), *others[j].split(":")) for i, j in zip(at, to)}
-        return pd.DataFrame(sorted(links), columns=["xa", "xb", "ya", "yb"]).astype("int64")
-
-    def side(own: str) -> DataFrame:
-        # new names for all columns: both sides come from the same tables
-        dealt = pairs.join(full.withColumnRenamed("block", own), own)
-        return dealt.select(*[F.col(c).alias(c) for c in ("block_x", "block_y", "node", "root", "shingles")]).groupBy(
-            "block_x", "block_y")
-
-    found = side("block_x").cogroup(side("block_y")).applyInPandas(compare, "xa long, xb long, ya long, yb long")
+
+def _links_of(found: DataFrame) -> DataFrame:
     x, y = (F.struct(F.col(f"{c}a").alias("a"), F.col(f"{c}b").alias("b")) for c in "xy")
     return found.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).distinct()
 
 
+_LINK = "xa long, xb long, ya long, yb long"
+
+
+def _between(a: pd.DataFrame, b: pd.DataFrame, least: float, rows: int = 512) -> pd.DataFrame:
+    """A link between nodes of two frames (node, root, shingles) for every two roots that have similar sets."""
+    links, (one, two), (at, to) = {}, *([[(r["a"], r["b"]) for r in side[c]] for side in (a, b)] for c in ("root", "node"))
+    x, y = ([np.frombuffer(s, dtype=np.uint64) for s in side.shingles] for side in (a, b))
+    for start in range(0, len(y) if len(x) else 0, rows):
+        for i, j in zip(*np.nonzero(similar(x, y[start:start + rows], least))):
+            if one[i] != two[start + j]:
+                links[one[i], two[start + j]] = (*at[i], *to[start + j])
+    return pd.DataFrame(list(links.values()), columns=["xa", "xb", "ya", "yb"]).astype("int64")
+
+
+def _within(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (x, y) between nodes of different roots that share a bucket of bounded size: members (leader, node, root)."""
+
+    def compare(key, bucket: pd.DataFrame) -> pd.DataFrame:
+        return _between(bucket, bucket, least)
+
+    return _links_of(members.join(sets, "node").groupBy("leader").applyInPandas(compare, _LINK))
+
+
+def _tokens(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``members`` with a row for each of their nodes' shingles (token); those outside the main component with the number
+    of shingles they ask for (asks): all but what they must share with the bucket's smallest set, and one."""
+
+    @F.pandas_udf("array<long>")
+    def unpacked(column: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, dtype=np.int64) for x in column])
+
+    own = members.join(sets, "node").withColumn("size", F.expr("cast(length(shingles) / 8 as int)"))
+    own = staged(own.select("leader", "node", "root", "main", "size", unpacked("shingles").alias("tokens")), "members")
+    smallest = own.groupBy("leader").agg(F.min("size").alias("smallest"))
+    both = F.ceil(least / (1 + least) * (F.col("size") + F.col("smallest")) - 1e-9)
+    return own.join(smallest, "leader").select(
+        "leader", "node", "root", F.when(F.col("root") != F.col("main"), F.col("size") - both + 1).alias("asks"),
+        F.explode("tokens").alias("token"))
+
+
+def _remaining(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (x, y) between nodes of different components that share a large bucket: members (leader, node, root, main).
+
+    One node of such a link, x, is outside its bucket's main component. The other one has no fewer shingles than the
+    bucket's smallest, so the two share a number of them that is known beforehand, and of x's shingles one of any
+    (their number - that + 1) is in both. The rarest of the bucket are taken; those that no other component holds ask
+    for nothing, which leaves few nodes. They are dealt into blocks of TASK_NODES, and each block meets once the nodes
+    that hold what it asks for, PART_NODES at a time.
+    """
+    members = members.select("leader", "node", "root", "main")
+    held = staged(_tokens(members, sets, least), "tokens")
+    of = held.groupBy("leader", "token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    rarest = Window.partitionBy("leader", "node").orderBy("n", "token")  # the shingles of one text
+    asked = held.where(F.col("asks").isNotNull()).join(of, ["leader", "token"]).withColumn("nth", F.row_number().over(rarest)).where(
+        (F.col("nth") <= F.col("asks")) & (F.col("r1") != F.col("r2")))
+    asked = staged(asked.select("leader", "node", "root", "token"), "asked")
+    some = asked.groupBy("leader").agg(F.countDistinct("node").alias("m"))
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("all"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / TASK_NODES)).cast("int").alias("block")
+    parts = F.ceil(F.col("all") / PART_NODES).cast("int")
+    asked = staged(asked.join(some, "leader").join(sizes, "leader").select(
+        "leader", "node", "root", "token", block, parts.alias("parts")), "blocks")
+    left = asked.select("leader", "block", "parts", "node", "root").distinct().select(
+        "leader", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "root").join(sets, "node")
+    right = asked.select("leader", "block", "parts", "token").distinct().join(
+        held.select("leader", "token", "node", "root"), ["leader", "token"]).select(
+        "leader", "block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "root").distinct()
+    keys = ["leader", "block", "part"]
+    right = right.join(sets, "node").select(*[F.col(c).alias(c) for c in (*keys, "node", "root", "shingles")])
+    return _links_of(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        lambda a, b: _between(a, b, least), _LINK))
+
+
+def _connect(posts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (x, y) that connect all nodes with similar sets of shingles in a common bucket: posts (band, node).
+
+    All nodes of a bucket are compared with its leader first; buckets with the same leader are one from then on. What
+    that leaves open is compared within a task in buckets of TASK_NODES or fewer. In larger ones, in a few rounds, the nodes outside a bucket's main component are compared with some of that component, chosen by hash,
+    which connects most of them at a cost that is linear in their number. What is then left goes to ``_remaining``.
+    """
+    first = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
+    buckets = staged(posts.join(first.where("n > 1"), "band").select("leader", "node").distinct(), "buckets")
+    found = _compared(buckets.where("leader <> node"), sets, least).where("linked")
+    links = staged(found.select(F.col("node").alias("x"), F.col("leader").alias("y")), "links")
+    members = _opened(buckets, links)
+    small = members.where(F.col("n") <= TASK_NODES)
+    links = staged(links.union(_within(small, _sets_of(small.select("node"), sets), least)), "links")
+    members = staged(members.where(F.col("n") > TASK_NODES), "large")
+    large = members.select("leader", "node")
+    if large.isEmpty():
+        return links
+    sets = staged(_sets_of(large.select("node"), sets), "large-sets")
+    for turn in range(ROUNDS):
+        rest = members.where("root <> main")
+        left = rest.count()
+        if not left:
+            return links
+        chosen = members.where("root = main").groupBy("leader").agg(F.array_distinct(F.array(*[
+            F.min_by("node", F.xxhash64(F.lit(turn), F.lit(i), "node")) for i in range(CHOSEN)])).alias("by"))
+        pairs = rest.join(chosen, "leader").select("node", F.explode("by").alias("leader")).distinct()
+        found = staged(_compared(pairs, sets, least).where("linked"), "found")
+        links = staged(links.union(found.select(F.col("node").alias("x"), F.col("leader").alias("y"))), "links")
+        if found.count() * 20 < left:
+            break  # the components are much the same; those known so far will do
+        members = _opened(large, links)
+    return links.union(_remaining(members, sets, least))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) as doc_id, node (the text's 128-bit hash), class_id.
 
@@ -203,27 +291,23 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     ``least`` or more; classes are the connected components, named by their smallest doc_id. Equal texts are one node
     from the start, so copies cost nothing further.
 
-    Nodes that share a band meet in a bucket. No bucket is expanded into its pairs: each elects its smallest doc_id as
-    leader, and its nodes are checked against that one. Most groups of copies are connected by then. Nodes that still
-    have different labels in a bucket are compared in blocks, where only links come out, so nothing is capped: what is
-    quadratic there is the number of set comparisons between different labels of one bucket, inside tasks of bounded
-    size. A link between different texts is missed only if they share no band: below 1e-5 at a similarity of 0.8 and
-    the default 24 bands of 4.
+    Nodes that share a band meet in a bucket. No bucket is expanded into its pairs: its nodes are compared with a leader,
+    those outside its main component with some of that one, and what is still open is found by the rarest shingles (see
+    ``_connect``, ``_remaining``). Nothing is capped. A link between different texts is missed only if they share no band: below 1e-5
+    at a similarity of 0.8 and the default 24 bands of 4.
 
     A null text is linked to nothing and is its own class; texts without words are linked when equal; a text of fewer
-    than five words is one run. A null doc_id never names a class that has another. Empty tables give empty results.
+    than five words is one run; long texts are read whole. A null doc_id never names a class that has another. Repeated
+    rows come back as often as given. Other columns are not read. Empty tables give empty results.
     """
     named = docs.select("doc_id", "text").withColumn("node", row_key("text"))
     texts = named.where(F.col("text").isNotNull())
     nodes = staged(banded(texts, bands=bands, rows=rows).groupBy("node").agg(
         F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "nodes")
 
-    posts = nodes.select("node", "doc", F.explode("bands").alias("band"))
-    full = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "node")).alias("first"))
-    posts = staged(posts.join(full.where("n > 1").select("band", F.col("first.node").alias("leader")), "band")
-                   .select("band", "node", "leader"), "posts")
-    held = posts.select("node").distinct()
-    small = posts.count() <= BROADCAST_ROWS  # of 16 bytes each
+    posts = nodes.select("node", F.explode("bands").alias("band"))
+    full = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    posts = staged(posts.join(full, "band").select("band", "node"), "posts")
     words = Shared(docs.sparkSession, "words", None, lambda _: Words())
 
     @F.pandas_udf("binary")
@@ -231,17 +315,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
         return pd.Series([shingles(t, words.get())[0].tobytes() for t in column])
 
     sets = staged(
-        texts.select("node", "text").join(F.broadcast(held) if small else held, "node", "left_semi")
+        texts.select("node", "text").join(few(posts.select("node").distinct()), "node", "left_semi")
         .withColumn("shingles", packed("text")).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    links = staged(_verified(
-        posts.where("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct(),
-        sets, least), "links")
-
-    # nodes with the same root are known to be connected; buckets with several roots need a closer look
-    known = posts.join(labels(links), "node", "left").select("band", "node", F.coalesce("label", "node").alias("root"))
-    several = known.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    mixed = staged(known.join(several.select("band"), "band", "left_semi"), "mixed")
-    roots = components(links.union(_between(mixed, sets, least)))
+    roots = components(_connect(posts, sets, least))
 
     member = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named_class = member.groupBy("root").agg(F.min("doc").alias("class_id"))
@@ -255,11 +331,11 @@ def classed_documents(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """One document of each class stays, the one with the smallest doc_id; of repeated rows one."""
-    names = docs.columns
+    """One document of each class stays, the one with the smallest doc_id; of repeated rows one. Columns are unchanged."""
+    node, doc, other, same = free(docs, "node", "d", "n", "same")
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(
-        F.col("doc_id").alias("_d"), F.col("node").alias("_n")).agg(F.count(F.lit(1)).alias("_same"))
-    own = docs.withColumn("_node", row_key("text")).join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_n")))
-    once = own.where("_same = 1").select(*[F.col(f"`{c}`") for c in names])
-    return once.union(own.where("_same > 1").dropDuplicates(["doc_id", "_node"]).select(*[F.col(f"`{c}`") for c in names]))
+        F.col("doc_id").alias(doc), F.col("node").alias(other)).agg(F.count(F.lit(1)).alias(same))
+    own = docs.withColumn(node, row_key("text")).join(
+        kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(node) == F.col(other)))
+    once = own.where(F.col(same) == 1).select(*own_columns(docs))
+    return once.union(own.where(F.col(same) > 1).dropDuplicates(["doc_id", node]).select(*own_columns(docs)))
