@@ -16,10 +16,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines whose template another text has, except where it comes first; all documents stay."""
-    out = lines.without_recurring_lines(docs, min_docs=2).drop("n_lines", "n_dropped")
+    out = lines.without_recurring_lines(docs)
     if "n_chars" not in docs.columns:
         return out
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
