@@ -173,7 +173,7 @@ def _sink(s, d):
     path = _bar_store(s, d)
     one = bars(s, d).where(F.col("date") == F.lit("2024-01-10").cast("date"))
     st.write_bars(one.withColumn("close", F.col("close") + 1), path)
-    return st.scan(s, path, key="base")
+    return st.scan(s, path, _dated(bars(s, d), "base"), key="base")
 
 
 add("S9_partition_sink", _sink, "symbol ts_sec date:d close:6",
