@@ -518,3 +518,22 @@ def test_long_windows_equal_short_ones(spark, bars, monkeypatch):
         long = rows(kyle.impact(bars, window, block_rows=16).select("symbol", "ts_sec", "lambda_robust", "estimated"), "symbol", "ts_sec")
         monkeypatch.setattr(kyle, "SHORT", 64)
         assert len(long) == len(short) and all(near(a, b, 1e-12) for r, q in zip(long, short) for a, b in zip(r, q) if not isinstance(a, str))
+
+
+def test_symbol_search_takes_texts_whole():
+    """All symbols in texts longer than a part, at its edges and at those of joined texts, with hardly a false hit."""
+    rnd = random.Random(11)
+    names = ["".join(rnd.choice("ABCDEFGH") for _ in range(n)) for n in (5, 6, 9, 31) for _ in range(20)]
+    texts = ["".join(rnd.choice("ABCDEFGH") for _ in range(n)) for n in (0, 3, signals.CHARS + 7, 500, 3 * signals.CHARS)]
+    for at in (signals.CHARS - 20, signals.CHARS - 1, signals.CHARS, 2 * signals.CHARS + 15):
+        texts[4] = texts[4][:at] + names[-1] + texts[4][at:]
+    texts[3] += names[0][:3]
+    texts.append(names[0][3:])
+    lengths, bits = sorted({len(x) for x in names}), 1 << 16
+    words = {}
+    for r in signals.Filter(bits, lengths).marks(names).itertuples():
+        words[r.w] = words.get(r.w, 0) | r.b
+    found = signals.Filter(bits, lengths, words).search([*texts, None])
+    want = [{x for x in names if x in t} for t in texts] + [set()]
+    assert all(w <= set(f) for f, w in zip(found, want))
+    assert sum(len(f) for f in found) <= sum(map(len, want)) + 20

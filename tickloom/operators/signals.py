@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,14 @@ from tickloom.functions.symbols import strip_contract
 from tickloom.operators.ranks import value_ranks
 from tickloom.session import stage
 
-BLOCK = 64
-MOST_BITS = 1 << 22
+CHARS = 1 << 16
+MOST_BITS = 1 << 24
+PROBES = 4
+# odd factors that mix bits, the base of the powers and its inverse modulo 2^64
+ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1342543DE82EF95, 0xD6E8FEB86659FD93,
+                0xA0761D6478BD642F], dtype=np.uint64)
+BASE = np.uint64(0xE7037ED1A0B428DB)
+BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 # Confidence of an aggregated signal, and the suitability of a symbol that has not been scored.
 CONFIDENCE, SUITABILITY = 0.9, 0.5
 
@@ -27,53 +35,112 @@ def normalise(raw: DataFrame) -> DataFrame:
     return d.withColumn("id", tx.news_id(F.col("source"), F.col("headline")))
 
 
-def bitmap(df: DataFrame, value: Column, bits: int) -> Callable[[Column], Column]:
-    """A test whether ``value`` may stand in ``df``: one bit a hash, built by a map-side OR in linear time.
+class Filter:
+    """A set of strings as bits: looks for pieces of texts that may be in it. False hits happen, misses do not.
 
-    ``bits`` is a power of two from 64 to MOST_BITS, so at most MOST_BITS / 64 longs come to the driver, whatever the
-    number of rows. They go into the plan as a literal and are not copied with any row.
+    A piece's hash is a difference of running sums of powers modulo 2^64, so all pieces of one length of many texts
+    cost a few array operations, whatever the number of strings.
     """
-    def slot(x):
-        return F.xxhash64(x).bitwiseAND(F.lit(bits - 1).cast("long"))
 
-    own = df.select(slot(value).alias("h"))
-    word, bit = F.shiftright("h", 6), F.expr("shiftleft(1L, cast(h & 63 as int))")
-    words = [0] * (bits // 64)
-    for r in own.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).collect():
-        words[r.w] = r.b
-    # a long list of single literals takes long to plan; one string is split when the plan is optimised
-    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-    return lambda x: F.getbit(F.get(table, F.shiftright(slot(x), 6).cast("int")), slot(x).bitwiseAND(F.lit(63))) == 1
+    def __init__(self, bits: int, lengths: list[int], words: dict[int, int] | None = None):
+        self.shift, self.lengths = 64 - (bits.bit_length() - 1), lengths
+        packed = np.zeros(bits // 64, dtype="<i8")
+        for at, word in (words or {}).items():
+            packed[at] = word
+        self.table = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
+        self.known = [np.empty(0, dtype=np.uint64)] * 2
+
+    def slots(self, h: np.ndarray, probe: int) -> np.ndarray:
+        return (h ^ h >> np.uint64(32)) * ODD[probe] >> np.uint64(self.shift)
+
+    def sums(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        codes = (codes + np.uint64(1)) * ODD[-1]
+        codes = (codes ^ codes >> np.uint64(29)) * ODD[-2]
+        up, down = self.powers(len(codes))
+        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * up)]), down
+
+    def powers(self, n: int) -> list[np.ndarray]:
+        """The first ``n`` powers of BASE and of its inverse."""
+        if n > len(self.known[0]):
+            self.known = [np.cumprod(np.full(2 * n, x)) * back for x, back in ((BASE, BACK), (BACK, BASE))]
+        return [x[:n] for x in self.known]
+
+    def marks(self, strings: list[str]) -> pd.DataFrame:
+        """(w, b): 64-bit words to be put together by OR."""
+        h = np.array([self.sums(x)[0][-1] for x in strings], dtype=np.uint64)
+        slots = np.unique(np.concatenate([self.slots(h, k) for k in range(PROBES)]))
+        bits = np.left_shift(np.uint64(1), slots & np.uint64(63)).view(np.int64)
+        return pd.DataFrame({"w": (slots >> np.uint64(6)).astype(np.int32), "b": bits})
+
+    def pieces(self, text: str):
+        """(position, length) of the pieces that may be in the set."""
+        sums, down = self.sums(text)
+        for n in self.lengths:
+            if n > len(text):
+                return
+            h = (sums[n:] - sums[:-n]) * down[: len(text) - n + 1]
+            at = np.flatnonzero(self.table[self.slots(h, 0)])
+            for k in range(1, PROBES):
+                at = at[self.table[self.slots(h[at], k)]]
+            yield from ((i, n) for i in at.tolist())
+
+    def search(self, texts) -> list[list[str]]:
+        """The distinct pieces of each text that may be in the set. Texts are taken some CHARS characters at a time."""
+        found = [set() for _ in texts]
+        for group in _chunks(texts, self.lengths[-1]):
+            text = "".join([t for _, t in group])
+            ends = np.cumsum([len(t) for _, t in group])
+            for i, n in self.pieces(text):
+                k = int(np.searchsorted(ends, i, side="right"))
+                if i + n <= ends[k]:
+                    found[group[k][0]].add(text[i:i + n])
+        return [list(f) for f in found]
+
+
+def _chunks(texts, most: int):
+    """Lists of (row, text) of about CHARS characters; long texts are cut into parts that overlap by ``most`` - 1."""
+    out, size = [], 0
+    for row, t in enumerate(texts):
+        for start in range(0, max(len(t or "") - most + 1, 1 if t else 0), CHARS):
+            out.append((row, t[start:start + CHARS + most - 1]))
+            size += len(out[-1][1])
+            if size >= CHARS:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
 
 
 def contained_symbols(items: DataFrame, universe: DataFrame, key: str, text: str) -> DataFrame:
     """(key, symbol), without repeats, for each symbol that occurs in the upper-cased text.
 
-    Texts are cut into overlapping blocks, and at each place the piece as long as the shortest symbol is looked up in
-    a bitmap of the symbols' beginnings. What passes yields its pieces of the symbols' lengths, which a bitmap of whole
-    symbols tests. The few that are left are joined with the symbols by equality, so false hits go. Building takes one
-    pass over the symbols; the work per character does not depend on their number, and symbols of one length need one
-    test a place.
+    All pieces of the symbols' lengths are tested against one set of bits of the symbols, at most MOST_BITS of them,
+    whatever the number of symbols; it is built by a map-side OR in one pass. The few pieces that pass are joined with
+    the symbols by equality, so false hits go. The work per character grows with the number of different lengths.
     """
     u = stage(universe.select("symbol").where(F.length("symbol") > 0).distinct(), "symbols")
     count, *lengths = u.agg(F.count(F.lit(1)), F.array_sort(F.collect_set(F.length("symbol")))).first()
-    nothing = items.select(key, F.lit(None).cast("string").alias("symbol")).where(F.lit(False))
     if not count:
-        return nothing
-    lengths = lengths[0]
-    bits = min(MOST_BITS, max(64, 1 << (8 * count - 1).bit_length()))
-    least, most = lengths[0], lengths[-1]
-    begins = bitmap(u, F.substring("symbol", 1, least), bits)
-    # a look-ahead captures each block with what a piece may reach behind it
-    blocks = F.regexp_extract_all(F.upper(text), F.lit(f"(?s)(?=(.{{1,{BLOCK - 1 + most}}})).{{1,{BLOCK}}}"), F.lit(1))
-    at = items.select(key, F.explode(blocks).alias("_b")).select(
-        key, "_b", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.length("_b")))).alias("_i"))
-    near = at.where(begins(F.substring("_b", F.col("_i"), F.lit(least))))
-    pieces = near.select(key, F.substring("_b", F.col("_i"), F.lit(least)).alias("symbol"))
-    if most > least:
-        whole = bitmap(u, F.col("symbol"), bits)
-        pieces = near.select(key, "_b", "_i", F.explode(F.array(*map(F.lit, lengths))).alias("_n")).select(
-            key, F.expr("substring(_b, _i, _n)").alias("symbol")).where(whole(F.col("symbol")))
+        return items.select(key, F.lit(None).cast("string").alias("symbol")).where(F.lit(False))
+    bits, lengths = min(MOST_BITS, max(64, 1 << (256 * count - 1).bit_length())), lengths[0]
+
+    def marks(batches):
+        empty = Filter(bits, lengths)
+        for pdf in batches:
+            if len(pdf):
+                yield empty.marks(pdf.symbol.tolist())
+
+    words = u.mapInPandas(marks, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    shared = items.sparkSession.sparkContext.broadcast({r.w: r.b for r in words})
+
+    @F.pandas_udf("array<string>")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        have = Filter(bits, lengths, shared.value)
+        for texts in batches:
+            yield pd.Series(have.search(texts.tolist()), index=texts.index, dtype=object)
+
+    pieces = items.select(key, search(F.upper(text)).alias("_p")).select(key, F.explode("_p").alias("symbol"))
     return pieces.join(u, "symbol", "left_semi").select(key, "symbol").distinct()
 
 
