@@ -142,3 +142,42 @@ def test_a_change_reaches_310_rows(spark):
     got = [(r.ts_sec, r._out) for r in sc.reached(d).orderBy("ts_sec").collect()]
     assert [t for t, _ in got] == [*range(390, 1011), *range(1190, 1811)]
     assert [t for t, o in got if o] == [*range(700, 1011), *range(1500, 1811)]
+
+
+def test_living_signals_call_the_state_once_a_bucket():
+    """A bucket of 300 symbols costs a few calls, and each of them gets its default when its time has come."""
+    import pandas as pd
+
+    calls, stored = [], []
+
+    class Handle:
+        def getListState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            return lambda *x: calls.append((name, *x))
+
+        def get(self):
+            calls.append(("get",))
+            return iter(stored)
+
+        def put(self, rows):
+            calls.append(("put",))
+            stored[:] = rows
+
+        def clear(self):
+            stored.clear()
+
+    start = pd.Timestamp(2026, 1, 1)
+    born = [start + pd.Timedelta(minutes=i) for i in range(300)]
+    rows = pd.DataFrame({"symbol": [f"S{i}" for i in range(300)], "generated_at": born, "mm_action": "WIDEN", "widen_factor": 2.0,
+                         "expires_at": [t + pd.Timedelta(minutes=15) for t in born]})
+    p = ss.LivingSignal()
+    p.init(Handle())
+    assert sum(map(len, p.handleInputRows((0,), iter([rows]), None))) == 300
+    first = int((start + pd.Timedelta(minutes=15)).value // 1_000_000)
+    assert calls == [("get",), ("put",), ("registerTimer", first)]
+    at = type("At", (), {"getExpiryTimeInMs": lambda self: first, "getCurrentWatermarkInMs": lambda self: first + 60_000 * 100})()
+    gone = pd.concat(p.handleExpiredTimer((0,), at, at))
+    assert len(gone) == 100 and gone.is_default.all() and len(stored) == 200
+    assert calls[-1] == ("registerTimer", first + 60_000 * 100)

@@ -113,42 +113,63 @@ def rolling_features(bars: DataFrame) -> DataFrame:
 
 
 SIGNAL = "symbol string, generated_at timestamp, expires_at timestamp, mm_action string, widen_factor double, is_default boolean"
+NAMES = [c.split()[0] for c in SIGNAL.split(", ")]
+
+
+BUCKETS = 4096
 
 
 class LivingSignal(StatefulProcessor):
     """Every change of a symbol's signal, in time order: a newer one, or the neutral default when the last one expires.
 
     All signals of a batch are gone through, so the changes do not depend on how files fall into batches, as long as
-    older signals do not arrive in later batches; those are passed over.
+    older signals do not arrive in later batches; those are passed over. A group is a bucket of symbols, whose living
+    signals are one list with one timer, for the first of them to expire: every call to the state goes to the JVM and
+    back, which for each symbol took longer than the work.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "generated_ms long, expires_ms long")
+        self.live = handle.getListState("live", "symbol string, generated_ms long, expires_ms long")
+
+    def _keep(self, live: dict, timer: int | None) -> None:
+        """Stores the living signals; ``timer`` is the one that is set."""
+        if live:
+            self.live.put([(s, *x) for s, x in live.items()])
+        else:
+            self.live.clear()
+        first = min((x[1] for x in live.values()), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        cols = ["generated_at", "expires_at", "mm_action", "widen_factor"]
-        last, out = self.last.get() if self.last.exists() else None, []
-        for r in pd.concat([r[cols] for r in rows]).sort_values(cols).itertuples(index=False):
-            born, dies = (int(t.timestamp() * 1000) for t in (r.generated_at, r.expires_at))
+        cols = ["generated_at", "expires_at", "mm_action", "widen_factor", "symbol"]
+        live, out = {s: (born, dies) for s, born, dies in self.live.get()}, []
+        timer = min((x[1] for x in live.values()), default=None)
+        for r in pd.concat([r[cols] for r in rows]).sort_values(cols[:4]).itertuples(index=False):
+            born, dies = (t.value // 1_000_000 for t in (r.generated_at, r.expires_at))
+            last = live.get(r.symbol)
             if last is not None and born < last[0]:
                 continue  # older than the signal that lives
             if last is not None and born > last[1]:  # it had expired before; the timer would say so later
-                out.append((key[0], pd.Timestamp(last[1], unit="ms"), None, "NORMAL", 1.0, True))
-            if last is not None:
-                self.handle.deleteTimer(last[1])
-            self.handle.registerTimer(dies)
-            last = born, dies
-            out.append((key[0], r.generated_at, r.expires_at, r.mm_action, float(r.widen_factor), False))
+                out.append((r.symbol, pd.Timestamp(last[1], unit="ms"), None, "NORMAL", 1.0, True))
+            live[r.symbol] = born, dies
+            out.append((r.symbol, r.generated_at, r.expires_at, r.mm_action, float(r.widen_factor), False))
         if out:
-            self.last.update(last)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SIGNAL.split(", ")]).astype({"expires_at": "datetime64[ns]"})
+            self._keep(live, timer)
+            yield pd.DataFrame(out, columns=NAMES).astype({"expires_at": "datetime64[ns]"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        yield pd.DataFrame([(key[0], at, None, "NORMAL", 1.0, True)], columns=[c.split()[0] for c in SIGNAL.split(", ")]).astype(
-            {"expires_at": "datetime64[ns]"})
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        live = {s: (born, dies) for s, born, dies in self.live.get()}
+        gone = {s: dies for s, (_, dies) in live.items() if dies <= at or dies < now}
+        self._keep({s: x for s, x in live.items() if s not in gone}, None)  # the timer that fired is gone
+        if gone:
+            yield pd.DataFrame([(s, pd.Timestamp(dies, unit="ms"), None, "NORMAL", 1.0, True) for s, dies in gone.items()],
+                               columns=NAMES).astype({"expires_at": "datetime64[ns]"})
 
     def close(self) -> None:
         pass
@@ -156,8 +177,8 @@ class LivingSignal(StatefulProcessor):
 
 def living_signals(signals: DataFrame, late: str = "1 minute") -> DataFrame:
     """Changes of the current signal per symbol: a newer signal, or the default when the last one expires."""
-    d = signals.withWatermark("generated_at", late)
-    return d.groupBy("symbol").transformWithStateInPandas(
+    d = signals.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(BUCKETS))).withWatermark("generated_at", late)
+    return d.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=LivingSignal(), outputStructType=SIGNAL, outputMode="Append", timeMode="EventTime")
 
 
