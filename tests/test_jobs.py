@@ -537,3 +537,16 @@ def test_symbol_search_takes_texts_whole():
     want = [{x for x in names if x in t} for t in texts] + [set()]
     assert all(w <= set(f) for f, w in zip(found, want))
     assert sum(len(f) for f in found) <= sum(map(len, want)) + 20
+
+
+def test_constant_signal_is_judged_by_its_hit_rate(spark):
+    """A constant signal has no coefficient: its flags and counts come from the hit rate and are never NULL."""
+    from tickloom.operators import ic
+
+    hits = {"flat": 100, "often": 110, "most": 160}  # of 200 returns that go up
+    data = [(s, "2024-01-01", i, 1.0, 0.001 * (i + 1) if i < n else -0.001 * (i + 1)) for s, n in hits.items() for i in range(200)]
+    d = spark.createDataFrame(data, ["symbol", "date", "ts_sec", "sig", "fwd_5"])
+    got = rows(ic.ic_stability(d, ["sig"], 5).select("symbol", "ic", "useful", "strong"), "symbol")
+    assert got == [("flat", None, False, False), ("most", None, True, True), ("often", None, True, False)]
+    table = ic.ic_table(d.selectExpr("symbol", "'sig' AS signal", "5 AS horizon", "sig AS x", "fwd_5 AS y"), ["symbol", "signal", "horizon"])
+    assert rows(ic.rank_signals(table).select("n_symbols", "n_useful", "n_strong"), "n_symbols") == [(3, 2, 1)]

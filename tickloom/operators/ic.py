@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import finite, pearson, ratio
@@ -26,6 +26,11 @@ def signal_pairs(df: DataFrame, keep: list[str], signals: list[str], horizons: l
     return long.where(finite("x") & finite("y"))
 
 
+def _flag(ic_above: float, hit_above: float) -> Column:
+    """Whether a coefficient or a hit rate stands out. A constant signal has no coefficient, so its hit rate decides."""
+    return F.coalesce(F.abs("ic") > ic_above, F.lit(False)) | F.coalesce(F.col("hit_rate") > hit_above, F.lit(False))
+
+
 def ic_table(pairs: DataFrame, keys: list[str], min_obs: int = 100) -> DataFrame:
     """Spearman coefficient, hit rate and signal Sharpe per group.
 
@@ -72,8 +77,7 @@ def ic_stability(df: DataFrame, signals: list[str], horizon: int, block: int = 3
     return out.select(
         "symbol", "signal", "ic", "hit_rate", mean.alias("ic_mean"),
         (mean / F.greatest(sd, F.lit(0.001))).alias("ic_t"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),
-        ((F.abs("ic") > 0.02) | (F.col("hit_rate") > 0.52)).alias("useful"),
-        ((F.abs("ic") > 0.05) | (F.col("hit_rate") > 0.55)).alias("strong"))
+        _flag(0.02, 0.52).alias("useful"), _flag(0.05, 0.55).alias("strong"))
 
 
 def with_vol_regime(df: DataFrame, vol: str = "realized_vol_60s") -> DataFrame:
@@ -89,8 +93,7 @@ def rank_signals(table: DataFrame) -> DataFrame:
     return table.groupBy("signal", "horizon").agg(
         F.avg("ic").alias("avg_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg("hit_rate").alias("avg_hit"),
         F.avg("sharpe").alias("avg_sharpe"), F.countDistinct("symbol").alias("n_symbols"),
-        F.sum(((F.abs("ic") > 0.02) | (F.col("hit_rate") > 0.52)).cast("int")).alias("n_useful"),
-        F.sum(((F.abs("ic") > 0.05) | (F.col("hit_rate") > 0.55)).cast("int")).alias("n_strong"),
+        F.sum(_flag(0.02, 0.52).cast("int")).alias("n_useful"), F.sum(_flag(0.05, 0.55).cast("int")).alias("n_strong"),
     ).orderBy("horizon", F.desc("avg_ic"))
 
 
