@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -542,3 +543,23 @@ def test_sequential_rounds_keep_the_best():
         assert (np.sort(score)[-5:] == np.sort(every)[-5:]).all() and not own[q][at].any()
         left.append(len(at))
     assert min(left) < 60  # rows that are resolved, of 500
+
+
+def test_comparison_of_long_texts_in_bounded_memory():
+    """A bucket of long texts: the same links whatever the runs, without a copy of all its sets."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    base = [np.unique(rnd.integers(0, 1 << 62, 20_000, dtype=np.uint64)) for _ in range(30)]
+    sets = [x[cut:] for x in base for cut in (0, 500, 9000)]
+    frame = pd.DataFrame({"node": [{"a": i, "b": 0} for i in range(90)], "shingles": [x.tobytes() for x in sets]})
+    frame["root"] = frame["node"]
+    few = frame.head(12)
+    whole = neardup._between(few, few, 0.8, elements=1 << 40)
+    assert sorted(map(tuple, whole.values)) == sorted(map(tuple, neardup._between(few, few, 0.8, elements=30_000).values))
+    assert len(whole) == 4 * 2
+    tracemalloc.start()
+    assert len(neardup._between(frame, frame, 0.8)) == 30 * 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import Shared, few, free, own_columns, row_key, staged
@@ -18,6 +19,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 TASK_NODES, PART_NODES = 256, 4096
 ROUNDS, CHOSEN = 3, 6
+BATCH_ROWS = 1000
 
 # Poisson(1): probability of at most 0, 1, 2, ... darts in a region of area one
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -178,14 +180,30 @@ def _links_of(found: DataFrame) -> DataFrame:
 _LINK = "xa long, xb long, ya long, yb long"
 
 
-def _between(a: pd.DataFrame, b: pd.DataFrame, least: float, rows: int = 512) -> pd.DataFrame:
-    """A link between nodes of two frames (node, root, shingles) for every two roots that have similar sets."""
+def _cut(sets: list[np.ndarray], rows: int, elements: int):
+    """(start, end) of runs of sets with at most so many rows and elements; one larger set is a run."""
+    start = size = 0
+    for i, x in enumerate(sets):
+        if i > start and (i - start == rows or size + len(x) > elements):
+            yield start, i
+            start, size = i, 0
+        size += len(x)
+    if sets:
+        yield start, len(sets)
+
+
+def _between(a: pd.DataFrame, b: pd.DataFrame, least: float, rows: int = 512, elements: int = 1 << 18) -> pd.DataFrame:
+    """A link between nodes of two frames (node, root, shingles) for every two roots that have similar sets.
+
+    All pairs are compared, a run of each side at a time, so the working memory does not grow with the frames."""
     links, (one, two), (at, to) = {}, *([[(r["a"], r["b"]) for r in side[c]] for side in (a, b)] for c in ("root", "node"))
     x, y = ([np.frombuffer(s, dtype=np.uint64) for s in side.shingles] for side in (a, b))
-    for start in range(0, len(y) if len(x) else 0, rows):
-        for i, j in zip(*np.nonzero(similar(x, y[start:start + rows], least))):
-            if one[i] != two[start + j]:
-                links[one[i], two[start + j]] = (*at[i], *to[start + j])
+    for top, end in _cut(x, rows, elements):
+        for start, stop in _cut(y, rows, elements):
+            for i, j in zip(*np.nonzero(similar(x[top:end], y[start:stop], least))):
+                i, j = i + top, j + start
+                if one[i] != two[j]:
+                    links[one[i], two[j]] = (*at[i], *to[j])
     return pd.DataFrame(list(links.values()), columns=["xa", "xb", "ya", "yb"]).astype("int64")
 
 
@@ -284,6 +302,18 @@ def _connect(posts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return links.union(_remaining(members, sets, least))
 
 
+@contextmanager
+def _short_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Texts and sets are long rows: Arrow batches of the usual length would take 100 MB and more of every task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) as doc_id, node (the text's 128-bit hash), class_id.
 
@@ -300,6 +330,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     than five words is one run; long texts are read whole. A null doc_id never names a class that has another. Repeated
     rows come back as often as given. Other columns are not read. Empty tables give empty results.
     """
+    with _short_batches(docs.sparkSession):
+        return _near_duplicates(docs, least, bands, rows)
+
+
+def _near_duplicates(docs: DataFrame, least: float, bands: int, rows: int) -> DataFrame:
     named = docs.select("doc_id", "text").withColumn("node", row_key("text"))
     texts = named.where(F.col("text").isNotNull())
     nodes = staged(banded(texts, bands=bands, rows=rows).groupBy("node").agg(
