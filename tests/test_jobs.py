@@ -550,3 +550,21 @@ def test_constant_signal_is_judged_by_its_hit_rate(spark):
     assert got == [("flat", None, False, False), ("most", None, True, True), ("often", None, True, False)]
     table = ic.ic_table(d.selectExpr("symbol", "'sig' AS signal", "5 AS horizon", "sig AS x", "fwd_5 AS y"), ["symbol", "signal", "horizon"])
     assert rows(ic.rank_signals(table).select("n_symbols", "n_useful", "n_strong"), "n_symbols") == [(3, 2, 1)]
+
+
+def test_replay_tasks_share_no_row_group(tmp_path):
+    """Every row is in one task and every row group is read by one, also where an offset lies within a group."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tickloom.sources import replay
+
+    table = pa.table({"feed": ["text"] * 95, "ts_local_ns": list(range(95)), "body": ["{}"] * 95})
+    pq.write_table(table, tmp_path / "a.parquet", row_group_size=10)
+    reader = replay.MessageReader({"path": str(tmp_path), "rowsPerTask": "25"})
+    assert reader.latestOffset() == {"row": 95}
+    for start in (0, 34):
+        parts = reader.partitions({"row": start}, {"row": 95})
+        groups = [g for p in parts for g in range(p.start // 10, (p.end + 9) // 10)]
+        assert len(groups) == len(set(groups)) and len(parts) > 1
+        assert [x for p in parts for b in reader.read(p) for x in b.column("offset").to_pylist()] == list(range(start, 95))

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from tickloom.schema import RAW_TICK, conform
 from tickloom.sources.ticks import flatten_depth, parse_text_levels
 
+GROUP_BYTES = 16 << 20
 MESSAGE = "offset long, feed string, ts_local_ns long, body string"
 
 
@@ -31,12 +32,12 @@ def _store(path: str):
 
 
 class MessageReader(DataSourceStreamReader):
-    """Offsets are rows of the recording. The driver lists files and reads the footers of new ones; a task reads the row
-    groups that its run of rows lies in, as Arrow batches."""
+    """Offsets are rows of the recording. The driver lists files and reads the footers of new ones; a task reads whole row
+    groups, as Arrow batches: one at least, and more until they hold ``rowsPerTask``. So no group is read twice."""
 
     def __init__(self, options):
         self.path, self.per_task = options["path"], int(options.get("rowsPerTask", "25000"))
-        self.files: list[tuple[str, int, int]] = []  # path, first offset, rows
+        self.files: list[tuple[str, int, list[int]]] = []  # path, first offset, rows of each row group
 
     def _listed(self) -> int:
         import pyarrow.fs as fs
@@ -45,13 +46,13 @@ class MessageReader(DataSourceStreamReader):
         store, path = _store(self.path)
         found = [f for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
         known = {f for f, _, _ in self.files}
-        end = sum(n for _, _, n in self.files)
+        end = sum(sum(n) for _, _, n in self.files)
         for f in sorted(found, key=lambda f: (f.mtime_ns or 0, f.path)):
             if f.path not in known:
                 with store.open_input_file(f.path) as source:
-                    n = pq.read_metadata(source).num_rows
-                self.files.append((f.path, end, n))
-                end += n
+                    meta = pq.read_metadata(source)
+                self.files.append((f.path, end, [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]))
+                end += meta.num_rows
         return end
 
     def initialOffset(self) -> dict:
@@ -61,12 +62,18 @@ class MessageReader(DataSourceStreamReader):
         return {"row": self._listed()}
 
     def partitions(self, start: dict, end: dict) -> list[Rows]:
-        if end["row"] > sum(n for _, _, n in self.files):
+        if end["row"] > sum(sum(n) for _, _, n in self.files):
             self._listed()  # a batch that a restart repeats
         out = []
-        for file, first, n in self.files:
-            low, high = max(start["row"], first), min(end["row"], first + n)
-            out += [Rows(file, first, a, min(a + self.per_task, high)) for a in range(low, high, self.per_task)]
+        for file, first, groups in self.files:
+            low = at = first
+            for i, n in enumerate(groups):
+                at += n
+                if at - low >= self.per_task or i == len(groups) - 1:
+                    a, b = max(start["row"], low), min(end["row"], at)
+                    if a < b:
+                        out.append(Rows(file, first, a, b))
+                    low = at
         return out
 
     def read(self, partition: Rows):
@@ -103,8 +110,9 @@ class Recording(DataSource):
 
 
 def record(messages: DataFrame, path: str) -> None:
-    """Adds messages (feed, ts_local_ns, body) to a recording."""
-    messages.select("feed", "ts_local_ns", "body").sortWithinPartitions("ts_local_ns").write.mode("append").parquet(path)
+    """Adds messages (feed, ts_local_ns, body) to a recording, in row groups of a size that suits a task."""
+    messages.select("feed", "ts_local_ns", "body").sortWithinPartitions("ts_local_ns").write.mode("append").option(
+        "parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 def replay(spark: SparkSession, path: str, rows_per_task: int = 25_000) -> DataFrame:
