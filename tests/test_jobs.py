@@ -568,3 +568,19 @@ def test_replay_tasks_share_no_row_group(tmp_path):
         groups = [g for p in parts for g in range(p.start // 10, (p.end + 9) // 10)]
         assert len(groups) == len(set(groups)) and len(parts) > 1
         assert [x for p in parts for b in reader.read(p) for x in b.column("offset").to_pylist()] == list(range(start, 95))
+
+
+def test_partial_bars_sort_no_whole_file(spark, tmp_path):
+    """One file of ticks: they are dealt to tasks by bar before they are sorted, and the parts make the bars of all ticks."""
+    from tickloom.catalog.standin import table, ticks_of
+    from tickloom.streaming import corrections as sc
+
+    table(spark, SMALL, "events").coalesce(1).write.parquet(str(tmp_path / "one"))
+    ticks = ticks_of(spark.read.parquet(str(tmp_path / "one")))
+    parts = sc.partial_bars(ticks, 1800)
+    plan = parts._jdf.queryExecution().sparkPlan().toString()
+    steps = [x for x in plan.splitlines() if "Aggregate" in x or "Exchange" in x]
+    assert "Exchange" in steps[-1], plan
+    cols = ["symbol", "ts_sec", "open", "close", "tick_count", "spread_mean", "imbalance_std"]
+    got, want = (rows(d.select(*cols), "symbol", "ts_sec") for d in (sc.merged(parts), ob.build_bars(ticks, 1800)))
+    assert len(got) == len(want) > 0 and all(near(a, b) for x, y in zip(got, want) for a, b in zip(x, y))

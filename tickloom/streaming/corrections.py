@@ -22,9 +22,13 @@ _MEANS = ("spread", "spread_bps", "book_imbalance", "price_impact")
 
 
 def partial_bars(ticks: DataFrame, width: int = 1, tiebreak: str = "tick_id") -> DataFrame:
-    """Aggregates of ticks per (symbol, ts_sec) that ``merged`` puts together."""
+    """Aggregates of ticks per (symbol, ts_sec) that ``merged`` puts together.
+
+    Structs as aggregates make Spark sort its input. The ticks are dealt by bar first, so that a task sorts its share of
+    them and not the whole of a file, which may be small packed and large as ticks.
+    """
     order = ["ts_local_ns", tiebreak]
-    d = tick_columns(ticks, width).groupBy(*KEYS).agg(
+    d = tick_columns(ticks, width).repartition(*KEYS).groupBy(*KEYS).agg(
         F.min(F.struct(*order, "last_price", "volume")).alias("first"), F.max(F.struct(*order, *_LAST)).alias("last"),
         F.max("last_price").alias("high"), F.min("last_price").alias("low"), F.count(F.lit(1)).alias("ticks"),
         F.max("spread").alias("spread_max"), F.var_pop("book_imbalance").alias("variance"),
