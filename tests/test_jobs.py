@@ -233,6 +233,15 @@ def test_symbols_inside_text(spark):
     assert signals.contained_symbols(items, u.limit(0), "id", "headline").count() == 0
 
 
+def test_symbols_in_texts_with_a_sharp_s(spark):
+    """Upper case is that of the reference's language: one letter may become two."""
+    text = "Theßtea, NSE: Straße"
+    items = spark.createDataFrame([("1", text)], "id string, headline string")
+    u = spark.createDataFrame([("THESSTEA",), ("THE",)], "symbol string")
+    assert "THESSTEA" in text.upper()
+    assert rows(signals.extract_symbols(items, u), "symbol") == [("1", "STRASSE"), ("1", "THE"), ("1", "THESSTEA")]
+
+
 def test_symbols_anywhere_in_long_texts(spark):
     """Symbols of many lengths, at the blocks' edges, one inside another, beyond ASCII; more of them than bits."""
     rnd = random.Random(5)
