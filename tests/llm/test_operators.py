@@ -193,6 +193,20 @@ def test_bpe_cache_may_be_cleared(monkeypatch, rows):
 
 # 4 -------------------------------------------------------------------------------------------------------------------
 
+def test_bpe_of_latin_1_and_a_piece_merged_once():
+    """Letters beyond ASCII go through the byte symbols here; spellings and later batches share a piece's merges."""
+    m = bpe.Merger(bpe.tokenizer_spec())
+    letters = [chr(i) for i in range(32, 256)]
+    texts = ["".join(letters), "".join(f"a{c}b {c}{c.upper()} {c}'s\n" for c in letters), "ãã© Ã© é ×¡ ס", "Straße\t§ 5² µm"]
+    for text, parts in zip(texts, list(m.parts(texts))):
+        assert [int(i) for f in parts for i in f[1].split()] == m.library.encode(text, add_special_tokens=False).ids
+    merged, seen = m.merged, []
+    m.merged = lambda pieces: seen.extend(pieces) or merged(pieces)
+    for text in ("zyxwort", "Zyxwort, ZYXWORT.", "(zyxwort)"):
+        list(m.parts([text]))
+    assert seen.count("zyxwort") == 1
+
+
 def test_token_files_round_trip(spark, tmp_path, rows):
     texts = [r[1] for r in rows] + ODD + ["word.\nNext, line", "a .b ,c", "end.", "x,y.z", "é. ß,"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import Shared, free, own_columns
+from tickloom.llm.tokenfile import byte_symbols
 
 CACHE_PIECES = 300_000
-BATCH_PIECES = 20_000
+BATCH_PIECES = 5_000
 
 
 class Merger:
@@ -36,11 +37,15 @@ class Merger:
         self.rank = {a << 20 | b: r for r, (a, b) in enumerate(zip(self.left, self.right))}
         self.library = Tokenizer.from_str(spec)
         self.plain = self._plain(d)
+        self.number = {i: str(i) for i in self.token}
+        self.visible = byte_symbols()
+        self.words: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
         self.fragments: dict[str, tuple[int, str, str]] = {}
 
     @staticmethod
     def _plain(d: dict):
-        """The file's own split pattern for printable ASCII chunks, whose bytes are their symbols; None if it says anything else."""
+        """The file's own split pattern for printable chunks of Latin-1, which NFC leaves alone; None if it says anything else."""
         steps = (d["pre_tokenizer"] or {}).get("pretokenizers") or []
         norms = [n["type"] for n in (d["normalizer"] or {}).get("normalizers", [])]
         if norms == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and \
@@ -50,12 +55,21 @@ class Merger:
 
     def pieces(self, chunk: str) -> list[str]:
         """The units that merges never cross, as strings of byte symbols."""
-        if self.plain and chunk.isascii() and chunk.isprintable():
-            return self.plain.findall(chunk.lower())
+        if (found := self.latin(chunk)) is not None:
+            return [*map(self._bytes, found)]
         lib = self.library
         text = lib.normalizer.normalize_str(chunk) if lib.normalizer else chunk
         return [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(text)]
 
+    def latin(self, text: str) -> list[str] | None:
+        """The pieces of a text of printable Latin-1 as letters, whose bytes are not symbols yet; None for any other text."""
+        if self.plain and text.isprintable() and (text.isascii() or max(text) < "\u0100"):
+            return self.plain.findall(text.lower())
+        return None
+
+    def _bytes(self, letters: str) -> str:
+        return letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.visible)
+
     def symbols(self, piece: str) -> list[int]:
         ids = self.ids
         try:
@@ -69,18 +83,21 @@ class Merger:
         Ranks with occurrences are taken in ascending order; each merge updates the lists of the two pairs it makes.
         Positions whose symbols have changed since they were listed are passed over.
         """
-        sym, starts = [-1], []
+        sym = [-1]
         for p in pieces:
-            starts.append(len(sym))
             sym += self.symbols(p)
             sym.append(-1)
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, left, right, made = self.rank, self.left, self.right, self.made
+        get, left, right, made = self.rank.get, self.left, self.right, self.made
         where: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if sym[i] >= 0 and sym[i + 1] >= 0 and (r := rank.get(sym[i] << 20 | sym[i + 1])) is not None:
-                where.setdefault(r, []).append(i)
+        # a mark beside a symbol makes a negative number, which is no pair
+        for i, r in enumerate(map(get, [a << 20 | b for a, b in zip(sym, sym[1:])])):
+            if r is not None:
+                if r in where:
+                    where[r].append(i)
+                else:
+                    where[r] = [i]
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -94,65 +111,77 @@ class Merger:
                 sym[p], sym[q] = c, -2
                 z = after[p] = after[q]
                 before[z] = p
-                if (s := sym[o := before[p]]) >= 0 and (k := rank.get(s << 20 | c)) is not None:
+                if (s := sym[o := before[p]]) >= 0 and (k := get(s << 20 | c)) is not None:
                     if k not in where:
                         where[k] = []
                         heapq.heappush(active, k)
                     where[k].append(o)
-                if (s := sym[z]) >= 0 and (k := rank.get(c << 20 | s)) is not None:
+                if (s := sym[z]) >= 0 and (k := get(c << 20 | s)) is not None:
                     if k not in where:
                         where[k] = []
                         heapq.heappush(active, k)
                     where[k].append(p)
-        out = []
-        for i in starts:
-            ids = []
-            while sym[i] >= 0:
-                ids.append(sym[i])
-                i = after[i]
-            out.append(ids)
+        out, rest, at = [], [s for s in sym if s != -2], 1
+        for _ in pieces:
+            end = rest.index(-1, at)
+            out.append(rest[at:end])
+            at = end + 1
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Adds (number of ids, ids as text, tokens joined by a space) of new chunks to the worker's table."""
+        """Adds (number of ids, ids as text, tokens joined by a space) of new chunks to the worker's table.
+
+        Chunks share their pieces ("word", "Word,"), so a piece is merged once and remembered by itself.
+        """
         cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        plan, place = [], {}
+        known, plan = self.known, []
         for chunk in chunks:
             steps = []
             for bit in cut.split(chunk) if cut and "<" in chunk else [chunk]:
                 if bit in self.special:
-                    steps.append(bit)
+                    steps.append(self._part([self.special[bit]]))
                 elif bit:
-                    steps += [place.setdefault(p, len(place)) for p in self.pieces(bit)]
+                    steps += self.pieces(bit)
             plan.append(steps)
-        ids_of = self.merged(list(place))
+        fresh = list(dict.fromkeys([p for steps in plan for p in steps if isinstance(p, str) and p not in known]))
+        known.update(zip(fresh, map(self._part, self.merged(fresh))))
         for chunk, steps in zip(chunks, plan):
-            ids = [i for s in steps for i in ([self.special[s]] if isinstance(s, str) else ids_of[s])]
-            self.fragments[chunk] = len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
+            parts = [f for p in steps if (f := known[p] if isinstance(p, str) else p)[0]]
+            self.fragments[chunk] = parts[0] if len(parts) == 1 else (
+                sum([f[0] for f in parts]), " ".join([f[1] for f in parts]), " ".join([f[2] for f in parts]))
+
+    def _part(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join([self.number[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
     def parts(self, texts):
         """The fragments of each text in turn.
 
-        White space ends a piece, so what lies between is encoded by itself and remembered in the worker. Texts are
-        taken together until they have BATCH_PIECES new chunks; those go through one index.
+        A plain text is cut into its pieces at once. In others white space ends a piece, so what lies between is encoded
+        by itself. Both are remembered in the worker. Texts are taken together until they have BATCH_PIECES new pieces
+        or chunks; those go through one index.
         """
-        waiting, fresh = [], {}
+        waiting, words, chunks = [], {}, {}
         for text in texts:
-            if not waiting and len(self.fragments) > CACHE_PIECES:
-                self.fragments.clear()
-            chunks = [c for c in text.replace("\n", " ").split(" ") if c]
-            waiting.append(chunks)
-            fresh |= dict.fromkeys([c for c in chunks if c not in self.fragments])
-            if len(fresh) >= BATCH_PIECES:
-                yield from self._flush(waiting, fresh)
-                waiting, fresh = [], {}
-        yield from self._flush(waiting, fresh)
-
-    def _flush(self, waiting, fresh):
-        self.learn(list(fresh))
-        known = self.fragments
-        for chunks in waiting:
-            yield [f for c in chunks if (f := known[c])[0]]
+            if not waiting:
+                for table in (self.words, self.known, self.fragments):
+                    if len(table) > CACHE_PIECES:
+                        table.clear()
+            text = text.replace("\n", " ")
+            units, table, fresh = self.latin(text), self.words, words
+            if units is None or any(t in text for t in self.special):
+                units, table, fresh = [c for c in text.split(" ") if c], self.fragments, chunks
+            waiting.append((units, table))
+            fresh |= dict.fromkeys([u for u in units if u not in table])
+            if len(words) + len(chunks) >= BATCH_PIECES:
+                yield from self._flush(waiting, words, chunks)
+                waiting, words, chunks = [], {}, {}
+        yield from self._flush(waiting, words, chunks)
+
+    def _flush(self, waiting, words, chunks):
+        self.words.update(zip(words, map(self._part, self.merged([*map(self._bytes, words)]))))
+        self.learn(list(chunks))
+        for units, table in waiting:
+            yield [f for u in units if (f := table[u])[0]]
 
 
 def tokenizer_spec(path: str | None = None, name: str = "word_bpe_49k.json") -> str:
