@@ -207,6 +207,16 @@ def test_bpe_of_latin_1_and_a_piece_merged_once():
     assert seen.count("zyxwort") == 1
 
 
+def test_token_batches_are_taken_in_parts():
+    import pyarrow as pa
+
+    texts = ["a" * 30, None, "", "b" * 250, "ö" * 10, "c", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": pa.array(texts, pa.string())})
+    parts = list(tokenfile.slices(batch, 100))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == texts
+    assert [len(p) for p in parts] == [4, 3] and not list(tokenfile.slices(batch.slice(0, 0), 100))
+
+
 def test_token_files_round_trip(spark, tmp_path, rows):
     texts = [r[1] for r in rows] + ODD + ["word.\nNext, line", "a .b ,c", "end.", "x,y.z", "é. ß,"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)

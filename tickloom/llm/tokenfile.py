@@ -9,6 +9,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from tickloom.session import scratch_path
 MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 17
-CACHE_PIECES = 700_000
+CACHE_PIECES = 350_000
 HEAD_CHARS = 32
 END_ID = 2
 SPACE = chr(256 + 32)  # the byte 32 is the 33rd of the hidden ones
@@ -108,18 +109,15 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def slices(texts, chars: int = 2_000_000):
-    """Whole texts, a few MB at a time."""
-    out, size = [], 0
-    for t in texts:
-        t = "" if t is None or t != t else t
-        out.append(t)
-        size += len(t)
-        if size >= chars:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
+def slices(batch: pa.RecordBatch, size: int = 2_000_000):
+    """Parts of a batch with whole texts, a few MB at a time; a part is a view, nothing is copied."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = min(int(np.searchsorted(ends, before + size)) + 1, len(ends))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def code_lengths(counts: dict[int, int], most: int = MAX_BITS) -> dict[int, int]:
@@ -219,16 +217,15 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
     def encode(batches):
         encoder, total, doc_id = shared.get(), np.zeros(1, dtype=np.int64), None
         for batch in batches:
-            made, doc_id = [], batch.column("doc_id")
-            for texts in slices(batch.column("text").to_pylist()):
-                found = [np.append(ids, np.uint32(end_id)) for ids in encoder(texts)]
+            for part in slices(batch):
+                doc_id, texts = part.column("doc_id"), part.column("text").to_pylist()
+                found = [np.append(ids, np.uint32(end_id)) for ids in encoder([t or "" for t in texts])]
                 count = np.bincount(np.concatenate(found), minlength=len(total))
                 count[: len(total)] += total
                 total = count
-                made += [planes(ids) for ids in found]
-            yield pa.RecordBatch.from_arrays(
-                [doc_id, batch.column("head"), batch.column("row"), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())],
-                names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_id, part.column("head"), part.column("row"), pa.array([planes(ids) for ids in found], pa.binary()),
+                     pa.nulls(len(found), pa.binary())], names=names)
         if doc_id is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, doc_id.type), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
