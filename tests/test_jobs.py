@@ -103,6 +103,32 @@ def slow_session(legs, lot):
             (rest > 0).mean() if len(rest) else 0.0, peak, path)
 
 
+@pytest.mark.parametrize("block_rows", [3, 10_000])
+def test_drawdown_does_not_depend_on_blocks(spark, block_rows):
+    """Several symbols, one of them in many blocks; sorted fills are not shuffled again."""
+    rnd = random.Random(4)
+    own = [(s, i, rnd.choice(["BUY", "SELL"]), rnd.randint(90, 110), rnd.randint(1, 9)) for s, n in (("A", 200), ("B", 2), ("C", 1)) for i in range(n)]
+    f = spark.createDataFrame(own, "symbol string, i int, side string, price int, quantity int").withColumn("lot_size", F.lit(5))
+    led = ledger.position_ledger(f, ["i"], block_rows=block_rows)
+    plan = led._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    got = rows(ledger.drawdown(led).select("symbol", "i", "realized_pnl", "peak", "drawdown"), "symbol", "i")
+    want = []
+    for s in "ABC":
+        lots = avg = real = 0.0
+        peak = -math.inf
+        for _, i, side, p, q in [r for r in own if r[0] == s]:
+            q = q if side == "BUY" else -q
+            if lots * q < 0:
+                real += (p - avg) * min(abs(q), abs(lots)) * 5 * (1 if lots > 0 else -1)
+                avg = p if abs(q) > abs(lots) else avg
+            else:
+                avg = (avg * abs(lots) + p * abs(q)) / abs(lots + q)
+            lots, peak = lots + q, max(peak, real)
+            want.append((s, i, real, peak, real - peak))
+    assert len(got) == len(want) and all(near(x, y, 1e-7) for a, b in zip(got, want) for x, y in zip(a, b))
+
+
 @pytest.mark.parametrize("share,seed", [(0.5, 1), (0.35, 2), (0.65, 3), (0.5, 4)])
 def test_session_metrics_do_not_depend_on_blocks(spark, share, seed):
     rnd = random.Random(seed)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import block_of, chained, ordered, runs
+from tickloom.operators.blocks import chained, ordered, runs
 from tickloom.operators.scans import running
 from tickloom.session import stage
 
@@ -307,58 +307,109 @@ def _walk(lots, avg, real, signed, price, lot, emit):
     return lots, slope, avg, gain, real
 
 
+FEW = 500_000
+
+
+def _few(df: DataFrame, name: str) -> DataFrame | None:
+    """A staged table to join with, broadcast if it is counted to be small; None if it is empty."""
+    df = stage(df, name)
+    n = df.count()
+    return (F.broadcast(df) if n <= FEW else df) if n else None
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(name).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()
+
+
 def position_ledger(fills: DataFrame, order: list[str], block_rows: int = 20_000) -> DataFrame:
     """Net lots, average price and realised result after every fill, long and short; ``_pos`` grows along a symbol.
 
-    Fills are sorted once, by ranges, and cut into blocks. The lots before a block are a sum over the blocks before it;
-    each block then reduces to linear maps of the average price and of the result, the maps of a symbol are chained,
-    and every block is walked again from its start. The other columns travel through the walk as Arrow batches.
+    Fills are sorted once, by ranges; a run of one symbol's fills in an Arrow batch is a block, kept as one row of arrays
+    and never shuffled again. Most symbols are one block and start flat. For the others the lots before a block are a sum
+    over the blocks before it, each block reduces to linear maps of the average price and of the result, and the maps of a
+    symbol are chained. Then every block is walked from its start. ``_blk`` and ``_top`` are the block and the highest
+    result in it so far.
     """
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")).cast("long")
     d = ordered(fills.withColumn("_q", signed), ["symbol"], [c for c in order if c != "symbol"])
-    d = stage(d.withColumn("_blk", block_of("_pos", block_rows)), "sorted-fills")
-    keys = ["symbol", "_blk"]
-    upto = Window.partitionBy("symbol").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    start = d.groupBy(*keys).agg(F.sum("_q").alias("_net")).select(
-        *keys, F.coalesce(F.sum("_net").over(upto), F.lit(0)).alias("_lots0"))
-    slim = d.select(*keys, "_pos", "_q", F.col("price").cast("double").alias("price"),
-                    F.col("lot_size").cast("double").alias("lot_size")).join(start, keys)
-
-    def legs(block: pa.Table):
-        block = block.sort_by("_pos")
-        price, lot = (block.column(c).cast(pa.float64()).to_numpy().tolist() for c in ("price", "lot_size"))
-        return block, [block.column("_q").to_numpy().tolist(), price, lot]
-
-    def reduce_block(block: pa.Table) -> pa.Table:
-        block, own = legs(block)
-        one = block.slice(0, 1).to_pylist()[0]
-        _, slope, avg, gain, real = _walk(one["_lots0"], 0.0, 0.0, *own, None)
-        return pa.table({"symbol": [one["symbol"]], "blk": [one["_blk"]], "lots0": [one["_lots0"]], "slope": [slope],
-                         "shift": [avg], "gain": [gain], "real": [real]})
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    own = [c for c in kinds if c != "_q"]
+    lists = [c for c in kinds if c != "symbol"]
+
+    def cut(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            symbol, q = batch.column("symbol"), batch.column("_q").to_numpy(zero_copy_only=False)
+            names = symbol.to_numpy(zero_copy_only=False)
+            run = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            ends = np.append(run[1:], len(batch))
+            starts = np.concatenate([np.arange(a, b, block_rows) for a, b in zip(run, ends)])
+            offsets = pa.array(np.append(starts, len(batch)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [symbol.take(pa.array(starts)), batch.column("_pos").take(pa.array(starts)), pa.array(np.add.reduceat(q, starts), pa.int64()),
+                 *[pa.ListArray.from_arrays(offsets, batch.column(c)) for c in lists]], names=["symbol", "_blk", "_net", *lists])
+
+    shape = "symbol string, _blk long, _net long, " + ", ".join(f"`{c}` array<{kinds[c]}>" for c in lists)
+    # a reader holds a row group's arrays at once
+    blocks = stage(d.mapInArrow(cut, shape), "fill-blocks", **{"parquet.block.size": 16 << 20})
+    symbol = Window.partitionBy("symbol")
+    upto = symbol.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    several = _few(blocks.select("symbol", "_blk", "_net").withColumns({
+        "_n": F.count(F.lit(1)).over(symbol), "_lots0": F.coalesce(F.sum("_net").over(upto), F.lit(0))}).where(
+        "_n > 1").select("_blk", "_lots0"), "lots")
+
+    def legs(batch):
+        """(row, signed quantities, prices, lot sizes) of each block of a batch."""
+        ends = np.cumsum(batch.column("_q").value_lengths().to_numpy()).tolist()
+        q, price, lot = batch.column("_q").flatten().to_numpy().tolist(), _flat(batch, "price"), _flat(batch, "lot_size")
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):
+            yield i, (q[a:b], price[a:b], lot[a:b])
+
+    def reduce_blocks(batches):
+        for batch in batches:
+            lots0, made = batch.column("lots0").to_pylist(), []
+            for i, own_legs in legs(batch):
+                made.append(_walk(lots0[i], 0.0, 0.0, *own_legs, None)[1:])
+            slope, shift, gain, real = zip(*made) if made else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("symbol"), batch.column("blk"), batch.column("lots0"), *[pa.array(x, pa.float64()) for x in (slope, shift, gain, real)]],
+                names=["symbol", "blk", "lots0", "slope", "shift", "gain", "real"])
 
     def follow(state, r):
         avg, real = state
-        return (r.slope * avg + r.shift, real + r.real + r.gain * avg), (r.symbol, r.blk, r.lots0, avg, real)
-
-    maps = slim.groupBy(*keys).applyInArrow(
-        reduce_block, "symbol string, blk long, lots0 long, slope double, shift double, gain double, real double")
-    starts = chained(maps, ["symbol"], "blk", "symbol string, _blk long, _lots0 long, _avg0 double, _real0 double",
-                     lambda: (0.0, 0.0), follow)
-    own = [c for c in d.columns if c not in ("_q", "_blk")]
-    shape = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in own)
-
-    def walk_block(block: pa.Table) -> pa.Table:
-        block, legs_of = legs(block)
-        one = block.select(["_lots0", "_avg0", "_real0"]).slice(0, 1).to_pylist()[0]
-        made = []
-        _walk(one["_lots0"], one["_avg0"], one["_real0"], *legs_of, made)
-        block = block.select(own)
-        for name, values in zip(("lots", "avg_price", "pnl", "realized_pnl"), zip(*made)):
-            block = block.append_column(name, pa.array(values, pa.int64() if name == "lots" else pa.float64()))
-        return block
-
-    return d.join(starts, keys).groupBy(*keys).applyInArrow(
-        walk_block, f"{shape}, lots long, avg_price double, pnl double, realized_pnl double")
+        return (r.slope * avg + r.shift, real + r.real + r.gain * avg), (r.blk, r.lots0, avg, real)
+
+    start = ["_lots0", "_avg0", "_real0"]
+    zero = dict(zip(start, (F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0))))
+    if several is None:
+        known = blocks.withColumns(zero)
+    else:
+        maps = blocks.select("symbol", "_blk", "_q", "price", "lot_size").join(several, "_blk").withColumnsRenamed(
+            {"_blk": "blk", "_lots0": "lots0"}).mapInArrow(
+            reduce_blocks, "symbol string, blk long, lots0 long, slope double, shift double, gain double, real double")
+        starts = _few(chained(maps, ["symbol"], "blk", "_blk long, _lots0 long, _avg0 double, _real0 double", lambda: (0.0, 0.0), follow), "starts")
+        known = blocks.join(starts, "_blk", "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in zero.items()})
+
+    def walk_blocks(batches):
+        for batch in batches:
+            starts = list(zip(*[batch.column(c).to_pylist() for c in start]))
+            made, tops = [], []
+            for i, own_legs in legs(batch):
+                first = len(made)
+                _walk(*starts[i], *own_legs, made)
+                tops.append(np.maximum.accumulate([m[3] for m in made[first:]]))
+            if not made:
+                continue
+            row = np.repeat(np.arange(len(batch)), batch.column("_q").value_lengths().to_numpy())
+            columns = [batch.column("symbol").take(pa.array(row)) if c == "symbol" else batch.column(c).flatten() for c in own]
+            added = [pa.array(x, pa.int64() if k == 0 else pa.float64()) for k, x in enumerate(zip(*made))]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, *added, batch.column("_blk").take(pa.array(row)), pa.array(np.concatenate(tops), pa.float64())], names=names)
+
+    names = [*own, "lots", "avg_price", "pnl", "realized_pnl", "_blk", "_top"]
+    return known.mapInArrow(walk_blocks, ", ".join(f"`{c}` {kinds[c]}" for c in own) +
+                            ", lots long, avg_price double, pnl double, realized_pnl double, _blk long, _top double")
 
 
 def mark_to_market(ledger: DataFrame, last_prices: DataFrame | None = None) -> DataFrame:
@@ -373,9 +424,17 @@ def mark_to_market(ledger: DataFrame, last_prices: DataFrame | None = None) -> D
         "total_pnl", F.col("realized_pnl") + F.col("unrealized_pnl"))
 
 
-def drawdown(ledger: DataFrame, chunk: str = "date") -> DataFrame:
-    """Running peak of the realised result and the distance from it."""
-    d = running(ledger, ["symbol"], chunk, ["_pos"], {"peak": ("max", "realized_pnl")})
+def drawdown(ledger: DataFrame) -> DataFrame:
+    """Running peak of the realised result of a position ledger and the distance from it.
+
+    Within a block the ledger has it; what is joined are the peaks of the blocks before, of symbols with several blocks.
+    """
+    symbol = Window.partitionBy("symbol")
+    upto = symbol.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = _few(ledger.groupBy("symbol", "_blk").agg(F.max("_top").alias("_m")).withColumns({
+        "_n": F.count(F.lit(1)).over(symbol), "_high": F.max("_m").over(upto)}).where("_n > 1").select("_blk", "_high"), "peaks")
+    d = ledger.withColumn("_high", F.lit(None).cast("double")) if before is None else ledger.join(before, "_blk", "left")
+    d = d.withColumn("peak", F.greatest("_high", "_top")).drop("_high")
     return d.withColumn("drawdown", F.col("realized_pnl") - F.col("peak"))
 
 

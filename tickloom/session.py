@@ -50,12 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     For intermediate results that several branches of a job read: they are then
     computed once, and a lost executor costs a re-read instead of the whole job.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
