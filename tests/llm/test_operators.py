@@ -286,6 +286,19 @@ def test_short_windows_and_low_variety(spark):
     assert substrings.without_repeats(cases.frame(spark, [])).count() == 0
 
 
+def test_texts_are_cut_into_phrases_once(spark, docs, monkeypatch):
+    plans, staged = [], substrings.staged
+
+    def seen(df, name):
+        if name == "phrases":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(substrings, "staged", seen)
+    substrings.removed_spans(docs)
+    assert [len(re.findall("ArrowEvalPython", p)) for p in plans] == [1]
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 def test_language_by_words_then_grams(spark):

@@ -80,7 +80,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
     named = docs.select("doc_id", "text", row_key("doc_id", "text").alias("node")).where(
         F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     table = staged(
-        named.select("doc_id", "node", cut("text").alias("p")).where(F.size("p.pos") > 0).select(
+        # no filter on the phrases: it would be pushed below them and cut every text a second time, in a worker of its own
+        named.select("doc_id", "node", cut("text").alias("p")).select(
             "doc_id", "node", F.explode(F.arrays_zip("p.pos", "p.size", "p.seed", "p.phrase")).alias("p"))
         .select("doc_id", "node", "p.*"), "phrases")
 
