@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -292,6 +293,25 @@ def test_symbols_anywhere_in_long_texts(spark):
         signals.MOST_BITS = most
 
 
+def test_texts_are_searched_once_and_stay_where_they_are(spark):
+    """Each text is searched once, few places are tested for every length, and texts do not move to the tags."""
+    items = spark.createDataFrame([(f"i{i}", "some text of Tata Steel and xyz " * 3) for i in range(9)], "id string, headline string")
+    u = spark.createDataFrame([("STEEL",), ("NOTHING",), ("TATA",)], "symbol string")
+    items = signals.stage(items, "items")
+    plan = signals.contained_symbols(items, u, "id", "headline")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("ArrowEvalPython|MapInArrow", plan)) == 1
+    tagged = signals.tag_symbols(items, u)
+    assert {tuple(r.symbols) for r in tagged.collect()} == {("STEEL", "TATA")}
+    assert "headline" not in tagged.select("id", "symbols")._jdf.queryExecution().executedPlan().toString()
+    kept = signals.relevant(tagged, u).select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count("upper(") == 1
+    f = signals.Filter(1 << 12, [4, 5, 6, 7])
+    tested, slots = [], f.slots
+    f.slots = lambda h, k: tested.append(len(h)) or slots(h, k)
+    list(f.pieces("x" * 10_000))
+    assert sum(tested) < 20_000
+
+
 def test_trading_dates_reach_as_far_as_needed(spark):
     closed = spark.range(30).selectExpr("date_sub(date'2026-05-13', cast(id as int) + 1) day")
     d = spark.sql("SELECT date'2026-05-13' date")

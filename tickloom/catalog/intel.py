@@ -52,7 +52,7 @@ add("U2_news_union", _feed, "id doc_id:l source", f"WITH {_MRG}\nSELECT * FROM m
 
 
 def _tagged(s, d):
-    return stage(sg.tag_symbols(stage(_feed(s, d), "feed"), universe(s, d)), "news")
+    return sg.tag_symbols(stage(_feed(s, d), "feed"), universe(s, d))
 
 
 _MACRO = " OR ".join(f"contains(upper(headline), '{w}')" for w in tx.MACRO_WORDS)

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tickloom.functions import text as tx
 from tickloom.functions.columns import clip
@@ -39,7 +41,8 @@ class Filter:
     """A set of strings as bits: looks for pieces of texts that may be in it. False hits happen, misses do not.
 
     A piece's hash is a difference of running sums of powers modulo 2^64, so all pieces of one length of many texts
-    cost a few array operations, whatever the number of strings.
+    cost a few array operations, whatever the number of strings. Strings of n characters are told by their first p, the
+    largest power of two up to n: all places are tested for a beginning of p, and for n only those that have one.
     """
 
     def __init__(self, bits: int, lengths: list[int], words: dict[int, int] | None = None):
@@ -67,8 +70,9 @@ class Filter:
         return [x[:n] for x in self.known]
 
     def marks(self, strings: list[str]) -> pd.DataFrame:
-        """(w, b): 64-bit words to be put together by OR."""
-        h = np.array([self.sums(x)[0][-1] for x in strings], dtype=np.uint64)
+        """(w, b): 64-bit words to be put together by OR. A beginning's hash is turned over, so it is no string's."""
+        sums = [self.sums(x)[0] for x in strings]
+        h = np.array([s[-1] for s in sums] + [~s[_beginning(len(s) - 1)] for s in sums], dtype=np.uint64)
         slots = np.unique(np.concatenate([self.slots(h, k) for k in range(PROBES)]))
         bits = np.left_shift(np.uint64(1), slots & np.uint64(63)).view(np.int64)
         return pd.DataFrame({"w": (slots >> np.uint64(6)).astype(np.int32), "b": bits})
@@ -76,15 +80,24 @@ class Filter:
     def pieces(self, text: str):
         """(position, length) of the pieces that may be in the set."""
         sums, down = self.sums(text)
+        p, begun = 0, None
         for n in self.lengths:
             if n > len(text):
                 return
-            h = (sums[n:] - sums[:-n]) * down[: len(text) - n + 1]
-            at = np.flatnonzero(self.table[self.slots(h, 0)])
-            for k in range(1, PROBES):
-                at = at[self.table[self.slots(h[at], k)]]
+            if p != _beginning(n):
+                p = _beginning(n)
+                begun = self.passed(~((sums[p:] - sums[:-p]) * down[: len(text) - p + 1]))
+            begun = begun[: np.searchsorted(begun, len(text) - n, side="right")]
+            at = begun[self.passed((sums[begun + n] - sums[begun]) * down[begun])]
             yield from ((i, n) for i in at.tolist())
 
+    def passed(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes whose bits are all set."""
+        at = np.flatnonzero(self.table[self.slots(h, 0)])
+        for k in range(1, PROBES):
+            at = at[self.table[self.slots(h[at], k)]]
+        return at
+
     def search(self, texts) -> list[list[str]]:
         """The distinct pieces of each text that may be in the set. Texts are taken some CHARS characters at a time."""
         found = [set() for _ in texts]
@@ -98,6 +111,10 @@ class Filter:
         return [list(f) for f in found]
 
 
+def _beginning(n: int) -> int:
+    return 1 << n.bit_length() - 1
+
+
 def _chunks(texts, most: int):
     """Lists of (row, text) of about CHARS characters; long texts are cut into parts that overlap by ``most`` - 1."""
     out, size = [], 0
@@ -134,13 +151,17 @@ def contained_symbols(items: DataFrame, universe: DataFrame, key: str, text: str
     words = u.mapInPandas(marks, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     shared = items.sparkSession.sparkContext.broadcast({r.w: r.b for r in words})
 
-    @F.pandas_udf("array<string>")
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = Filter(bits, lengths, shared.value)
-        for texts in batches:
-            yield pd.Series(have.search(texts.tolist()), index=texts.index, dtype=object)
-
-    pieces = items.select(key, search(F.upper(text)).alias("_p")).select(key, F.explode("_p").alias("symbol"))
+        for batch in batches:
+            found = have.search(batch.column(1).to_pylist())
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), pa.array([s for f in found for s in f], pa.string())], names=[key, "symbol"])
+
+    # rows, not arrays to explode: the filter that the optimiser infers from an explode would search every text a second time
+    pieces = items.select(key, F.upper(text)).mapInArrow(
+        search, StructType([items.schema[key], StructField("symbol", StringType())]))
     return pieces.join(u, "symbol", "left_semi").select(key, "symbol").distinct()
 
 
@@ -151,8 +172,12 @@ def extract_symbols(items: DataFrame, universe: DataFrame, key: str = "id", text
 
 
 def tag_symbols(items: DataFrame, universe: DataFrame, key: str = "id", text: str = "headline") -> DataFrame:
-    """Adds ``symbols``, sorted. An item mentions at most the universe plus its own tags."""
+    """Adds ``symbols``, sorted. An item mentions at most the universe plus its own tags.
+
+    What is found is staged, not the items with it, so texts move only where they are read later on.
+    """
     s = extract_symbols(items, universe, key, text).groupBy(key).agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    s = stage(s, "tags")
     return items.join(s, key, "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
 
 
@@ -170,13 +195,18 @@ def merge_feeds(feeds: list[DataFrame], tiebreak: list[str], history: DataFrame
 
 def relevant(items: DataFrame, universe: DataFrame) -> DataFrame:
     """Items that mention a known symbol or a market-wide word. Needs ``symbols``."""
-    macro = F.lit(False)
-    for w in tx.MACRO_WORDS:
-        macro = macro | F.upper("headline").contains(w)
+    def named(upper):
+        macro = F.lit(False)
+        for w in tx.MACRO_WORDS:
+            macro = macro | upper.contains(w)
+        return macro
+
+    # a text becomes upper case once, and before the join, so it need not move
+    macro = F.exists(F.array(F.upper("headline")), named).alias("_macro")
     known = items.select("id", F.explode("symbols").alias("symbol")).join(
         universe.select("symbol"), "symbol", "left_semi").select("id").distinct().withColumn("_hit", F.lit(True))
-    d = items.join(known, "id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)) | macro)
-    return d.where("_hit").drop("_hit")
+    d = items.select("*", macro).join(known, "id", "left")
+    return d.where(F.coalesce("_hit", F.lit(False)) | F.col("_macro")).drop("_hit", "_macro")
 
 
 def priority_batch(items: DataFrame, n: int = 10) -> DataFrame:
