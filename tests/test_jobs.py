@@ -607,6 +607,18 @@ def test_constant_signal_is_judged_by_its_hit_rate(spark):
     assert rows(ic.rank_signals(table).select("n_symbols", "n_useful", "n_strong"), "n_symbols") == [(3, 2, 1)]
 
 
+def test_replayed_bodies_are_parsed_once(spark):
+    from tickloom.sources import replay
+
+    batch = spark.createDataFrame([(i, "depth" if i % 2 else "text", i, '{"symbol": "A"}') for i in range(6)],
+                                  "offset long, feed string, ts_local_ns long, body string").union(
+        spark.sql("SELECT 9L, 'depth', 9L, '[{\"symbol\": \"A\"}]' UNION ALL SELECT 10L, 'text', 10L, '{\"symbol\": \"A\"'"))
+    ticks, bad = replay.split(batch.repartition(2))
+    plan = ticks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
+    assert ticks.count() == 6 and {r.offset for r in bad.collect()} == {9, 10}
+
+
 def test_replay_tasks_share_no_row_group(tmp_path):
     """Every row is in one task and every row group is read by one, also where an offset lies within a group."""
     import pyarrow as pa

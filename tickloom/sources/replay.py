@@ -121,18 +121,25 @@ def replay(spark: SparkSession, path: str, rows_per_task: int = 25_000) -> DataF
     return spark.readStream.format("broker_recording").option("path", path).option("rowsPerTask", rows_per_task).load()
 
 
+def _parsed(messages: DataFrame, feed: str, schema: StructType | str) -> DataFrame:
+    """(offset, ts_local_ns, m): the bodies of one feed that have a symbol.
+
+    A filter on a parsed body would be pushed below it and parse every body a second time; a generator is not.
+    """
+    known = F.filter(F.array(F.from_json("body", schema)), lambda m: m["symbol"].isNotNull())
+    return messages.where(F.col("feed") == feed).select("offset", "ts_local_ns", F.explode(known).alias("m"))
+
+
 def depth_ticks(messages: DataFrame) -> DataFrame:
     """Flat ticks of the nested format, with the message's offset."""
-    body = F.from_json("body", StructType([f for f in RAW_TICK if f.name != "ts_local_ns"]))
-    return messages.where("feed = 'depth'").select("offset", "ts_local_ns", body.alias("m")).where("m.symbol IS NOT NULL").select(
-        "offset", "ts_local_ns", *[F.col(f"m.{f.name}") for f in RAW_TICK if f.name != "ts_local_ns"])
+    d = _parsed(messages, "depth", StructType([f for f in RAW_TICK if f.name != "ts_local_ns"]))
+    return d.select("offset", "ts_local_ns", *[F.col(f"m.{f.name}") for f in RAW_TICK if f.name != "ts_local_ns"])
 
 
 def text_ticks(messages: DataFrame, levels: int = 10) -> DataFrame:
     """Ticks of the text format: symbol, lp, v, bp1.., bq1.., sp1.., sq1.., all of them texts."""
     names = ["symbol", "lp", "v", *[f"{k}{i}" for i in range(1, levels + 1) for k in ("bp", "bq", "sp", "sq")]]
-    body = F.from_json("body", ", ".join(f"{n} string" for n in names))
-    d = messages.where("feed = 'text'").select("offset", "ts_local_ns", body.alias("m")).where("m.symbol IS NOT NULL")
+    d = _parsed(messages, "text", ", ".join(f"{n} string" for n in names))
     return parse_text_levels(d.select("offset", "ts_local_ns", "m.*"), levels)
 
 
@@ -144,10 +151,10 @@ def rejects(messages: DataFrame) -> DataFrame:
 
 def split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(flat ticks of both formats, rejects) of a batch of messages. The nested format fills the common columns."""
-    good = batch.where(F.get_json_object("body", "$.symbol").isNotNull())
-    nested = depth_ticks(good)
-    flat = flatten_depth(nested)
-    return flat.unionByName(conform(text_ticks(good, 5), flat.schema)), rejects(batch)
+    # the feed comes first: a body of the other one is not searched for its symbol
+    nested, text = (batch.where(F.col("feed") == f).where(F.get_json_object("body", "$.symbol").isNotNull()) for f in ("depth", "text"))
+    flat = flatten_depth(depth_ticks(nested))
+    return flat.unionByName(conform(text_ticks(text, 5), flat.schema)), rejects(batch)
 
 
 def ingest_recording(messages: DataFrame, path: str, checkpoint: str, every: str | None = None):
